@@ -11,6 +11,7 @@ long text costs memory by its words and no approximation.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .shared import cut
-from .words import WordTable, segment_sums
+from .words import WordTable, kept, segment_sums
 
 #: The bound of the training sample: documents a language, and languages (the most frequent).
 TRAIN_DOCS, LANGUAGES = 250, 64
@@ -41,13 +42,37 @@ def plain(token: str) -> str:
     return _EDGE.sub("", token).lower()
 
 
-def feature_ids(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Hashed ids: the word itself if in the lexicon, prefixes and suffixes of 1 to 3, inner trigrams."""
-    found = [f"w{word}"] if word in lexicon else []
-    found += [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-    found += [word[k : k + 3] for k in range(1, len(word) - 3)]
-    crc = zlib.crc32
-    return [crc(f.encode()) % HASHED for f in found]
+def _mixed(kind: int, *codes: np.ndarray) -> np.ndarray:
+    """A hash below HASHED of a feature's kind and characters."""
+    h = np.full(len(codes[0]), 2654435761 * (kind + 1) & 0xFFFFFFFF, dtype=np.uint64)
+    for c in codes:
+        h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h % np.uint64(HASHED)).astype(np.int64)
+
+
+def feature_ids(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed ids of all words' features, and the word that each belongs to.
+
+    Features: the word itself if in the lexicon, its prefixes and suffixes of 1 to 3 characters, its inner trigrams.
+    """
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts, ends = sizes.cumsum() - sizes, sizes.cumsum()
+    ids, owners = [], []
+    for k in (1, 2, 3):
+        has = np.flatnonzero(sizes >= k)
+        ids += [_mixed(k, *[codes[starts[has] + j] for j in range(k)]), _mixed(10 + k, *[codes[ends[has] - k + j] for j in range(k)])]
+        owners += [has, has]
+    owner = np.repeat(np.arange(len(words)), sizes)
+    at = np.arange(len(codes))
+    inner = np.flatnonzero((at > starts[owner]) & (at + 3 < ends[owner]))
+    ids.append(_mixed(20, codes[inner], codes[inner + 1], codes[inner + 2]) if len(inner) else np.empty(0, np.int64))
+    owners.append(owner[inner])
+    known = [k for k, w in enumerate(words) if w in lexicon]
+    ids.append(np.array([zlib.crc32(words[k].encode()) % HASHED for k in known], dtype=np.int64))
+    owners.append(np.array(known, dtype=np.int64))
+    return np.concatenate(ids), np.concatenate(owners)
 
 
 class Field:
@@ -61,19 +86,17 @@ class Field:
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """Summed feature weights of each word; zeros for a word without letters."""
-        ids = [feature_ids(w, self.lexicon) if w else [] for w in words]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for f in ids for i in f), np.int64, int(sizes.sum()))
-        return segment_sums(self.weights[flat], sizes)
+        ids, owners = feature_ids(words, self.lexicon)
+        return np.column_stack([np.bincount(owners, weights=self.weights[ids, j], minlength=len(words)) for j in range(len(self.languages))])
 
     # training
 
     def fit(self, chains: np.ndarray, labels: np.ndarray, words: list[str], seed: int = 3) -> None:
         """chains, labels: (chains, CHAIN) of word numbers and language numbers. AdaGrad on the conditional likelihood."""
         n = len(self.languages)
-        ids = [feature_ids(w, self.lexicon) if w else [] for w in words]
-        start = np.concatenate([[0], np.cumsum([len(f) for f in ids])])
-        flat = np.array([i for f in ids for i in f], dtype=np.int64)
+        ids, owners = feature_ids(words, self.lexicon)
+        flat = ids[np.argsort(owners, kind="stable")]
+        start = np.concatenate([[0], np.bincount(owners, minlength=len(words)).cumsum()])
         seen_w, seen_t, rng = np.full((HASHED, n), 1e-8), np.full((n, n), 1e-8), np.random.default_rng(seed)
         for _ in range(EPOCHS):
             turn = rng.permutation(len(chains))
@@ -258,10 +281,11 @@ def predict(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_c
     Null texts and texts without a letter are `und` with score 0, as is every text if nothing was learned.
     Null ids and repeated rows pass as they are; other columns are not read; an empty table gives an empty result.
     """
+    token = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(field)  # HASHED weights a language, LANGUAGES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value) if shared.value else None
+        labeller = kept(token, lambda: Labeller(shared.value) if shared.value else None)
         for batch in batches:
             lang, score = [], []
             for k in range(0, batch.num_rows, 200):

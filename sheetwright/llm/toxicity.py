@@ -8,6 +8,7 @@ no part judges what it has itself learned. Every document is then scored in its
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
-from .words import WordTable, segment_sums
+from .words import WordTable, kept, segment_sums
 
 #: The bound of the labelled sample, in documents.
 TRAIN_DOCS = 20_000
@@ -27,6 +28,7 @@ LEAST_DOCS, LEAST_ODDS = 4, 2.5
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch euer sie tu te toi ton ta tes vous votre vos ti tuyo tus usted ustedes vosotros".split())
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", "_": "", "-": "", ".": ""})
 FEATURES = ("lexicon", "stems", "worst", "hits", "disguised_hits", "second", "near_second", "capitals", "shouted", "marks", "repeated_marks", "punctuation", "disguised", "stretched", "word_length", "length")
+_STRETCHED = re.compile(r"([^\W\d_])\1\1").search
 _EDGE = re.compile(r"^[^\w@$*]+|[^\w@$*]+$")
 
 
@@ -41,21 +43,26 @@ def plain(token: str) -> str:
 class Featurizer:
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems = words, stems
+        self.openings = {s[: STEM[0]] for s in stems}
         self.table = WordTable(self.rows, 9)
 
     def weight(self, word: str) -> tuple[float, float]:
-        return self.words.get(word, 0.0), max((self.stems.get(word[:k], 0.0) for k in range(STEM[0], min(len(word), STEM[1]) + 1)), default=0.0)
+        stem = 0.0
+        if word[: STEM[0]] in self.openings:
+            stem = max(self.stems.get(word[:k], 0.0) for k in range(STEM[0], min(len(word), STEM[1]) + 1))
+        return self.words.get(word, 0.0), stem
 
     def rows(self, tokens: list[str]) -> np.ndarray:
-        out = np.zeros((len(tokens), 9), dtype=np.float32)
-        for k, token in enumerate(tokens):
-            word = plain(token)
+        out = []
+        for token in tokens:
+            word = token.lower() if token.isalpha() else plain(token)
             odds, stem = self.weight(word)
-            inner = not word.isalpha() and any(c.isalpha() for c in word) and any(c in "013457@$!*" for c in word)
-            hidden = max(self.weight(word.translate(DISGUISE))) if inner else 0.0
-            upper = sum(c.isupper() for c in token)
-            out[k] = (odds, stem, hidden, word in SECOND, upper, len(word) > 2 and token.isupper(), inner, bool(re.search(r"([^\W\d_])\1\1", token)), len(word))
-        return out
+            inner, hidden = False, 0.0
+            if not word.isalpha() and any(c.isalpha() for c in word) and any(c in "013457@$!*" for c in word):
+                inner, hidden = True, max(self.weight(word.translate(DISGUISE)))
+            upper = 0 if token.islower() else sum(map(str.isupper, token))
+            out.append((odds, stem, hidden, word in SECOND, upper, upper > 2 and token.isupper(), inner, _STRETCHED(token) is not None, len(word)))
+        return np.array(out, dtype=np.float32).reshape(len(out), 9)
 
     def features(self, texts: list[str]) -> np.ndarray:
         """One row of FEATURES for each text; an empty text has zeros."""
@@ -218,11 +225,12 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     Null and empty texts have zero features and get the score that these have. Null ids and repeated rows
     pass as they are; with keep, a column called like `name` must not exist yet.
     """
+    token = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(model)  # lexicon and trees of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        f = Featurizer(m.words, m.stems)
+        f = kept(token, lambda: Featurizer(m.words, m.stems))
         for batch in batches:
             got = []
             for k in range(0, batch.num_rows, 500):

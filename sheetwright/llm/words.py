@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 
+_WORKER: dict[str, object] = {}
+
+
+def kept(token: str, make: Callable[[], object]) -> object:
+    """The one object that this worker keeps from task to task, made anew when another job's token comes."""
+    if token not in _WORKER:
+        _WORKER.clear()
+        _WORKER[token] = make()
+    return _WORKER[token]
+
+
 class WordTable:
     """Rows of numbers by token, made by `rows(tokens)` when first met; forgets all beyond `keep` tokens."""
 
@@ -22,7 +34,7 @@ class WordTable:
         """The row ids of all tokens of the texts, and the number of tokens of each text. Look rows up in .data at once."""
         if len(self.ids) > self.keep:
             self._clear()
-        new = list({t for tokens in texts for t in tokens}.difference(self.ids))
+        new = list(set(chain.from_iterable(texts)).difference(self.ids))
         if new:
             lo = len(self.ids)
             if lo + len(new) > len(self.data):
@@ -31,7 +43,7 @@ class WordTable:
             self.ids.update(zip(new, range(lo, lo + len(new)), strict=True))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         look = self.ids.__getitem__
-        return np.fromiter((look(t) for tokens in texts for t in tokens), np.int64, int(sizes.sum())), sizes
+        return np.fromiter(map(look, chain.from_iterable(texts)), np.int64, int(sizes.sum())), sizes
 
 
 def segment_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
