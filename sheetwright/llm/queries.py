@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, mixing, secret_scan, token_counts, topk, toxicity, warc
+from . import byte_bpe, exact_dedup, jaccard_join, language_id, mixing, secret_scan, token_counts, topk, toxicity, warc
 from .shared import table
 
 
@@ -41,6 +41,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_secret_scan": op5_secret_scan,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
