@@ -13,6 +13,7 @@ import json
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -128,7 +129,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 digest.append(sha(line.encode()))
                 back.append(sha(b"".join(decoded)))
                 if with_ids:
-                    ids.append([int(i) for i in line.split()])
+                    ids.append(np.fromstring(line, dtype=np.int32, sep=" "))
             cols = [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest), pa.array(back)]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

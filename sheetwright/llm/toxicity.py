@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import cut
 from .words import WordTable, kept, segment_sums
@@ -241,5 +242,5 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(np.concatenate(got) if got else [], pa.float64())], [*names, name])
 
     rows = docs if keep else docs.select(id_col, text_col)
-    schema = (rows if keep else rows.select(id_col)).schema.add(name, "double")
+    schema = T.StructType([*(rows if keep else rows.select(id_col)).schema.fields, T.StructField(name, T.DoubleType())])
     return rows.mapInArrow(run, schema)
