@@ -38,7 +38,7 @@ BLOCK_TOKENS, LEAST_BITS, MOST_BITS = 1_000_000, 1 << 20, 1 << 28
 KEEP_WORDS = 400_000
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _POST = np.dtype([("token", "<u4"), ("before", "<u4"), ("set", "<i8")])
-_DOC = np.dtype([("id", "<i8"), ("has_id", "?"), ("n", "<i4"), ("set", "<i8")])
+_DOC = np.dtype([("id", "<i8"), ("has_id", "?"), ("n", "<i4"), ("set", "<i8"), ("text", "<i8")])
 
 
 def mixed(x: np.ndarray, by: int) -> np.ndarray:
@@ -47,35 +47,50 @@ def mixed(x: np.ndarray, by: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, each made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        made = self[word] = xxhash.xxh64_intdigest(word)
+        return made
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    values.sort()
+    fresh = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=fresh[1:])
+    return values[fresh]
+
+
 class Shingler:
     """Sets of hashed shingles; each distinct word of a worker is hashed once."""
 
     def __init__(self, words: int = WORDS):
-        import xxhash
+        self.words, self.seen = words, WordHashes()
+        self.factors = mixed(np.arange(1, words + 1, dtype=np.uint64), ORDERS[0]) | np.uint64(1)
 
-        self.hash, self.words, self.seen = xxhash.xxh64_intdigest, words, {}
-        self.factors = [np.uint64(2 * int(mixed(np.array([k + 1], dtype=np.uint64), ORDERS[0])[0] >> np.uint64(1)) + 1) for k in range(words)]
+    def tokens(self, text: str | None, half: bool = False) -> np.ndarray:
+        """The sorted distinct tokens of a text: A-Z in lower case, words between ASCII white space.
 
-    def tokens(self, text: str | None) -> np.ndarray:
-        """The sorted distinct tokens of a text: A-Z in lower case, words between ASCII white space."""
+        half: only the tokens that are counted for the bitmap.
+        """
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.empty(0, np.uint64)
         if len(self.seen) > KEEP_WORDS:
             self.seen.clear()
-        for w in {*words}.difference(self.seen):
-            self.seen[w] = self.hash(w)
         h = np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
-        if len(h) < self.words:
-            whole = len(h)
-            for k, x in enumerate(h):
-                whole = (whole + int(x) * int(self.factors[k])) & 0xFFFFFFFFFFFFFFFF
-            return mixed(np.array([whole], dtype=np.uint64), ORDERS[2])
+        if len(h) < self.words:  # the whole sequence, told apart by its length
+            total = np.array([np.multiply(h, self.factors[: len(h)]).sum(dtype=np.uint64) + np.uint64(len(h))], dtype=np.uint64)
+            return mixed(total, ORDERS[2])
         n = len(h) - self.words + 1
-        total = np.zeros(n, dtype=np.uint64)
-        for k in range(self.words):
+        total = h[:n] * self.factors[0]
+        for k in range(1, self.words):
             total += h[k : k + n] * self.factors[k]
-        return np.unique(mixed(total, ORDERS[1]))
+        made = mixed(total, ORDERS[1])
+        return distinct(counted(made) if half else made)
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -90,7 +105,7 @@ def size_gap(num: int, den: int) -> int:
 
 
 class Order:
-    """The orders of all tokens: frequent tokens (by the bitmap) last, the others by a hash of their own for each order."""
+    """The orders of all tokens: counted and rare ones first, then uncounted, then frequent, each by a hash of the order's own."""
 
     def __init__(self, bitmap: np.ndarray, num: int = NUM, den: int = DEN):
         self.bitmap, self.num, self.den = bitmap, num, den
@@ -100,9 +115,14 @@ class Order:
         return (self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
     def prefix(self, tokens: np.ndarray, order: int = 0) -> np.ndarray:
+        """The first tokens of a set in an order, as many as the threshold asks for."""
         n = len(tokens)
         keep = n + (-self.num * n // self.den) + 1
-        return tokens[np.lexsort((mixed(tokens, ORDERS[order]), self.frequent(tokens)))[:keep]]
+        key = mixed(tokens, ORDERS[order]) >> np.uint64(2)
+        odd = tokens & np.uint64(1)
+        key |= (odd + np.uint64(2) * (self.frequent(tokens) & (odd == 0))) << np.uint64(62)
+        first = np.argpartition(key, keep - 1)[:keep]
+        return tokens[first[np.argsort(key[first])]]
 
 
 def bit_of(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -135,7 +155,7 @@ def frequent_tokens(texts: DataFrame, buckets: int, words: int, hot: int) -> np.
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = kept(f"shingler{words}", lambda: Shingler(words))
         for batch in _slices(batches):
-            sets = [counted(shingler.tokens(t)) for t in batch.column("text").to_pylist()]
+            sets = [shingler.tokens(t, half=True) for t in batch.column("text").to_pylist()]
             tokens = np.concatenate([*sets, np.empty(0, np.uint64)])
             parts = [(b, tokens[at]) for b, at in _by_bucket(tokens, buckets)]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([_short(p) for _, p in parts], pa.binary())], ["bucket", "packed"])
@@ -173,7 +193,7 @@ def _short(tokens: np.ndarray) -> bytes:
 
 
 def candidate_lists(texts: DataFrame, order: Callable[[], Order], buckets: int, words: int) -> DataFrame:
-    """kind, a, b, c: kind 0 a document (a id, b size, c set), kind 1 a member (a list, c set) of a token's list.
+    """kind, a, b, c, d: kind 0 a document (a id, b size, c set, d text), kind 1 a member (a list, c set) of a token's list.
 
     texts: id, text. Documents travel with the first order's prefixes, in packed blocks.
     """
@@ -186,7 +206,7 @@ def candidate_lists(texts: DataFrame, order: Callable[[], Order], buckets: int,
             for k, (ident, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 own = shingler.tokens(text)
                 name = set_id(own) if len(own) else 0
-                docs[k] = (ident or 0, ident is not None, len(own), name)
+                docs[k] = (ident or 0, ident is not None, len(own), name, text_id(text))
                 if len(own):
                     first = rank.prefix(own)
                     post = np.empty(len(first), dtype=_POST)
@@ -216,9 +236,10 @@ def candidate_lists(texts: DataFrame, order: Callable[[], Order], buckets: int,
             "a": pa.concat_arrays([ids, pa.array(name, pa.int64())]),
             "b": pa.concat_arrays([pa.array(docs["n"].astype(np.int64)), none]),
             "c": pa.concat_arrays([sets, pa.array(member, pa.int64())]),
+            "d": pa.concat_arrays([pa.array(docs["text"]), none]),
         })
 
-    return cut(texts.select("id", "text").mapInArrow(deal, "bucket int, kind int, packed binary").groupBy("bucket").applyInArrow(lists, "kind int, a long, b long, c long"), "jaccard-lists")
+    return cut(texts.select("id", "text").mapInArrow(deal, "bucket int, kind int, packed binary").groupBy("bucket").applyInArrow(lists, "kind int, a long, b long, c long, d long"), "jaccard-lists")
 
 
 def _lists(posts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,33 +259,40 @@ def _lists(posts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(names, sizes)[use], posts["set"][use]
 
 
-def candidate_texts(texts: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """set, packed (the text, compressed) of each set in needed(set); also of a few others."""
+def text_id(text: str | None) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def candidate_texts(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """set, packed: one text of each set, compressed. needed: set, text (the id of a text of that set).
+
+    A bitmap of bounded size keeps most other texts from the shuffle; the join drops the rest of them.
+    """
     bits = LEAST_BITS
     total = needed.count()
     while bits < 16 * total and bits < MOST_BITS:
         bits *= 2
-    bitmap = bitmap_of(needed.select(F.shiftright("set", 12).alias("p")), bits)
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(needed.select(F.shiftright("text", 12).alias("p")), bits))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        shingler, pack, known = kept(f"shingler{words}", lambda: Shingler(words)), zstandard.ZstdCompressor(level=3), shared.value
+        pack, known = zstandard.ZstdCompressor(level=3), shared.value
         for batch in _slices(batches):
             names, packed, met = [], [], set()
             for text in batch.column("text").to_pylist():
-                own = shingler.tokens(text)
-                name = set_id(own) if len(own) else 0
+                name = text_id(text)
                 at = (name >> 12) & (len(known) * 8 - 1)
-                if len(own) and name not in met and known[at >> 3] >> (at & 7) & 1:
+                if text and name not in met and known[at >> 3] >> (at & 7) & 1:
                     met.add(name)
                     names.append(name)
                     packed.append(pack.compress(text.encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], ["set", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], ["text", "packed"])
 
-    rows = texts.select("text").mapInArrow(wanted, "set long, packed binary")
-    return cut(rows.groupBy("set").agg(F.any_value("packed").alias("packed")), "jaccard-texts")
+    rows = texts.select("text").mapInArrow(wanted, "text long, packed binary")
+    return cut(rows.groupBy("text").agg(F.any_value("packed").alias("packed")).join(needed, "text").select("set", "packed"), "jaccard-texts")
 
 
 def verified(pairs: DataFrame, packed: DataFrame, order: Callable[[], Order], words: int, num: int, den: int) -> DataFrame:
@@ -310,10 +338,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bitmap = spark.sparkContext.broadcast(frequent_tokens(texts, buckets, words, hot))
     order = lambda: Order(bitmap.value, num, den)
     found = candidate_lists(texts, order, buckets, words)
-    rows = found.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles"), F.col("c").alias("set"))
+    rows = found.filter("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n_shingles"), F.col("c").alias("set"), F.col("d").alias("text"))
     gap = size_gap(num, den)
     lists = cut(found.filter("kind = 1").select(F.col("a").alias("list"), F.col("c").alias("set")).distinct(), "jaccard-members")
-    packed = candidate_texts(texts, lists.select("set").distinct(), words)
+    needed = rows.groupBy("set").agg(F.min("text").alias("text")).join(lists.select("set").distinct(), "set")
+    packed = candidate_texts(texts, cut(needed, "jaccard-needed"))
     members, tried, links, parts = lists.withColumn("component", F.col("set")), None, None, None
     for turn in range(rounds + 1):
         live = members.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("list")
