@@ -26,7 +26,7 @@ ORDER_TEMPLATE = {
                 "per_line": {"computed": "{total} / {n_lines} if {n_lines} > 0 else 0.0", "type": "float"},
                 "label": {"computed": "{customer} {n_lines}"},
             },
-            "validation": {"total": {"min": 1000}, "customer": {"pattern": "^Customer#[0-9]+$"}},
+            "validation": {"total": {"min": 50000}, "customer": {"pattern": "^Customer#[0-9]+$"}},
         },
         "v1.0": {
             "fields": {
