@@ -76,7 +76,10 @@ class Shingler:
 
         half: only the tokens that are counted for the bitmap.
         """
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return self.tokens_of((text or "").encode("utf-8", "surrogatepass"), half)
+
+    def tokens_of(self, text: bytes, half: bool = False) -> np.ndarray:
+        words = text.lower().split()
         if not words:
             return np.empty(0, np.uint64)
         if len(self.seen) > KEEP_WORDS:
@@ -296,31 +299,43 @@ def candidate_texts(texts: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, packed: DataFrame, order: Callable[[], Order], words: int, num: int, den: int) -> DataFrame:
-    """The pairs(hub, other) whose sets link. Hubs with many others are dealt out over chunks of about CHUNK."""
+    """The pairs(hub, other) whose sets link. Hubs with many others are dealt out over chunks of about CHUNK.
+
+    A task's rows come sorted, each hub before its others, so it holds one hub and one other at a time.
+    """
     degree = pairs.groupBy("hub").agg(F.count("*").alias("n"))
     dealt = pairs.join(degree, "hub").withColumn("chunk", F.pmod(F.xxhash64("other"), F.ceil(F.col("n") / CHUNK)))
-    members = dealt.select("hub", "chunk", F.col("other").alias("set")).unionByName(dealt.select("hub", "chunk", F.col("hub").alias("set")).distinct())
+    hubs = dealt.select("hub", "chunk", F.lit(0).alias("turn"), F.col("hub").alias("set")).distinct()
+    members = hubs.unionByName(dealt.select("hub", "chunk", F.lit(1).alias("turn"), F.col("other").alias("set")))
 
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         shingler, rank, unpack = kept(f"shingler{words}", lambda: Shingler(words)), order(), zstandard.ZstdDecompressor()
-        hub = table["hub"][0].as_py()
-        sets = {s: shingler.tokens(unpack.decompress(p).decode("utf-8", "surrogatepass")) for s, p in zip(table["set"].to_pylist(), table["packed"].to_pylist(), strict=True)}
-        own = sets.pop(hub)
-        firsts = [rank.prefix(own, k) for k in range(len(ORDERS))]
-        linked = []
-        for name, other in sets.items():
-            if den * min(len(own), len(other)) < num * max(len(own), len(other)):
-                continue
-            if not all(len(np.intersect1d(f, rank.prefix(other, k), assume_unique=True)) for k, f in enumerate(firsts)):
-                continue
-            both = len(np.intersect1d(own, other, assume_unique=True))
-            if den * both >= num * (len(own) + len(other) - both):
-                linked.append(name)
-        return pa.table({"a": pa.array([hub] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
-
-    return cut(members.join(packed, "set").groupBy("hub", "chunk").applyInArrow(compare, "a long, b long"), "jaccard-links")
+        hub, own, firsts = None, np.empty(0, np.uint64), []
+        for batch in _slices(batches):
+            linked: list[tuple[int, int]] = []
+            for h, turn, name, data in zip(*[batch.column(c).to_pylist() for c in ("hub", "turn", "set", "packed")], strict=True):
+                other = shingler.tokens_of(unpack.decompress(data))
+                if turn == 0:
+                    hub, own, firsts = h, other, [np.sort(rank.prefix(other, k)) for k in range(1, len(ORDERS))]
+                elif not turn or h != hub:
+                    raise ValueError(f"the hub of {name} did not come before it")
+                elif den * min(len(own), len(other)) >= num * max(len(own), len(other)) and all(common(f, rank.prefix(other, k + 1)) for k, f in enumerate(firsts)):
+                    both = common(own, other)
+                    if den * both >= num * (len(own) + len(other) - both):
+                        linked.append((hub, name))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in linked], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    rows = members.join(packed, "set").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "turn")
+    return cut(rows.select("hub", "turn", "set", "packed").mapInArrow(compare, "a long, b long"), "jaccard-links")
+
+
+def common(ordered: np.ndarray, other: np.ndarray) -> int:
+    """How many of other are in ordered; both have no repeats."""
+    at = np.searchsorted(ordered, other)
+    at[at == len(ordered)] = 0
+    return int(np.count_nonzero(ordered[at] == other))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
@@ -343,18 +358,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lists = cut(found.filter("kind = 1").select(F.col("a").alias("list"), F.col("c").alias("set")).distinct(), "jaccard-members")
     needed = rows.groupBy("set").agg(F.min("text").alias("text")).join(lists.select("set").distinct(), "set")
     packed = candidate_texts(texts, cut(needed, "jaccard-needed"))
-    members, tried, links, parts = lists.withColumn("component", F.col("set")), None, None, None
+    weights = lists.groupBy("set").agg(F.count("*").alias("weight"))
+    members, tried, links, parts = lists.join(weights, "set").withColumn("component", F.col("set")), None, None, None
     for turn in range(rounds + 1):
         live = members.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("list")
         members = cut(members.join(live, "list"), "jaccard-live")
         if members.isEmpty():
             break
         if turn < rounds:
-            hubs = members.groupBy("list").agg(F.min(F.struct(F.xxhash64("set", F.lit(turn)).alias("h"), F.col("set").alias("hub"), F.col("component").alias("hub_component"))).alias("x")).select("list", "x.hub", "x.hub_component")
+            # first the set in most lists, the likeliest origin of a group of copies; then any
+            rank = -F.col("weight") if turn == 0 else F.xxhash64("set", F.lit(turn))
+            hubs = members.groupBy("list").agg(F.min(F.struct(rank.alias("h"), F.col("set").alias("hub"), F.col("component").alias("hub_component"))).alias("x")).select("list", "x.hub", "x.hub_component")
             met = members.join(hubs, "list").filter("component <> hub_component").select("hub", F.col("set").alias("other"))
         else:
             left = members.select("list", F.col("set").alias("hub"), F.col("component").alias("hub_component"))
-            met = members.join(left, "list").filter("component <> hub_component AND hub < set").select("hub", F.col("set").alias("other"))
+            met = members.drop("weight").join(left, "list").filter("component <> hub_component AND hub < set").select("hub", F.col("set").alias("other"))
         met = met.filter(F.abs(F.col("hub").bitwiseAND(F.lit(4095)) - F.col("other").bitwiseAND(F.lit(4095))) <= gap)
         pairs = met.distinct()
         if tried is not None:
@@ -366,7 +384,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = new if links is None else links.unionByName(new)
         parts = connected(links)
         if turn < rounds:
-            members = members.select("list", "set").join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+            members = members.select("list", "set", "weight").join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     named = rows.groupBy("set").agg(F.min("id").alias("least")).filter("set IS NOT NULL")
     if parts is not None:
         named = named.join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
