@@ -77,7 +77,7 @@ def split(rows: DataFrame) -> tuple[Workbooks, DataFrame]:
 def parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            rows: list[dict] = [{"what": "doc"}]
+            rows: list[dict] = []
             try:
                 if not path.lower().endswith(READABLE):
                     rows = [{"what": "failure", "kind": "unsupported_format", "text": posixpath.splitext(path)[1]}]
@@ -87,8 +87,9 @@ def parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if len(rows) >= 20_000:
                             yield _frame(rows, path)
                             rows = []
+                    rows.append({"what": "doc"})  # a file that breaks off is no document
             except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError) as e:
-                rows.append({"what": "failure", "kind": "unreadable", "text": f"{type(e).__name__}: {e}"})
+                rows = [{"what": "failure", "kind": "unreadable", "text": f"{type(e).__name__}: {e}"}]
             yield _frame(rows, path)
 
 
