@@ -9,8 +9,8 @@ many documents share bring few candidates.
    (a token wrongly in it only changes the order).
 2. The first order's prefixes are dealt out by token. A token's list of different sets is kept if its
    sets did not all share the token before it, whose list then holds the same pairs.
-3. Rounds: each list links its sets to one hub of its own; candidates pass the length filter and the prefix
-   filters of all the orders before the sets themselves are compared. Lists within one component are done,
+3. Rounds: each list links its sets to one hub of its own; candidates must also share enough of their prefixes
+   under a second order, and pass the length filter, before the sets themselves are compared. Lists within one component are done,
    as further pairs could not change the components. What is left after ROUNDS is compared pair by pair, but for
    pairs within a component. No list is cut short and no link between components is lost.
 
@@ -36,6 +36,9 @@ HOT, ROUNDS, CHUNK = 12, 3, 64
 #: Tokens a packed block, and the bounds of the bitmap of frequent tokens, in bits (32 MB at most).
 BLOCK_TOKENS, LEAST_BITS, MOST_BITS = 1_000_000, 1 << 20, 1 << 28
 KEEP_WORDS = 400_000
+#: Pairs up to which their members (40 bytes each, twice at most) are broadcast to the texts.
+BROADCAST_PAIRS = 250_000
+#: Factors of the hashes; the first two also make the two global orders.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _POST = np.dtype([("token", "<u4"), ("before", "<u4"), ("set", "<i8")])
 _DOC = np.dtype([("id", "<i8"), ("has_id", "?"), ("n", "<i4"), ("set", "<i8"), ("text", "<i8")])
@@ -129,7 +132,8 @@ class Order:
 
 
 def bit_of(tokens: np.ndarray, bits: int) -> np.ndarray:
-    return (tokens >> np.uint64(7)).astype(np.int64) & (bits - 1)
+    """The bit of a token: from its low 32 bits, which with its bucket are what is counted."""
+    return (tokens >> np.uint64(3)).astype(np.int64) & (bits - 1)
 
 
 def counted(tokens: np.ndarray) -> np.ndarray:
@@ -161,13 +165,11 @@ def frequent_tokens(texts: DataFrame, buckets: int, words: int, hot: int) -> np.
             sets = [shingler.tokens(t, half=True) for t in batch.column("text").to_pylist()]
             tokens = np.concatenate([*sets, np.empty(0, np.uint64)])
             parts = [(b, tokens[at]) for b, at in _by_bucket(tokens, buckets)]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([_short(p) for _, p in parts], pa.binary())], ["bucket", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([(p & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for _, p in parts], pa.binary())], ["bucket", "packed"])
 
     def tally(table: pa.Table) -> pa.Table:
-        packed = [np.frombuffer(x.as_buffer(), dtype=np.uint8).reshape(-1, 5) for x in table["packed"]]
-        value = np.zeros((sum(map(len, packed)), 8), dtype=np.uint8)
-        value[:, :5] = np.concatenate(packed)
-        found, n = np.unique(value.view("<u8").ravel(), return_counts=True)
+        packed = [np.frombuffer(x.as_buffer(), dtype="<u4") for x in table["packed"]]
+        found, n = np.unique(np.concatenate(packed), return_counts=True)
         return pa.table({"token": pa.array(found[n >= hot].astype(np.int64), pa.int64())})
 
     hot_tokens = cut(texts.select("text").mapInArrow(deal, "bucket int, packed binary").groupBy("bucket").applyInArrow(tally, "token long"), "jaccard-frequent")
@@ -175,7 +177,7 @@ def frequent_tokens(texts: DataFrame, buckets: int, words: int, hot: int) -> np.
     total = hot_tokens.count()
     while bits < 8 * total and bits < MOST_BITS:
         bits *= 2
-    return bitmap_of(hot_tokens.select(F.shiftright("token", 7).alias("p")), bits)
+    return bitmap_of(hot_tokens.select(F.shiftright("token", 3).alias("p")), bits)
 
 
 def bitmap_of(places: DataFrame, bits: int) -> np.ndarray:
@@ -190,11 +192,6 @@ def bitmap_of(places: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _short(tokens: np.ndarray) -> bytes:
-    """The low 40 bits of each token: with its bucket as good as all 64 for counting."""
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
 def candidate_lists(texts: DataFrame, order: Callable[[], Order], buckets: int, words: int) -> DataFrame:
     """kind, a, b, c, d: kind 0 a document (a id, b size, c set, d text), kind 1 a member (a list, c set) of a token's list.
 
@@ -209,7 +206,7 @@ def candidate_lists(texts: DataFrame, order: Callable[[], Order], buckets: int,
             for k, (ident, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 own = shingler.tokens(text)
                 name = set_id(own) if len(own) else 0
-                docs[k] = (ident or 0, ident is not None, len(own), name, text_id(text))
+                docs[k] = (ident or 0, ident is not None, len(own), name, row_key(ident, text))
                 if len(own):
                     first = rank.prefix(own)
                     post = np.empty(len(first), dtype=_POST)
@@ -262,16 +259,18 @@ def _lists(posts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(names, sizes)[use], posts["set"][use]
 
 
-def text_id(text: str | None) -> int:
+def row_key(ident: int | None, text: str | None) -> int:
+    """Names a row by its id and text."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"), (ident or 0) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
-def candidate_texts(texts: DataFrame, needed: DataFrame) -> DataFrame:
-    """set, packed: one text of each set, compressed. needed: set, text (the id of a text of that set).
+def candidate_texts(texts: DataFrame, needed: DataFrame, order: Callable[[], Order], words: int) -> DataFrame:
+    """set, n, first (the second order's prefix, 32 bits a token), packed (the text, compressed) of each set.
 
-    A bitmap of bounded size keeps most other texts from the shuffle; the join drops the rest of them.
+    needed: text, the key of a row of each set. A bitmap of bounded size picks these rows (and a few others) in the
+    scan itself, so no text is shuffled; a set that comes twice does no harm.
     """
     bits = LEAST_BITS
     total = needed.count()
@@ -282,23 +281,37 @@ def candidate_texts(texts: DataFrame, needed: DataFrame) -> DataFrame:
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack, known = zstandard.ZstdCompressor(level=3), shared.value
+        shingler, rank, pack, known, met = kept(f"shingler{words}", lambda: Shingler(words)), order(), zstandard.ZstdCompressor(level=3), shared.value, set()
         for batch in _slices(batches):
-            names, packed, met = [], [], set()
-            for text in batch.column("text").to_pylist():
-                name = text_id(text)
-                at = (name >> 12) & (len(known) * 8 - 1)
-                if text and name not in met and known[at >> 3] >> (at & 7) & 1:
-                    met.add(name)
-                    names.append(name)
-                    packed.append(pack.compress(text.encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], ["text", "packed"])
+            out: list[tuple] = []
+            for ident, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                key = row_key(ident, text)
+                at = (key >> 12) & (len(known) * 8 - 1)
+                if not text or key in met or not known[at >> 3] >> (at & 7) & 1:
+                    continue
+                met.add(key)
+                own = shingler.tokens(text)
+                if len(own):
+                    out.append((set_id(own), len(own), short(rank.prefix(own, 1)).tobytes(), pack.compress(text.encode("utf-8", "surrogatepass"))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["set", "n", "first", "packed"])
+
+    return cut(texts.select("id", "text").mapInArrow(wanted, "set long, n int, first binary, packed binary"), "jaccard-texts")
 
-    rows = texts.select("text").mapInArrow(wanted, "text long, packed binary")
-    return cut(rows.groupBy("text").agg(F.any_value("packed").alias("packed")).join(needed, "text").select("set", "packed"), "jaccard-texts")
+
+def short(tokens: np.ndarray) -> np.ndarray:
+    return np.unique((tokens & np.uint64(0xFFFFFFFF)).astype("<u4"))
+
+
+def least_common(a: int, b: int, num: int, den: int) -> int:
+    """How many tokens linked sets of these sizes share in their prefixes of one order: what the rest of the larger cannot hold.
+
+    One less, as two tokens may agree in 32 bits.
+    """
+    rest = max(-(-num * a // den) - 1, -(-num * b // den) - 1)
+    return max(1, -(-num * (a + b) // (num + den)) - rest - 1)
 
 
-def verified(pairs: DataFrame, packed: DataFrame, order: Callable[[], Order], words: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, packed: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs(hub, other) whose sets link. Hubs with many others are dealt out over chunks of about CHUNK.
 
     A task's rows come sorted, each hub before its others, so it holds one hub and one other at a time.
@@ -311,24 +324,28 @@ def verified(pairs: DataFrame, packed: DataFrame, order: Callable[[], Order], wo
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        shingler, rank, unpack = kept(f"shingler{words}", lambda: Shingler(words)), order(), zstandard.ZstdDecompressor()
-        hub, own, firsts = None, np.empty(0, np.uint64), []
+        shingler, unpack = kept(f"shingler{words}", lambda: Shingler(words)), zstandard.ZstdDecompressor()
+        tokens = lambda data: shingler.tokens_of(unpack.decompress(data))
+        hub, size, start, text, own = None, 0, None, b"", None
         for batch in _slices(batches):
             linked: list[tuple[int, int]] = []
-            for h, turn, name, data in zip(*[batch.column(c).to_pylist() for c in ("hub", "turn", "set", "packed")], strict=True):
-                other = shingler.tokens_of(unpack.decompress(data))
+            for h, turn, name, n, first, data in zip(*[batch.column(c).to_pylist() for c in ("hub", "turn", "set", "n", "first", "packed")], strict=True):
                 if turn == 0:
-                    hub, own, firsts = h, other, [np.sort(rank.prefix(other, k)) for k in range(1, len(ORDERS))]
-                elif not turn or h != hub:
+                    hub, size, start, text, own = h, n, np.frombuffer(first, dtype="<u4"), data, None
+                    continue
+                if h != hub:
                     raise ValueError(f"the hub of {name} did not come before it")
-                elif den * min(len(own), len(other)) >= num * max(len(own), len(other)) and all(common(f, rank.prefix(other, k + 1)) for k, f in enumerate(firsts)):
-                    both = common(own, other)
-                    if den * both >= num * (len(own) + len(other) - both):
-                        linked.append((hub, name))
+                if den * min(size, n) < num * max(size, n) or common(start, np.frombuffer(first, dtype="<u4")) < least_common(size, n, num, den):
+                    continue
+                own = tokens(text) if own is None else own
+                both = common(own, tokens(data))
+                if den * both >= num * (size + n - both):
+                    linked.append((hub, name))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in linked], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    rows = members.join(packed, "set").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "turn")
-    return cut(rows.select("hub", "turn", "set", "packed").mapInArrow(compare, "a long, b long"), "jaccard-links")
+    few = pairs.count() <= BROADCAST_PAIRS
+    rows = packed.join(F.broadcast(members) if few else members, "set").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "turn")
+    return cut(rows.select("hub", "turn", "set", "n", "first", "packed").mapInArrow(compare, "a long, b long").distinct(), "jaccard-links")
 
 
 def common(ordered: np.ndarray, other: np.ndarray) -> int:
@@ -357,7 +374,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gap = size_gap(num, den)
     lists = cut(found.filter("kind = 1").select(F.col("a").alias("list"), F.col("c").alias("set")).distinct(), "jaccard-members")
     needed = rows.groupBy("set").agg(F.min("text").alias("text")).join(lists.select("set").distinct(), "set")
-    packed = candidate_texts(texts, cut(needed, "jaccard-needed"))
+    packed = candidate_texts(texts, cut(needed, "jaccard-needed"), order, words)
     weights = lists.groupBy("set").agg(F.count("*").alias("weight"))
     members, tried, links, parts = lists.join(weights, "set").withColumn("component", F.col("set")), None, None, None
     for turn in range(rounds + 1):
@@ -380,7 +397,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pairs = pairs.join(seen, ["hub", "other"], "left_anti")
         pairs = cut(pairs, "jaccard-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = verified(pairs, packed, order, words, num, den)
+        new = verified(pairs, packed, words, num, den)
         links = new if links is None else links.unionByName(new)
         parts = connected(links)
         if turn < rounds:
