@@ -132,10 +132,10 @@ def template(raw: dict) -> Template:
 
 
 def load(path: str) -> list[Template]:
-    """One template file, or all *.stencil.yaml of a folder by name."""
+    """One template file, or all *.yaml of a folder by name."""
     import yaml
 
-    found = sorted(Path(path).glob("*.stencil.yaml")) if Path(path).is_dir() else [Path(path)]
+    found = sorted(Path(path).glob("*.yaml")) if Path(path).is_dir() else [Path(path)]
     if not found:
         raise TemplateError(f"no templates in {path}")
     return [template(yaml.safe_load(p.read_text(encoding="utf-8"))) for p in found]

@@ -86,6 +86,6 @@ def test_captures_replace(spark, tmp_path):
 
 
 def test_load(tmp_path):
-    (tmp_path / "b.stencil.yaml").write_text("name: b\ndiscriminator: {cell: A1}\nversions: {1: {fields: {x: {cell: A2}}}}\n")
-    (tmp_path / "a.stencil.yaml").write_text("name: a\ndiscriminator: {cells: [A1]}\nversions: {v: {}}\n")
-    assert [t.name for t in load(str(tmp_path))] == ["a", "b"] and list(load(str(tmp_path / "b.stencil.yaml"))[0].versions) == ["1"]
+    (tmp_path / "b.yaml").write_text("name: b\ndiscriminator: {cell: A1}\nversions: {1: {fields: {x: {cell: A2}}}}\n")
+    (tmp_path / "a.yaml").write_text("name: a\ndiscriminator: {cells: [A1]}\nversions: {v: {}}\n")
+    assert [t.name for t in load(str(tmp_path))] == ["a", "b"] and list(load(str(tmp_path / "b.yaml"))[0].versions) == ["1"]
