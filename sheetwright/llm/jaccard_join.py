@@ -311,41 +311,66 @@ def least_common(a: int, b: int, num: int, den: int) -> int:
     return max(1, -(-num * (a + b) // (num + den)) - rest - 1)
 
 
-def verified(pairs: DataFrame, packed: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs(hub, other) whose sets link. Hubs with many others are dealt out over chunks of about CHUNK.
-
-    A task's rows come sorted, each hub before its others, so it holds one hub and one other at a time.
-    """
+def beside_hub(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """hub, turn, and packed's columns: each hub (turn 0) before its others in one task; hubs with many others in chunks of about CHUNK."""
     degree = pairs.groupBy("hub").agg(F.count("*").alias("n"))
-    dealt = pairs.join(degree, "hub").withColumn("chunk", F.pmod(F.xxhash64("other"), F.ceil(F.col("n") / CHUNK)))
+    dealt = pairs.join(degree, "hub").select("hub", "other", F.pmod(F.xxhash64("other"), F.ceil(F.col("n") / CHUNK)).alias("chunk"))
     hubs = dealt.select("hub", "chunk", F.lit(0).alias("turn"), F.col("hub").alias("set")).distinct()
     members = hubs.unionByName(dealt.select("hub", "chunk", F.lit(1).alias("turn"), F.col("other").alias("set")))
+    few = pairs.count() <= BROADCAST_PAIRS
+    rows = packed.join(F.broadcast(members) if few else members, "set")
+    return rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "turn").drop("chunk")
+
+
+def _pairs(found: list[tuple[int, int]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names)
+
+
+def competitive(pairs: DataFrame, packed: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs(hub, other) that pass the length filter and share enough of the second order's prefixes; no text moves for this."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, size, start = None, 0, None
+        for batch in _slices(batches):
+            kept_: list[tuple[int, int]] = []
+            for h, turn, name, n, first in zip(*[batch.column(c).to_pylist() for c in ("hub", "turn", "set", "n", "first")], strict=True):
+                other = np.frombuffer(first, dtype="<u4")
+                if turn == 0:
+                    hub, size, start = h, n, other
+                elif h != hub:
+                    raise ValueError(f"the hub of {name} did not come before it")
+                elif den * min(size, n) >= num * max(size, n) and common(start, other) >= least_common(size, n, num, den):
+                    kept_.append((hub, name))
+            yield _pairs(kept_, ["hub", "other"])
+
+    rows = beside_hub(pairs, packed.select("set", "n", "first"))
+    return cut(rows.select("hub", "turn", "set", "n", "first").mapInArrow(compare, "hub long, other long").distinct(), "jaccard-competitive")
+
+
+def verified(pairs: DataFrame, packed: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs(hub, other) whose sets link, as a, b. A task holds one hub and one other at a time."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         shingler, unpack = kept(f"shingler{words}", lambda: Shingler(words)), zstandard.ZstdDecompressor()
-        tokens = lambda data: shingler.tokens_of(unpack.decompress(data))
-        hub, size, start, text, own = None, 0, None, b"", None
+        hub, own = None, np.empty(0, np.uint64)
         for batch in _slices(batches):
             linked: list[tuple[int, int]] = []
-            for h, turn, name, n, first, data in zip(*[batch.column(c).to_pylist() for c in ("hub", "turn", "set", "n", "first", "packed")], strict=True):
+            for h, turn, name, data in zip(*[batch.column(c).to_pylist() for c in ("hub", "turn", "set", "packed")], strict=True):
+                tokens = shingler.tokens_of(unpack.decompress(data))
                 if turn == 0:
-                    hub, size, start, text, own = h, n, np.frombuffer(first, dtype="<u4"), data, None
-                    continue
-                if h != hub:
+                    hub, own = h, tokens
+                elif h != hub:
                     raise ValueError(f"the hub of {name} did not come before it")
-                if den * min(size, n) < num * max(size, n) or common(start, np.frombuffer(first, dtype="<u4")) < least_common(size, n, num, den):
-                    continue
-                own = tokens(text) if own is None else own
-                both = common(own, tokens(data))
-                if den * both >= num * (size + n - both):
-                    linked.append((hub, name))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in linked], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    few = pairs.count() <= BROADCAST_PAIRS
-    rows = packed.join(F.broadcast(members) if few else members, "set").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "turn")
-    return cut(rows.select("hub", "turn", "set", "n", "first", "packed").mapInArrow(compare, "a long, b long").distinct(), "jaccard-links")
+                else:
+                    both = common(own, tokens)
+                    if den * both >= num * (len(own) + len(tokens) - both):
+                        linked.append((hub, name))
+            yield _pairs(linked, ["a", "b"])
+
+    rows = beside_hub(competitive(pairs, packed, num, den), packed.select("set", "packed"))
+    return cut(rows.select("hub", "turn", "set", "packed").mapInArrow(compare, "a long, b long").distinct(), "jaccard-links")
 
 
 def common(ordered: np.ndarray, other: np.ndarray) -> int:
