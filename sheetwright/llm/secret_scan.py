@@ -3,8 +3,9 @@
 Base spans (assign, access, hex) always count. Weak candidates (weak_id, weak_secret, endpoint) are
 reported only where complementary parts co-occur: identifiers, secrets and endpoints of one document are
 joined as intervals, by the scopes (buckets of SCOPE code points) that they touch, and two parts link
-when at most SCOPE code points lie between them. An identifier needs a secret, a secret an identifier or an
-endpoint, an endpoint both.
+when they share no text and at most SCOPE code points lie between them. An identifier needs a secret, a secret
+an identifier or an endpoint, an endpoint both, which must not share text either. Text inside an endpoint or a
+weak identifier is no weak secret; an endpoint with user information begins after its @.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 LEAST_VALUE = 6
 WEAK_ID = r"""(?i:access_?key(?:_?id)?|client_?id|account|username|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}"""
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
-ENDPOINT = r"""(?:https?|ftp|s3|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}"""
+#: Not the name before an assignment's =; closing = belong to it.
+WEAK_SECRET = r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}+(?!={1,2}["']?[A-Za-z0-9+/_-]|\x20+=)={0,2}"""
+_SCHEME = r"(?:https?|ftp|s3|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp)://"
+ENDPOINT = rf"""{_SCHEME}(?![^\s"'<>/@]{{1,200}}@)[^\s"'<>]{{4,}}|(?<=@)(?<={_SCHEME}[^\s"'<>/@]{{1,200}}@)[^\s"'<>]+"""
 #: In the order that settles equal starts.
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 ROLES = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "endpoint": "endpoint"}
@@ -58,6 +61,12 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", names[s["kind_no"]], s["start"], s["stop"])), ",")
 
 
+def clear_of(spans: str, *others: str) -> Column:
+    """The spans of a column that share no text with those of the others."""
+    meets = lambda w, o: F.exists(o, lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"]))
+    return F.filter(spans, lambda w: ~F.exists(F.array(*[meets(w, o) for o in others]), lambda m: m))
+
+
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """key, spans: the weak parts of each key that have their complement in scope.
 
@@ -68,9 +77,11 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     scopes = lambda lo, hi: F.explode(F.sequence(F.floor(F.greatest(lo, F.lit(0)) / scope), F.floor(hi / scope)))
     weak = flat.filter(F.col("kind_no") >= 3).withColumn("bucket", scopes(F.col("start") - scope, F.col("stop") + scope))
     other = flat.select("key", F.col("start").alias("o_start"), F.col("stop").alias("o_stop"), F.col("role").alias("o_role")).withColumn("bucket", scopes(F.col("o_start"), F.col("o_stop")))
-    met = weak.join(other, ["key", "bucket"]).filter("role <> o_role AND o_start <= stop + {0} AND start <= o_stop + {0}".format(scope))
-    flags = met.groupBy("key", "start", "kind_no", "stop", "role").agg(*[F.bool_or(F.col("o_role") == r).alias(f"has_{r}") for r in ("id", "secret", "endpoint")])
-    ok = flags.filter("(role = 'id' AND has_secret) OR (role = 'secret' AND (has_id OR has_endpoint)) OR (role = 'endpoint' AND has_id AND has_secret)")
+    met = weak.join(other, ["key", "bucket"]).filter("role <> o_role AND (o_stop <= start OR o_start >= stop) AND o_start <= stop + {0} AND start <= o_stop + {0}".format(scope))
+    edge = lambda of, side, r: of(F.when(F.col("o_role") == r, F.col(side)))
+    apart = lambda a, b: edge(F.max, "o_start", a) >= edge(F.min, "o_stop", b)
+    flags = met.groupBy("key", "start", "kind_no", "stop", "role").agg(*[F.bool_or(F.col("o_role") == r).alias(f"has_{r}") for r in ("id", "secret", "endpoint")], (apart("id", "secret") | apart("secret", "id")).alias("has_pair"))
+    ok = flags.filter("(role = 'id' AND has_secret) OR (role = 'secret' AND (has_id OR has_endpoint)) OR (role = 'endpoint' AND has_pair)")
     return ok.groupBy("key").agg(F.collect_list(F.struct("start", "kind_no", "stop")).alias("linked"))
 
 
@@ -78,8 +89,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A row for each document: id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
 
     Null and empty texts have no spans. Rows are told apart by id and text, so null ids and repeated
-    rows each get their own result. A weak part that overlaps a base span is dropped. Other columns
-    are not read; an empty table gives an empty result. Positions are code points of the whole text.
+    rows each get their own result. A weak part that overlaps a base span is dropped, but such an endpoint
+    still serves as a partner. Other columns are not read; an empty table gives an empty result. Positions are code points of the whole text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
@@ -89,13 +100,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         spans_of(F.col("text"), "assign", ASSIGN, 1, LEAST_VALUE).alias("assign"),
         spans_of(F.col("text"), "access", ACCESS).alias("access"),
         spans_of(F.col("text"), "hex", HEX).alias("hex"),
-        F.concat(spans_of(F.col("text"), "weak_id", WEAK_ID), spans_of(F.col("text"), "weak_secret", WEAK_SECRET), spans_of(F.col("text"), "endpoint", ENDPOINT)).alias("weak"),
-    ).withColumn("base", F.concat("assign", "access", "hex"))
-    rows = cut(rows.withColumn("weak", F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))), "secret-spans")
+        *[spans_of(F.col("text"), kind, pattern).alias(kind) for kind, pattern in (("weak_id", WEAK_ID), ("weak_secret", WEAK_SECRET), ("endpoint", ENDPOINT))],
+    )
+    rows = cut(rows, "secret-spans").withColumn("base", F.concat("assign", "access", "hex"))
+    rows = rows.withColumn("weak", F.concat(clear_of("weak_id", "base"), clear_of("weak_secret", "base", "weak_id", "endpoint"), "endpoint"))
     links = linked(rows.filter("size(weak) > 0 AND size(weak) + size(base) > 1").select("key", F.explode(F.concat("base", "weak")).alias("part")), scope)
-    out = rows.join(links, "key", "left")
     none = F.array().cast("array<struct<start:int,kind_no:int,stop:int>>")
-    extra = F.coalesce("linked", none)
+    out = rows.join(links, "key", "left").withColumn("linked", F.coalesce("linked", none))
+    extra = clear_of("linked", "base")
     return out.select(
         F.col("id").alias(id_col),
         *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],

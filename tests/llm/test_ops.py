@@ -199,6 +199,18 @@ def test_secret_scan(spark, docs, none):
     assert secret_scan.scan_secrets(df).count() == len(rows) and secret_scan.scan_secrets(none).count() == 0
 
 
+def test_secret_parts_are_different_text(spark):
+    key = "aB3" + "c4" * 9
+    want = {
+        "https://www.apache.org/licenses/LICENSE-2.0": "", "client_id=abcd1234efgh5678ijkl": "", "client_id=abcd1234efgh5678ijkl https://api.host.example": "",
+        f"user=root some_name_of_value_1={key}": "weak_id:0:9,weak_secret:31:52", f"user=root {key}== next": "weak_id:0:9,weak_secret:10:33",
+        f"https://h.example/?token=abcdefgh and {key}": "assign:19:33,weak_secret:38:59", f"postgres://svc:{key}@db/x": "weak_secret:15:36", "token=AKIA" + "B" * 16 + " https://h.example": "assign:0:26,access:6:26",
+        f"user=root {key} https://h.example": "weak_id:0:9,weak_secret:10:31,endpoint:32:49",
+    }
+    got = secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).collect()
+    assert [r.spans for r in sorted(got)] == list(want.values())
+
+
 def components_by_hand(rows):
     sets = []
     for i, t, *_ in rows:
