@@ -26,10 +26,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked texts; all without shingles stay."""
-    groups = jaccard_join.components(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One document of each group of linked texts, the one with the smallest id (null ids last), then hash of id and text; all without shingles stay."""
+    groups = jaccard_join.components(docs, detail=True).filter("group IS NOT NULL")
+    rows = groups.groupBy("group", "doc_id", "row_key").agg(F.count("*").alias("n"))
+    best = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("__id"), F.col("row_key").alias("__kept"), "n")).alias("b"))
+    kept = cut(best.select("b.__id", "b.__kept", "b.n"), "near-kept")
+    keyed = docs.withColumn("__key", F.xxhash64("text", F.col("doc_id").cast("long")))
+    same = (F.col("__key") == F.col("__kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    blank = docs.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    out = blank.unionByName(keyed.join(kept.filter("n = 1"), same, "left_semi").drop("__key"))
+    repeated = kept.filter("n > 1")  # rows equal in id and text
+    return out if repeated.isEmpty() else out.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["__key", "doc_id"]).drop("__key"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

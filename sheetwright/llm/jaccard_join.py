@@ -260,10 +260,12 @@ def _lists(posts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def row_key(ident: int | None, text: str | None) -> int:
-    """Names a row by its id and text."""
+    """Names a row by its id and text: Spark's xxhash64(text, id), if the text is not null."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"), (ident or 0) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+    h = xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 42)
+    h = h if ident is None else xxhash.xxh64_intdigest(ident.to_bytes(8, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def candidate_texts(texts: DataFrame, needed: DataFrame, order: Callable[[], Order], words: int) -> DataFrame:
@@ -380,13 +382,14 @@ def common(ordered: np.ndarray, other: np.ndarray) -> int:
     return int(np.count_nonzero(ordered[at] == other))
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, hot: int = HOT, rounds: int = ROUNDS, detail: bool = False) -> DataFrame:
     """id, n_shingles, component_id of every row, for links of Jaccard similarity num / den or more.
 
     Null, empty and blank texts have no shingles and are linked with nothing: their component is their own id. With
     fewer words than a shingle the whole sequence is the one shingle. Null ids take part, but name no component:
     a component without any id has a null one. Repeated rows have equal sets and share a component.
     Other columns are not read; an empty table gives an empty result. Shingles are hashed to 64 bits.
+    With detail also row_key and group, which names the component whatever its ids; null without shingles.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -433,6 +436,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         whole = named.groupBy("component").agg(F.min("least").alias("component_id"))
         named = named.join(whole, "component")
     else:
-        named = named.withColumn("component_id", F.col("least"))
-    out = rows.join(named.select("set", "component_id"), "set", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+        named = named.withColumns({"component_id": F.col("least"), "component": F.col("set")})
+    out = rows.join(named.select("set", "component_id", "component"), "set", "left")
+    more = [F.col("text").alias("row_key"), F.col("component").alias("group")] if detail else []
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), *more)

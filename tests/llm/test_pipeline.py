@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sheetwright.llm.jaccard_join import row_key
 from tests.llm.test_ops import components_by_hand, dedup_by_hand
 
 
@@ -35,3 +36,14 @@ def test_keeps_one_of_repeated_rows(spark):
     kept = corpus_pipeline.drop_copies(spark, docs, "")
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == [2, None]
     assert corpus_pipeline.drop_near_copies(spark, kept, "").count() == 2
+
+
+def test_keeps_one_of_each_near_group(spark):
+    base = [" ".join(f"{w}{k}" for k in range(60)) for w in "abcd"]
+    rows = [(1, base[0]), (None, base[0] + " more"), (None, base[1]), (None, base[1] + " more"), (7, base[2]), (7, base[2] + " more"), (7, base[3]), (7, base[3]), (None, None), (None, "  ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    group = lambda t: base.index(t.removesuffix(" more")) if (t or "").strip() else t
+    assert sorted(((i, group(t)) for i, t in got), key=repr) == sorted([(1, 0), (None, 1), (7, 2), (7, 3), (None, None), (None, "  ")], key=repr)
+    keys = docs.filter("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text", "doc_id").alias("k")).collect()
+    assert all(row_key(r.doc_id, r.text) == r.k for r in keys)
