@@ -1,6 +1,7 @@
 """Toxicity scores: gradient-boosted trees over dense features, with isotonic calibration.
 
-Labels come from a bounded sample of the training fold. Its first part yields a lexicon (words and word
+Labels come from a bounded sample of the training fold, half of it from each class where there are as many; the
+calibration weighs the classes back to their true rate. Its first part yields a lexicon (words and word
 beginnings that toxic texts use far more often), its second part the trees, its third the calibration, so
 no part judges what it has itself learned. Every document is then scored in its own partition.
 """
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from .shared import cut
@@ -25,6 +27,8 @@ TRAIN_DOCS = 20_000
 TREES, DEPTH, BINS, RATE, LEAST_LEAF = 80, 3, 32, 0.15, 12
 LEXICON, STEM = 4_000, (4, 8)
 LEAST_DOCS, LEAST_ODDS = 4, 2.5
+#: Parts of a class's documents in turn: 0 to 4 yield the lexicon, 5 to 7 the trees, 8 and 9 the calibration; and the fewest of a class in the latter two.
+PARTS, LEAST_GROW, LEAST_SETTLE = (0, 5, 8, 1, 6, 2, 9, 3, 7, 4), 2, 1
 #: Second-person words, and look-alike characters in disguised words.
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch euer sie tu te toi ton ta tes vous votre vos ti tuyo tus usted ustedes vosotros".split())
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", "_": "", "-": "", ".": ""})
@@ -94,7 +98,7 @@ class Trees:
     """Boosted regression trees of logistic loss over binned features."""
 
     def __init__(self, edges: list[np.ndarray], base: float):
-        self.edges, self.base, self.trees = edges, base, []
+        self.edges, self.base, self.trees, self.least = edges, base, [], LEAST_LEAF
 
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)])
@@ -108,11 +112,11 @@ class Trees:
                     continue
                 g, h = grad[rows].sum(), hess[rows].sum()
                 found = (1e-6, 0, 0)
-                if depth < DEPTH and len(rows) >= 2 * LEAST_LEAF:
+                if depth < DEPTH and len(rows) >= 2 * self.least:
                     for j in range(x.shape[1]):
                         gs, hs, ns = (np.bincount(x[rows, j], weights=v, minlength=BINS + 1).cumsum() for v in (grad[rows], hess[rows], np.ones(len(rows))))
                         gain = gs**2 / (hs + 1) + (g - gs) ** 2 / (h - hs + 1) - g**2 / (h + 1)
-                        gain[(ns < LEAST_LEAF) | (len(rows) - ns < LEAST_LEAF)] = 0
+                        gain[(ns < self.least) | (len(rows) - ns < self.least)] = 0
                         if gain.max() > found[0]:
                             found = (gain.max(), j, int(gain.argmax()))
                 if found[0] > 1e-6:
@@ -124,6 +128,7 @@ class Trees:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         b, f = self.binned(x), np.full(len(y), self.base)
+        self.least = int(max(1, min(LEAST_LEAF, y.sum(), (1 - y).sum())))  # a rare class may have leaves of its own
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-f))
             self.trees.append(self._grow(b, y - p, p * (1 - p)))
@@ -147,12 +152,13 @@ class Trees:
         return self.base + sum((self._one(t, b) for t in self.trees), np.zeros(len(b)))
 
 
-def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots (raw score, probability) of the non-decreasing least-squares fit, by pooling adjacent violators."""
+def isotonic(raw: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (raw score, probability) of the non-decreasing (weighted) least-squares fit, by pooling adjacent violators."""
+    weight = np.ones(len(y)) if weight is None else weight
     at = np.argsort(raw, kind="stable")
     blocks: list[list[float]] = []  # sum, count, first raw, last raw
-    for r, v in zip(raw[at], y[at], strict=True):
-        blocks.append([float(v), 1.0, r, r])
+    for r, v, w in zip(raw[at], y[at], weight[at], strict=True):
+        blocks.append([float(v * w), float(w), r, r])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, n, _, hi = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2], hi]
@@ -199,25 +205,35 @@ def _features_of(rows: DataFrame, words: dict[str, float], stems: dict[str, floa
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> Model:
-    """Learns from at most train_docs labelled documents outside the held-out fold, chosen by a hash of their ids."""
+    """Learns from at most train_docs labelled documents outside the held-out fold, chosen by class and a hash of their ids.
+
+    A class that half of train_docs holds is taken whole, and the other fills up. With fewer than LEAST_GROW of a class
+    for the trees or LEAST_SETTLE for the calibration every document gets the share of toxic labels.
+    """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(train_docs)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")  # at most train_docs rows of 12 bytes
-    rows = cut(rows.select("text", "y", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10)).cast("int").alias("part")), "toxicity-sample")
+    have = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    n = [have.get(0, 0), have.get(1, 0)]
+    take = [min(n[k], max(train_docs // 2, train_docs - n[1 - k])) for k in (0, 1)]
+    of_class = [known.filter(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(take[k]) for k in (0, 1)]
+    turn = F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("id", F.lit(1)), "id")) - 1  # over at most train_docs rows
+    sample = of_class[0].unionByName(of_class[1]).withColumn("part", F.get(F.array(*map(F.lit, PARTS)), F.pmod(turn, F.lit(len(PARTS)))))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")  # at most train_docs rows of 16 bytes
+    rows = cut(rows.select("text", "y", "part"), "toxicity-sample")
     words, stems = lexicon(rows.filter("part < 5"))
     got = _features_of(rows.filter("part >= 5").select("y", "part", "text"), words, stems, "y int, part int").toArrow()  # at most train_docs rows of 16 numbers
     y, part = np.array(got["y"].to_pylist(), dtype=float), np.array(got["part"].to_pylist(), dtype=int)
     x = np.array(got["x"].to_pylist(), dtype=float).reshape(len(y), len(FEATURES))
     order = np.lexsort(tuple(x.T) + (y,))  # the tasks' order doesn't matter
     x, y, part = x[order], y[order], part[order]
-    prior = float(y.mean()) if len(y) else 0.0
+    weight = np.where(y == 1, n[1] / max(take[1], 1), n[0] / max(take[0], 1))
+    prior = float(np.average(y, weights=weight)) if len(y) else 0.0
     grow, settle = part < 8, part >= 8
-    if min(y[grow].sum(), (1 - y[grow]).sum()) < 5 or min(y[settle].sum(), (1 - y[settle]).sum()) < 2:
+    if min(y[grow].sum(), (1 - y[grow]).sum()) < LEAST_GROW or min(y[settle].sum(), (1 - y[settle]).sum()) < LEAST_SETTLE:
         return Model(words, stems, None, (np.zeros(1), np.zeros(1)), prior)
     edges = [np.unique(np.quantile(x[grow, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     trees = Trees(edges, float(np.log(y[grow].mean() / (1 - y[grow].mean()))))
     trees.fit(x[grow], y[grow])
-    return Model(words, stems, trees, isotonic(trees.raw(x[settle]), y[settle]), prior)
+    return Model(words, stems, trees, isotonic(trees.raw(x[settle]), y[settle], weight[settle]), prior)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", name: str = "score", keep: bool = False) -> DataFrame:

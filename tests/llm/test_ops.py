@@ -353,3 +353,14 @@ def test_toxicity(spark, docs, none):
     assert len(odd) == len(ROWS) and odd.score.between(0, 1).all() and toxicity.score_documents(none, model).count() == 0
     empty = toxicity.fit(none, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert {r.score for r in toxicity.score_documents(docs, empty).collect()} == {0.0}
+
+
+def test_rare_toxic_labels(spark):
+    rng = np.random.default_rng(5)
+    plain = lambda k: " ".join(f"w{j}" for j in rng.integers(0, 300, 40)) + (" you stupid IDIOT!! you worthless idiot" if k else ".")
+    for n, bad, most in ((4000, 60, 400), (200, 10, 20_000)):
+        rows = [(i, plain(i < bad), int(i < bad)) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        model = toxicity.fit(df, df, train_docs=most)
+        got = toxicity.score_documents(df, model).toPandas().set_index("doc_id").score
+        assert model.trees is not None and (got[got.index < bad] >= 0.5).all() and (got[got.index >= bad] < 0.5).all()
