@@ -13,7 +13,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) for every node of links(a, b), longs.
+    """node, component (the smallest node reachable) for every node of links(a, b), of any one type that has an order.
 
     Each step sends all neighbours of a node to its smallest one, with aggregates and joins alone, so a
     hub with very many links is never held in one place; steps stop when the edges no longer change.

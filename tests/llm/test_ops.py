@@ -250,11 +250,11 @@ def near_rows(n=40):
     return rows
 
 
-@pytest.mark.parametrize(("hot", "rounds"), [(12, 3), (3, 0), (4, 1)])
-def test_jaccard_join(spark, docs, hot, rounds):
+@pytest.mark.parametrize(("salt_rows", "rounds"), [(4_000, 3), (3, 0), (4, 1)])
+def test_jaccard_join(spark, docs, salt_rows, rounds):
     rows = [(i, t) for i, t, *_ in ROWS] + near_rows()
     df = docs.select("doc_id", "text", "set", "component", "n").unionByName(spark.createDataFrame(near_rows(), "doc_id long, text string"), allowMissingColumns=True)
-    got = rows_of(jaccard_join.components(df, hot=hot, rounds=rounds))
+    got = rows_of(jaccard_join.components(df, salt_rows=salt_rows, rounds=rounds))
     assert got == components_by_hand(rows)
 
 
