@@ -19,8 +19,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEEP_PIECES = 400_000
-_WORKER: dict[str, "Codec"] = {}
+from .words import kept
+
+#: Pieces that a worker remembers, and rows that it takes at a time.
+KEEP_PIECES, ROWS = 100_000, 250
 
 
 def byte_characters() -> list[str]:
@@ -102,39 +104,39 @@ class Codec:
         return out
 
 
-def _codec(name: str, path: str, pattern: str) -> Codec:
+def _codec(path: str, pattern: str) -> Codec:
     """The worker's codec; the file is read at its path, or as the copy that Spark sent with addFile."""
-    if name not in _WORKER:
-        _WORKER[name] = Codec(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), pattern)
-    return _WORKER[name]
+    return kept(f"codec|{path}|{pattern}", lambda: Codec(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row (and ids, if asked for); no shuffle.
 
     Null and empty texts give 0 tokens and the digests of the empty string. Null ids, repeated rows and
-    extra columns don't matter; an empty table gives an empty result. A batch's texts are held one by
-    one, and a very long text is one row of its batch.
+    extra columns don't matter; an empty table gives an empty result. Texts are taken one by
+    one; a very long text is one row of its batch.
     """
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(f"{ranks_path}|{pattern}", ranks_path, pattern)
+        codec = _codec(ranks_path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
-            n, ids, digest, back = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                parts, decoded = codec.coded(text)
-                line = " ".join(parts)
-                n.append(line.count(" ") + 1 if line else 0)
-                digest.append(sha(line.encode()))
-                back.append(sha(b"".join(decoded)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                n, ids, digest, back = [], [], [], []
+                for text in batch.column("text"):
+                    parts, decoded = codec.coded(text.as_py())
+                    line = " ".join(parts)
+                    n.append(line.count(" ") + 1 if line else 0)
+                    digest.append(sha(line.encode()))
+                    back.append(sha(b"".join(decoded)))
+                    if with_ids:
+                        ids.append(np.fromstring(line, dtype=np.int32, sep=" "))
+                cols = [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest), pa.array(back)]
+                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    ids.append(np.fromstring(line, dtype=np.int32, sep=" "))
-            cols = [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest), pa.array(back)]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols, names = [*cols, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+                    cols, names = [*cols, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -1,14 +1,13 @@
 """Exact deduplication by an extendible-hash index on shared files, in DataFrame operations alone.
 
-Each text without white space has a 64-bit key. A directory of at most 2**MAX_DEPTH slots maps the
-leading bits of a key to its bucket: a bucket with too many keys splits on its next bit, which doubles
-the directory where needed. Owner tasks each hold ranges of keys; rows of one key form its chain, and their bytes are
-compared: when the smallest and the largest text of a chain are the same bytes, all of it is. A chain
-with different texts (a collision) is told apart text by text. The index, one row a chain and without
-texts, is a table in the shared folder, sorted by bucket and key; documents then look up their chain.
-
-Copies are pre-aggregated before the shuffle, so one text that fills a third of the rows costs one row
-a task; the look-up is an ordinary join, whose hot keys adaptive execution splits.
+Each text without white space has a 64-bit key. A directory of at most 2**MAX_DEPTH slots maps the leading
+bits of a key to its bucket: a bucket with too many rows splits on its next bit, which doubles the directory
+where needed. Neighbouring buckets make up an owner, a range of keys of about OWNER_ROWS rows; each row is dealt to its
+owner's task, which chains the rows of a bucket by key and compares the bytes of a chain's texts, so colliding
+keys are told apart. What the owners find is the index, sorted by key within each owner, in the shared folder.
+
+A key of more than HOT_ROWS rows cannot be split by its bits. Such keys (at most rows / HOT_ROWS of them) are left out of the
+buckets: their texts are aggregated before the shuffle, one row a task and text, and the rows look their text up.
 """
 
 from __future__ import annotations
@@ -21,87 +20,118 @@ from .shared import cut
 
 #: The white space that equal texts may differ in.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
-MAX_DEPTH, BUCKET_KEYS = 16, 100_000
+MAX_DEPTH, BUCKET_ROWS, OWNER_ROWS, HOT_ROWS = 16, 10_000, 20_000, 50_000
+#: Hot keys up to which they are broadcast (20 bytes each).
+BROADCAST_KEYS = 500_000
 
 
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, key_bits: int) -> DataFrame:
-    """id, n_points, norm, key; the key's leading bits are the directory's."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.char_length(text).cast("long").alias("n_points"), normalised(text).alias("norm"))
-    return rows.withColumn("key", F.shiftrightunsigned(F.xxhash64("norm"), 64 - key_bits) if key_bits < 64 else F.xxhash64("norm"))
+def key_of(norm: Column, key_bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(norm), 64 - key_bits) if key_bits < 64 else F.xxhash64(norm)
 
 
 def slot_of(key: Column, key_bits: int) -> Column:
     return F.shiftrightunsigned(key, max(0, key_bits - MAX_DEPTH)).cast("int")
 
 
-def directory(keys: DataFrame, key_bits: int, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """slot, bucket, depth: the directory after all splits, at most 2**MAX_DEPTH rows.
+def directory(counts: DataFrame, key_bits: int, bucket_rows: int = BUCKET_ROWS, owner_rows: int = OWNER_ROWS) -> DataFrame:
+    """slot, bucket, depth, owner: the directory after all splits, at most 2**MAX_DEPTH rows; counts: key, n.
 
-    Splitting stops at the first depth at which a bucket holds bucket_keys keys or fewer, or at
-    MAX_DEPTH, where a bucket keeps the rest.
+    Splitting stops at the first depth at which a bucket holds bucket_rows rows or fewer, or at MAX_DEPTH, where a
+    bucket keeps the rest. Owners are runs of buckets.
     """
-    slots = keys.select("key").distinct().groupBy(slot_of(F.col("key"), key_bits).alias("slot")).agg(F.count("*").alias("n"))
+    slots = counts.groupBy(slot_of(F.col("key"), key_bits).alias("slot")).agg(F.sum("n").alias("n"))
     levels = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH))).alias("depth"))
     levels = levels.withColumn("prefix", F.expr(f"shiftright(slot, {MAX_DEPTH} - depth)"))
-    full = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("held")).filter(f"held <= {int(bucket_keys)} OR depth = {MAX_DEPTH}")
-    first = levels.join(full, ["depth", "prefix"]).groupBy("slot").agg(F.min(F.struct("depth", "prefix")).alias("b"))
-    return first.select("slot", F.expr(f"shiftleft(b.prefix, {MAX_DEPTH} - b.depth)").alias("bucket"), F.col("b.depth").alias("depth"))
-
-
-def best(n_points: str = "n_points", ident: str = "id") -> Column:
-    """Orders the rows of a group: most code points first, then the smallest id, null ids last."""
-    return F.max(F.struct(F.col(n_points).alias("n_points"), F.col(ident).isNotNull().alias("has_id"), F.bitwise_not(F.col(ident)).alias("not_id")))
-
-
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """bucket, key, text_sha256, keep_points, keep_id, group_size, collided: a row for each different text."""
-    rows = keyed(docs, id_col, text_col, key_bits)
-    book = F.broadcast(directory(rows, key_bits, bucket_keys).select("slot", "bucket"))  # at most 2**MAX_DEPTH rows of 8 bytes
-    owned = rows.withColumn("slot", slot_of(F.col("key"), key_bits)).join(book, "slot", "left")
-    chains = owned.groupBy("bucket", "key").agg(F.min("norm").alias("low"), F.max("norm").alias("high"), best().alias("best"), F.count("*").alias("group_size"))
-    index = cut(
-        chains.select("bucket", "key", F.sha2("low", 256).alias("text_sha256"), F.col("best.n_points").alias("keep_points"), F.bitwise_not("best.not_id").alias("keep_id"), "group_size", (F.col("low") != F.col("high")).alias("collided"))
-        .repartitionByRange("bucket", "key")
-        .sortWithinPartitions("bucket", "key"),
-        "dedup-index",
-    )
-    mixed = index.filter("collided").select("bucket", "key")
-    if mixed.isEmpty():
-        return index
-    texts = rows.join(mixed, "key").groupBy("bucket", "key", "norm").agg(best().alias("best"), F.count("*").alias("group_size"))
-    told = texts.select("bucket", "key", F.sha2("norm", 256).alias("text_sha256"), F.col("best.n_points").alias("keep_points"), F.bitwise_not("best.not_id").alias("keep_id"), "group_size", F.lit(True).alias("collided"))
-    return cut(index.filter("NOT collided").unionByName(told), "dedup-index")
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    full = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("held")).filter(f"held <= {int(bucket_rows)} OR depth = {MAX_DEPTH}")
+    first = levels.join(full, ["depth", "prefix"]).groupBy("slot", "n").agg(F.min(F.struct("depth", "prefix")).alias("b"))
+    book = first.select("slot", "n", F.expr(f"shiftleft(b.prefix, {MAX_DEPTH} - b.depth)").alias("bucket"), F.col("b.depth").alias("depth"))
+    before = F.sum("n").over(W.orderBy("bucket").rangeBetween(W.unboundedPreceding, -1))  # over at most 2**MAX_DEPTH rows
+    return book.withColumn("owner", F.floor(F.coalesce(before, F.lit(0)) / owner_rows).cast("int")).select("slot", "bucket", "depth", "owner")
+
+
+def dealt(rows: DataFrame, key_bits: int, bucket_rows: int, owner_rows: int, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """rows (with a key) in their owners' tasks, with bucket and owner, and apart from them the rows of hot keys, if there are any."""
+    counts = cut(rows.groupBy("key").agg(F.count("*").alias("n")), "dedup-keys")
+    hot = cut(counts.filter(F.col("n") > hot_rows).select("key"), "dedup-hot")
+    book = cut(directory(counts.filter(F.col("n") <= hot_rows), key_bits, bucket_rows, owner_rows), "dedup-directory")
+    n_hot, held = hot.count(), None
+    if n_hot:
+        some = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+        held, rows = rows.join(some, "key", "left_semi"), rows.join(some, "key", "left_anti")
+    small = F.broadcast(book.select("slot", "bucket", "owner"))  # at most 2**MAX_DEPTH rows of 12 bytes
+    return rows.withColumn("slot", slot_of(F.col("key"), key_bits)).join(small, "slot").drop("slot").repartition("owner"), held
+
+
+def best(n_points: str, ident: str) -> list[Column]:
+    """The order of a group: most code points first, then the smallest id, null ids last."""
+    return [F.desc(n_points), F.asc_nulls_last(ident)]
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64, bucket_rows: int = BUCKET_ROWS, owner_rows: int = OWNER_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """owner, bucket, key, text_sha256, id, n_points, keep_id, group_size, kept: an entry for each row; the table in the shared folder.
+
+    Entries of hot keys have no owner and no bucket.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.char_length(text).cast("long").alias("n_points"), normalised(text).alias("norm"))
+    rows, hot = dealt(rows.withColumn("key", key_of(F.col("norm"), key_bits)), key_bits, bucket_rows, owner_rows, hot_rows)
+    chain = W.partitionBy("key", "bucket", "owner", "norm")  # within the owner's task; texts of one key are compared as bytes
+    turn = chain.orderBy(*best("n_points", "id"))
+    found = rows.withColumns({"keep_id": F.first("id").over(turn), "kept": F.row_number().over(turn) == 1, "group_size": F.count("*").over(chain)})
+    entries = found.select("owner", "bucket", "key", F.sha2("norm", 256).alias("text_sha256"), "id", "n_points", "keep_id", "group_size", "kept")
+    if hot is not None:
+        entries = entries.unionByName(_hot_entries(hot))
+    return cut(entries, "dedup-index")
+
+
+def _hot_entries(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("text_sha256", F.sha2("norm", 256)).drop("norm")
+    rank = F.struct((-F.col("n_points")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id"))
+    texts = rows.groupBy("key", "text_sha256").agg(F.min(rank).alias("b"), F.count("*").alias("group_size"))
+    texts = cut(texts.select(F.col("key").alias("t_key"), F.col("text_sha256").alias("t_sha"), (-F.col("b.less")).alias("keep_points"), F.col("b.id").alias("keep_id"), "group_size"), "dedup-hot-texts")
+    found = rows.join(F.broadcast(texts) if texts.count() <= BROADCAST_KEYS else texts, F.expr("key = t_key AND text_sha256 = t_sha"))
+    wins = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
+    # of winners that are equal in id and length, one is kept; nobody else needs a place
+    turn = F.row_number().over(W.partitionBy("key", "text_sha256", "id", "n_points").orderBy("id"))
+    won = found.filter(wins).withColumn("kept", turn == 1)
+    out = won.unionByName(found.filter(~wins).withColumn("kept", F.lit(False)))
+    return out.select(F.lit(None).cast("int").alias("owner"), F.lit(None).cast("int").alias("bucket"), "key", "text_sha256", "id", "n_points", "keep_id", "group_size", "kept")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
     """A row for each document: id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty; all empty and blank texts are one group. Of equal texts the one with the
     most code points stays, then the smallest id; a null id stays only if its group has no other. Of
     repeated rows with the same id and length exactly one is kept. Other columns are not read. An empty
-    table gives an empty result.
+    table gives an empty result. sizes: those of build_index.
     """
-    index = build_index(docs, id_col, text_col, key_bits, bucket_keys)
-    rows = keyed(docs, id_col, text_col, key_bits).select("id", "n_points", "key", F.sha2("norm", 256).alias("text_sha256"))
-    found = rows.join(index.select("key", "text_sha256", "keep_points", "keep_id", "group_size"), ["key", "text_sha256"])
-    wins = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
-    # repeated rows only share a partition here if id and length agree too
-    turn = F.row_number().over(W.partitionBy("key", "text_sha256", "id", "n_points").orderBy("id"))
-    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", (wins & (turn == 1)).alias("kept"), "text_sha256")
+    index = build_index(docs, id_col, text_col, **sizes)
+    return index.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
 
-def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    index = build_index(docs, id_col, text_col).select(F.col("key").alias("__key"), F.col("text_sha256").alias("__sha"), F.col("keep_points").alias("__points"), F.col("keep_id").alias("__keep"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    full = docs.withColumns({"__key": F.xxhash64(normalised(text)), "__sha": F.sha2(normalised(text), 256), "__n": F.char_length(text).cast("long")})
-    kept = full.join(index, ["__key", "__sha"]).filter(F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__n") == F.col("__points")))
-    repeated = keyed(docs, id_col, text_col, 64).groupBy("id", "key", "n_points").count().filter("count > 1")
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates([id_col, "__key", "__sha"])
-    return kept.select(*docs.columns)
+def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64, bucket_rows: int = BUCKET_ROWS, owner_rows: int = OWNER_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever these are called.
+
+    The owners keep the first row of each chained text. Rows of hot keys are ranked by length and id before any
+    moves, and only those that win their text are compared.
+    """
+    names = docs.columns
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    ident, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    back = [F.col(f"c{k}").alias(n) for k, n in enumerate(names)]
+    rows = numbered.withColumns({"key": key_of(normalised(F.col(text)), key_bits), "n_points": F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long")})
+    cold, hot = dealt(rows, key_bits, bucket_rows, owner_rows, hot_rows)
+    chain = W.partitionBy("key", "bucket", "owner", "norm").orderBy(*best("n_points", ident))
+    kept = cold.withColumn("norm", normalised(F.col(text))).withColumn("turn", F.row_number().over(chain)).filter("turn = 1").select(*back)
+    if hot is not None:
+        hot = hot.withColumn("sha", F.sha2(normalised(F.col(text)), 256))
+        texts = hot.groupBy("key", "sha").agg(F.min(F.struct((-F.col("n_points")).alias("less"), F.col(ident).isNull().alias("no_id"), F.col(ident).alias("id"))).alias("b"))
+        texts = cut(texts.select(F.col("key").alias("t_key"), F.col("sha").alias("t_sha"), (-F.col("b.less")).alias("t_points"), F.col("b.id").alias("t_id")), "dedup-hot-texts")
+        won = hot.join(F.broadcast(texts) if texts.count() <= BROADCAST_KEYS else texts, (F.col("key") == F.col("t_key")) & (F.col("sha") == F.col("t_sha")) & (F.col("n_points") == F.col("t_points")) & F.col(ident).eqNullSafe(F.col("t_id")))
+        kept = kept.unionByName(won.dropDuplicates(["key", "sha"]).select(*back))
+    return kept

@@ -30,17 +30,16 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .shared import cut
-from .words import kept
+from .words import KEEP_WORDS, kept
 
 WORDS, NUM, DEN = 5, 80, 100
 ROUNDS, CHUNK = 3, 64
 #: One token in SAMPLED is counted over all documents.
 SAMPLED = 3
 #: Documents and tokens a block, tokens a counting task, and members of a list beyond which it is salted.
-BLOCK_DOCS, BLOCK_TOKENS, BUCKET_TOKENS, SALT_ROWS = 1500, 1_000_000, 2_000_000, 4_000
+BLOCK_DOCS, BLOCK_TOKENS, BUCKET_TOKENS, SALT_ROWS = 1500, 1_000_000, 500_000, 4_000
 #: The bitmap of rows to read again, in bits (32 MB at most); beyond it more rows than needed are read.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
-KEEP_WORDS = 150_000
 #: Pairs up to which their members (40 bytes each, twice at most) are broadcast to the sets.
 BROADCAST_PAIRS = 250_000
 #: Factors of the hashes; each also makes a global order.
@@ -471,7 +470,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6  # about the number of tokens
-    rows = counted_rows(texts, int(max(8, size // (SAMPLED * BUCKET_TOKENS))), words, num, den)
+    rows = counted_rows(texts, int(max(8, size // (4 * SAMPLED * BUCKET_TOKENS))), words, num, den)
     needed = cut(rows.filter("alive").groupBy("set").agg(F.min("row_key").alias("row_key"), F.min("n_shingles").alias("n_shingles")), "jaccard-needed")
     packed = shared_sets(texts, needed, words, num, den)
     members = candidate_lists(packed, salt_rows)

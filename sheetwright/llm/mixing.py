@@ -23,6 +23,12 @@ from .shared import cut
 #: Fixed values of the mix: the weights repeat over the sources in code-point order.
 WEIGHTS, CAP = (5, 2, 1), 3
 BLOCK_DOCS, SHARDS, BINS, SEED = 512, 32, 256, 7
+#: Documents a shard where the number of shards follows the table, and the most shards.
+SHARD_DOCS, MOST_SHARDS = 100_000, 4096
+
+
+def shards_for(documents: int) -> int:
+    return min(MOST_SHARDS, max(SHARDS, -(-documents // SHARD_DOCS)))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -86,8 +92,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Words are runs without ASCII white space; null and empty texts have size 0 and are never taken. A null
     source is a source of its own, last in order. Each source's taken words are its target, rounded; only
     the document at the end of a source's last drawn block may be taken in part. Documents with equal id, source and size
-    are interchangeable, so repeated rows and null ids don't matter and reruns agree. Columns in carry go
-    along; others are not read. An empty table gives an empty result.
+    are interchangeable, so repeated rows and null ids don't matter and reruns agree. Very long texts count like others, by
+    their words. Columns in carry go along, hashed; others are not read. An empty table gives an empty result. The tree's draws are blocks, below 10**9
+    of them: block_docs times as many documents.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *[F.xxhash64(F.col(c)).alias(f"carried_{c}") for c in carry]), "mix-sizes")

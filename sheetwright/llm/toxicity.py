@@ -26,7 +26,7 @@ from .words import WordTable, kept, segment_sums
 TRAIN_DOCS = 20_000
 TREES, DEPTH, BINS, RATE, LEAST_LEAF = 80, 3, 32, 0.15, 12
 LEXICON, STEM = 4_000, (4, 8)
-LEAST_DOCS, LEAST_ODDS = 4, 2.5
+LEAST_DOCS, LEAST_ODDS, DOUBT = 4, 2.5, 2.0
 #: Parts of a class's documents in turn: 0 to 4 yield the lexicon, 5 to 7 the trees, 8 and 9 the calibration; and the fewest of a class in the latter two.
 PARTS, LEAST_GROW, LEAST_SETTLE = (0, 5, 8, 1, 6, 2, 9, 3, 7, 4), 2, 1
 #: Second-person words, and look-alike characters in disguised words.
@@ -128,7 +128,7 @@ class Trees:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         b, f = self.binned(x), np.full(len(y), self.base)
-        self.least = int(max(1, min(LEAST_LEAF, y.sum(), (1 - y).sum())))  # a rare class may have leaves of its own
+        self.least = int(max(1, min(LEAST_LEAF, y.sum() // 5, (1 - y).sum() // 5)))  # a rare class may have leaves of its own
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-f))
             self.trees.append(self._grow(b, y - p, p * (1 - p)))
@@ -152,8 +152,11 @@ class Trees:
         return self.base + sum((self._one(t, b) for t in self.trees), np.zeros(len(b)))
 
 
-def isotonic(raw: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Knots (raw score, probability) of the non-decreasing (weighted) least-squares fit, by pooling adjacent violators."""
+def isotonic(raw: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, prior: float = 0.0, doubt: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (raw score, probability) of the non-decreasing (weighted) least-squares fit, by pooling adjacent violators.
+
+    Each pool is drawn towards the prior as if it held `doubt` more documents, so that a few labels alone prove little.
+    """
     weight = np.ones(len(y)) if weight is None else weight
     at = np.argsort(raw, kind="stable")
     blocks: list[list[float]] = []  # sum, count, first raw, last raw
@@ -162,7 +165,8 @@ def isotonic(raw: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, n, _, hi = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2], hi]
-    return np.array([x for b in blocks for x in (b[2], b[3])]), np.array([b[0] / b[1] for b in blocks for _ in range(2)])
+    pooled = np.maximum.accumulate([(b[0] + doubt * prior) / (b[1] + doubt) for b in blocks]) if blocks else []
+    return np.array([x for b in blocks for x in (b[2], b[3])]), np.repeat(pooled, 2)
 
 
 class Model:
@@ -233,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     edges = [np.unique(np.quantile(x[grow, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     trees = Trees(edges, float(np.log(y[grow].mean() / (1 - y[grow].mean()))))
     trees.fit(x[grow], y[grow])
-    return Model(words, stems, trees, isotonic(trees.raw(x[settle]), y[settle], weight[settle]), prior)
+    return Model(words, stems, trees, isotonic(trees.raw(x[settle]), y[settle], weight[settle], prior, DOUBT), prior)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", name: str = "score", keep: bool = False) -> DataFrame:

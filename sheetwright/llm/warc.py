@@ -1,17 +1,20 @@
 """WARC archives and their capture index, by an external merge of sorted runs.
 
 Pages become WARC records (native columns), written as gzip text files whose line separator is the
-record's own end. Each archive is read back and parsed by Content-Length; its captures, sorted by URL key
-and time, are one run in the shared folder. The merge deals ranges of (URL key, time, id) out to tasks,
-and each task merges its pieces of the runs with a loser tree. A popular URL is split by time and id.
+record's own end. Each archive is inflated piece by piece and parsed by Content-Length; its captures, sorted by URL key
+and time, are one run in the shared folder. Samples of all runs give the bounds of ranges of (URL key, time, id, place),
+so a popular URL is split. Each run is read in its order and cut at the bounds into packed pieces, and the task of
+a range merges the pieces of its runs, as they lie, with a loser tree.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -20,7 +23,13 @@ from pyspark.sql import functions as F
 
 from .shared import cut, new_path
 
-LEAST_SHARED, RECORDS_A_FILE = 1000, 20_000
+LEAST_SHARED = 1000
+#: Bytes of payload in an archive at most (but for one larger record), what counts as a large record, and records a file.
+ARCHIVE_BYTES, LARGE, RECORDS_A_FILE = 64_000_000, 1_000_000, 20_000
+#: Captures a range, ranges at most, samples a range, and captures a packed piece.
+RANGE_ROWS, MOST_RANGES, SAMPLES, PIECE_ROWS = 50_000, 20_000, 8, 2_000
+#: Groups of equal payloads up to which they are broadcast (60 bytes each).
+BROADCAST_GROUPS = 500_000
 #: Captures get a second each from this time on, by id, where the pages have no time.
 FIRST_CAPTURE = 1_704_067_200
 END = "\r\n"
@@ -35,7 +44,8 @@ def decide(pages: DataFrame, id_col: str = "page_id", body_col: str = "html", ur
     body = F.coalesce(F.col(body_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), body.alias("html"), F.octet_length(body).cast("long").alias("bytes"), F.sha1(body.cast("binary")).alias("sha1"), F.sha2(body, 256).alias("sha256"))
     large = rows.filter(F.col("bytes") >= least).groupBy("sha256").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    found = rows.join(large, "sha256", "left")
+    large = cut(large, "warc-groups")
+    found = rows.join(F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large, "sha256", "left")
     return found.withColumn("response_id", F.when(~F.col("response_id").eqNullSafe(F.col("page_id")), F.col("response_id"))).drop("sha256")
 
 
@@ -63,10 +73,19 @@ def record_text(crlf: str = END):
     )
 
 
-def write_archives(decided: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE) -> None:
-    """One archive or more a task, with at most records_a_file records."""
-    rows = decided.select(record_text().alias("value"))
-    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
+def size_classes(pages: DataFrame, body_col: str) -> list[tuple[bool, int]]:
+    """Whether a payload is LARGE, and the largest of its class in bytes; at most two rows."""
+    size = F.octet_length(F.coalesce(F.col(body_col), F.lit("")))
+    found = pages.select(size.alias("bytes")).groupBy((F.col("bytes") > LARGE).alias("large")).agg(F.max("bytes").alias("bytes")).collect()
+    return [(r["large"], r["bytes"]) for r in found]
+
+
+def write_archives(decided: DataFrame, path: str, classes: list[tuple[bool, int]], records_a_file: int = RECORDS_A_FILE) -> None:
+    """One archive or more a task, of ARCHIVE_BYTES of payload at most; large records get archives of their own."""
+    for large, widest in classes:
+        most = max(1, min(records_a_file, ARCHIVE_BYTES // max(1, widest)))
+        rows = decided.filter((F.col("bytes") > LARGE) == F.lit(large)) if len(classes) > 1 else decided
+        rows.select(record_text().alias("value")).write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def surt(url: str) -> str:
@@ -80,18 +99,41 @@ def surt(url: str) -> str:
     return f"{','.join(reversed(host.split('.')))}{shown}){u.path or '/'}{'?' + u.query if u.query else ''}"
 
 
-def parse(archive: bytes) -> Iterator[tuple[int, dict[str, str], bytes, bytes]]:
-    """Offset, headers, HTTP head and payload of each record of a decompressed archive."""
-    at = 0
-    while at < len(archive):
-        top = archive.index(b"\r\n\r\n", at)
-        headers = dict(x.split(": ", 1) for x in archive[at:top].decode().split("\r\n")[1:])
-        start, stop = top + 4, top + 4 + int(headers["Content-Length"])
-        if archive[stop : stop + 4] != b"\r\n\r\n":
+def inflated(content, step: int = 1 << 18) -> Iterator[bytes]:
+    """The pieces of a gzip file, a few at a time."""
+    unpack = zlib.decompressobj(wbits=31)
+    for at in range(0, len(content), step):
+        yield unpack.decompress(content[at : at + step])
+    yield unpack.flush()
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple[int, dict[str, str], bytes, bytes]]:
+    """Offset, headers, HTTP head and payload of each record of an archive that comes in pieces; one record is held at a time."""
+    held, at, start = bytearray(), 0, 0  # start: how much of what is held has been read
+
+    def upto(size: int) -> bool:
+        nonlocal held, start
+        while len(held) - start < size:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held, start = held[start:] + piece if start else held + piece, 0
+        return True
+
+    while upto(1):
+        size = 0
+        while (top := held.find(b"\r\n\r\n", start + max(0, size - 3))) < 0:
+            size = len(held) - start
+            if not upto(size + 1):
+                raise ValueError(f"record at {at} has no end of its headers")
+        headers = dict(x.split(": ", 1) for x in held[start:top].decode().split("\r\n")[1:])
+        head, block = top + 4 - start, int(headers["Content-Length"])
+        if not upto(head + block + 4) or held[start + head + block : start + head + block + 4] != b"\r\n\r\n":
             raise ValueError(f"record at {at} does not end where its length says")
-        split = archive.index(b"\r\n\r\n", start) + 4
-        yield at, headers, archive[start:split], archive[split:stop]
-        at = stop + 4
+        begin, end = start + head, start + head + block
+        split = held.index(b"\r\n\r\n", begin) + 4
+        yield at, headers, bytes(held[begin:split]), bytes(held[split:end])
+        at, start = at + head + block + 4, end + 4
 
 
 CAPTURE = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
@@ -108,7 +150,7 @@ def capture_runs(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows = []
-                for offset, h, http, payload in parse(zlib.decompress(content.as_buffer(), wbits=31)):
+                for offset, h, http, payload in parse(inflated(memoryview(content.as_buffer()))):
                     if h["WARC-Type"] == "response":
                         size, digest, refers = len(payload), hashlib.sha1(payload).hexdigest(), None
                     else:
@@ -123,9 +165,12 @@ def capture_runs(archives: DataFrame) -> DataFrame:
 _FIELDS = [("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64())]
 
 
-def _batches(rows, size: int = 5_000) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(rows), size):
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*rows[k : k + size], strict=True), _FIELDS, strict=True)], [n for n, _ in _FIELDS])
+PIECE = [("range", pa.int32()), ("run", pa.string()), ("url", pa.string()), ("time", pa.string()), ("ident", pa.int64()), ("start", pa.int64()), ("packed", pa.binary())]
+
+
+def _batches(rows: Iterable[tuple], size: int = 5_000) -> Iterator[pa.RecordBatch]:
+    for part in batched(rows, size):
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*part, strict=True), _FIELDS, strict=True)], [n for n, _ in _FIELDS])
 
 
 def order(row: tuple) -> tuple:
@@ -136,7 +181,7 @@ def order(row: tuple) -> tuple:
 class LoserTree:
     """Merges sorted runs: each inner node keeps the loser of its match, so a new head replays one path."""
 
-    def __init__(self, runs: list[list[tuple]]):
+    def __init__(self, runs: list[Iterable[tuple]]):
         self.runs = [iter(r) for r in runs]
         self.size = 1
         while self.size < len(runs):
@@ -174,30 +219,71 @@ class LoserTree:
             self.winner = k
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """The runs in one global order of URL key, time and id, over as many ranges as there are shuffle partitions."""
+def range_bounds(runs: DataFrame, range_rows: int = RANGE_ROWS) -> list[tuple]:
+    """Places in the order that cut all captures into ranges of about range_rows; at most MOST_RANGES."""
+    total = runs.count()
+    ranges = min(MOST_RANGES, -(-total // range_rows))
+    if ranges < 2:
+        return []
+    every = max(1, total // (ranges * SAMPLES))
+    some = runs.filter(F.pmod(F.xxhash64("archive", "offset"), F.lit(every)) == 0)
+    places = sorted(order(tuple(r)) for r in some.toLocalIterator())  # about MOST_RANGES * SAMPLES rows at most
+    return [places[k * len(places) // ranges] for k in range(1, ranges) if places]
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_run: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                by_run.setdefault(row[7], []).append(row)
-        # the shuffle brings the blocks of a run's writers in any order; a run's own rows come sorted but for that
-        pieces = [sorted(rows, key=order) for _, rows in sorted(by_run.items())]
-        yield from _batches(list(LoserTree(pieces))) if pieces else ()
-
-    return runs.repartitionByRange("url_key", "captured", "page_id").mapInArrow(merge, CAPTURE)
 
+def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The runs, each read in its own order, as one table in global order of URL key, time, id and place."""
+    bounds = runs.sparkSession.sparkContext.broadcast(range_bounds(runs, range_rows))
+    schema = pa.schema(_FIELDS)
 
-def archive_pages(pages: DataFrame, id_col: str = "page_id", body_col: str = "html", url_col: str = "url", least: int = LEAST_SHARED, records_a_file: int = RECORDS_A_FILE) -> tuple[str, DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted pieces of runs as bytes, each beside its first row."""
+        limits, last = bounds.value, {}
+        for batch in batches:
+            rows = list(zip(*[c.to_pylist() for c in batch.columns], strict=True))
+            starts, into = [], None
+            for k, row in enumerate(rows):
+                place = order(row)
+                if row[7] in last and place < last[row[7]]:
+                    raise ValueError(f"run {row[7]} is out of order")
+                at, last = bisect.bisect_right(limits, place), {row[7]: place}
+                if (row[7], at) != into or k - starts[-1][0] >= PIECE_ROWS:
+                    into = (row[7], at)
+                    starts.append((k, at))
+            out = []
+            for (lo, at), (hi, _) in zip(starts, [*starts[1:], (len(rows), 0)], strict=True):
+                piece = pa.RecordBatch.from_arrays(batch.slice(lo, hi - lo).columns, schema=schema)
+                out.append((at, rows[lo][7], *rows[lo][:3], rows[lo][8], piece.serialize().to_pybytes()))
+            columns = zip(*out, strict=True) if out else [[]] * len(PIECE)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(columns, PIECE, strict=True)], [n for n, _ in PIECE])
+
+    def merge(table: pa.Table) -> pa.Table:
+        runs_of: dict[str, list[tuple]] = {}
+        for k, (_, run, url, time, ident, offset) in enumerate(zip(*[c.to_pylist() for c in table.drop_columns("packed").columns], strict=True)):
+            runs_of.setdefault(run, []).append(((url, time, ident is not None, ident or 0, offset), k))
+
+        def rows(of: list[tuple]) -> Iterator[tuple]:
+            for _, k in sorted(of):  # a run's pieces by their first rows, unpacked when reached
+                piece = pa.ipc.read_record_batch(table["packed"][k].as_buffer(), schema)
+                yield from zip(*[c.to_pylist() for c in piece.columns], strict=True)
+
+        return pa.Table.from_batches(_batches(LoserTree([rows(of) for _, of in sorted(runs_of.items())])), schema)
+
+    dealt = cut(runs.mapInArrow(pieces, "range int, run string, url string, time string, ident long, start long, packed binary"), "capture-pieces")
+    return dealt.repartitionByRange("range").groupBy("range").applyInArrow(merge, CAPTURE)
+
+
+def archive_pages(pages: DataFrame, id_col: str = "page_id", body_col: str = "html", url_col: str = "url", least: int = LEAST_SHARED, records_a_file: int = RECORDS_A_FILE, range_rows: int = RANGE_ROWS) -> tuple[str, DataFrame]:
     """The folder of the archives written, and the merged index of what is read back from them.
 
     Index columns: CAPTURE. Null bodies are empty payloads, null URLs have an empty key, null ids come
-    back null; repeated rows give a record each. Other columns are not read. No pages give no archives
-    and an empty index. An archive, at most records_a_file records of one input split, is parsed in one task.
+    back null; repeated rows give a record each. A very long body is an archive of its own, held whole by the task that
+    parses it. Other columns are not read. No pages give no archives and an empty index.
     """
     spark = pages.sparkSession
-    path = new_path(spark, "warc")
-    write_archives(decide(pages, id_col, body_col, url_col, least), path, records_a_file)
+    path, classes = new_path(spark, "warc"), size_classes(pages, body_col)
+    if not classes:
+        return path, spark.createDataFrame([], CAPTURE)
+    write_archives(decide(pages, id_col, body_col, url_col, least), path, classes, records_a_file)
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return path, merge_runs(cut(capture_runs(archives), "capture-runs"))
+    return path, merge_runs(cut(capture_runs(archives), "capture-runs"), range_rows)

@@ -1,20 +1,25 @@
-"""Per-word numbers in a worker: each distinct token is looked at once, documents only gather rows."""
+"""What a worker keeps: one operator's cache at a time, and per-word numbers, so that documents only gather rows."""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-
+#: Words that a worker remembers.
+KEEP_WORDS = 150_000
 _WORKER: dict[str, object] = {}
 
 
 def kept(token: str, make: Callable[[], object]) -> object:
-    """The one object that this worker keeps from task to task, made anew when another job's token comes."""
+    """The one object that this worker keeps from task to task; whatever another operator has kept goes first."""
     if token not in _WORKER:
         _WORKER.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _WORKER[token] = make()
     return _WORKER[token]
 
@@ -22,7 +27,7 @@ def kept(token: str, make: Callable[[], object]) -> object:
 class WordTable:
     """Rows of numbers by token, made by `rows(tokens)` when first met; forgets all beyond `keep` tokens."""
 
-    def __init__(self, rows: Callable[[list[str]], np.ndarray], width: int, keep: int = 400_000):
+    def __init__(self, rows: Callable[[list[str]], np.ndarray], width: int, keep: int = KEEP_WORDS):
         self.rows, self.width, self.keep = rows, width, keep
         self._clear()
 
