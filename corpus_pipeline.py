@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents in, encoded training documents out."""
+"""The corpus pipeline: documents in, encoded training documents out.
+
+Every stage takes any table of documents: null and empty texts, null ids and repeated rows each have a defined result
+below, an empty table gives an empty one, and other columns come through as they are, whatever their names; only names
+that begin with two underscores are the stages' own.
+"""
 
 from __future__ import annotations
 
@@ -15,13 +20,14 @@ TOXIC = 0.5
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below TOXIC; null and empty texts stay if the empty text does."""
+    """Documents scored below TOXIC, repeated rows each; null and empty texts stay if the empty text does. Labels of ids that
+    documents lack are not read; without enough labels nothing is learned, and nothing rejected unless most labels are toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, model, name="__toxicity", keep=True).filter(F.col("__toxicity") < TOXIC).drop("__toxicity")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are equal but for white space."""
+    """One document of each group of texts that are equal but for white space; null, empty and blank texts are one group."""
     return exact_dedup.keep_first_copies(docs)
 
 
@@ -40,8 +46,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix draws it (half of its words at least), in its shard's shuffled order."""
-    mixed = mixing.mix(docs, carry=("text",))
+    """Each document as often as the mix draws it (half of its words at least), in its shard's shuffled order.
+
+    Texts without words are never drawn. Rows equal in id and text are drawn as often as one of them is; null ids are told apart by their texts.
+    """
+    mixed = mixing.mix(docs, carry=("text",), shards=mixing.shards_for(docs.count()))
     draws = mixed.dropDuplicates(["doc_id", "carried_text"]).select(F.col("doc_id").alias("__id"), F.col("carried_text").alias("__text"), F.explode(F.filter("draws", lambda d: d["words"] * 2 >= F.col("size"))).alias("__draw"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text"))
     out = docs.join(draws, same).repartition("__draw.shard").sortWithinPartitions("__draw.shard", "__draw.position", "doc_id")
@@ -49,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of every document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of every document; null and empty texts have none."""
     return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
