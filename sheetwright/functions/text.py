@@ -15,7 +15,7 @@ PLACEHOLDERS = ("n/a", "na", "none", "null", "-")
 WEAK_WORDS = r"^(n/a|na|yes|no|true|false|pass|fail|ok)$"
 VERSION_WORDS = r"(?i)\b(version|template|form|revision|rev)\b"
 VERSION_TEXT = r"(?i)^v?[0-9]+([._-][0-9]+)*$"
-TITLE_PREFIX = r"(?i)^(table|section)\s+[0-9]+\s*:\s*"
+TABLE_TITLE = r"(?i)^table\s+\d+\s*:"
 FORMULA = r"(?i)^(if|sum|mid|left|right|vlookup|xlookup|index|match|offset)\s*\("
 LONG_LABEL, LONG_LABEL_WORDS, LONG_HEADER, LONG_IDENTIFIER, TITLE_LENGTHS = 48, 6, 64, 64, (6, 64)
 #: Candidate patterns of rule mining, in order of preference: what every value must match, and the rule that it gives.
@@ -50,6 +50,10 @@ def section_title(text: Column) -> Column:
     return F.when(ok, t)
 
 
+def is_table_title(text: Column) -> Column:
+    return _bare(text).rlike(TABLE_TITLE)
+
+
 def value_type(kind: Column, text: Column) -> Column:
     """int, float, bool, date or str, of numbers by kind and of text by its look."""
     t = _bare(text)

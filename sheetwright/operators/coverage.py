@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -37,12 +37,25 @@ def missing_fields(fields: DataFrame) -> DataFrame:
 def fuzzy_names(labels: DataFrame, names: DataFrame) -> DataFrame:
     """slug, name, share: for each label slug the known field name that shares most of its words, half at least; equal ones go by name.
 
-    names is configuration: the fields of the templates.
+    Words agree only if they begin alike, so labels and names meet by the first letters of their words.
     """
-    known = F.broadcast(names.select("name").distinct())
-    met = labels.select("slug").distinct().crossJoin(known).withColumn("share", fuzzy_share(F.col("slug"), F.col("name"))).filter("share >= 0.5")
-    best = met.groupBy("slug").agg(F.max(F.struct("share")).alias("m"), F.min_by("name", F.struct(-F.col("share"), F.col("name"))).alias("name"))
-    return best.select("slug", "name", F.col("m.share").alias("share"))
+    firsts = lambda c: F.explode(F.array_distinct(F.transform(F.split(c, "_"), lambda w: F.substr(w, F.lit(1), F.lit(1))))).alias("first")
+    one, other = labels.select("slug").distinct(), names.select("name").distinct()
+    pairs = one.select("slug", firsts(F.col("slug"))).join(other.select("name", firsts(F.col("name"))), "first").select("slug", "name").distinct()
+    met = pairs.withColumn("share", fuzzy_share(F.col("slug"), F.col("name"))).filter("share >= 0.5")
+    best = met.groupBy("slug").agg(F.max("share").alias("share"), F.min_by("name", F.struct(-F.col("share"), F.col("name"))).alias("name"))
+    return best.select("slug", "name", "share")
+
+
+def rendered(value: Column, kind: str) -> Column:
+    """A value as shown: booleans in capitals, nested values as JSON, null as empty text."""
+    shown = F.upper(value.cast("string")) if kind == "boolean" else F.to_json(value) if kind.startswith(("array", "map", "struct")) else value.cast("string")
+    return F.coalesce(shown, F.lit(""))
+
+
+def render(records: DataFrame) -> DataFrame:
+    """The records with every column but doc_id as shown text."""
+    return records.select(*[F.col(f.name) if f.name == "doc_id" else rendered(F.col(f.name), f.dataType.simpleString()).alias(f.name) for f in records.schema.fields])
 
 
 def flatten(records: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import coerced, failed
 from ..plans.expressions import KIND_OF, Value, compile_field, order
-from ..plans.template import ELEMENTS, SPARK_TYPES, Field, Template, fields_table
+from ..plans.template import DICTS, ELEMENTS, SPARK_TYPES, Field, Template, fields_table
 from ..sources.grid import Workbooks
 from ..sources.shared import cut
 from .detect import detect_versions, version_error
-from .slices import all_slices, dict_items, list_items, missing_sheets, table_items
+from .slices import all_slices, dict_items, dict_typed, list_items, missing_sheets, table_items
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,7 @@ class Extraction:
         lost = self.resolved.filter("version IS NULL").select("doc_id", F.lit("discriminator_mismatch").alias("error_kind"), version_error().alias("message"))
         for t in self.templates:
             for v in t.versions:
-                bad = _results(self, t, v).filter("size(errors) > 0").withColumn("e", F.col("errors")[0])
+                bad = _results(self, t, v, only_errors=True).filter("size(errors) > 0").withColumn("e", F.col("errors")[0])
                 lost = lost.unionByName(bad.select("doc_id", F.lit("extraction_error").alias("error_kind"), F.concat("e.field", F.lit(": "), "e.rule").alias("message")))
         return lost
 
@@ -101,11 +101,11 @@ def _rules(field: Field, value: Column, shape: str, options: Options) -> list[Co
     return out
 
 
-def _assembled(e: Extraction, template: Template, version: str) -> DataFrame:
-    """doc_id, a column f_<field> for each read field, and x_<field> where its coercion failed; one aggregation by document."""
+def _assembled(e: Extraction, template: Template, version: str, shapes: tuple[str, ...] = ("scalar", "list", "dict", "table")) -> DataFrame:
+    """doc_id, a column f_<field> for each read field of these shapes, and x_<field> where its coercion failed; one aggregation by document."""
     here = (F.col("schema") == template.name) & (F.col("version") == version)
     docs = e.resolved.filter(here).select("doc_id")
-    fields = [f for f in template.versions[version].values() if f.kind != "computed"]
+    fields = [f for f in template.versions[version].values() if f.kind != "computed" and f.shape in shapes]
     out = docs
     sliced = e.sliced.filter(here)
     scalars = [f for f in fields if f.shape == "scalar"]
@@ -123,7 +123,7 @@ def _assembled(e: Extraction, template: Template, version: str) -> DataFrame:
             aggs.append(F.coalesce(F.bool_or(F.when(F.col("field") == f.name, failed(ELEMENTS[f.type]))), F.lit(False)).alias(f"x_{f.name}"))
         out = out.join(list_items(sliced).groupBy("doc_id").agg(*aggs), "doc_id", "left")
     for f in (f for f in fields if f.shape == "dict"):
-        items = dict_items(sliced).filter(F.col("field") == f.name).groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias(f"f_{f.name}"))
+        items = dict_typed(dict_items(sliced.filter(F.col("field") == f.name)), DICTS[f.type]).groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias(f"f_{f.name}"))
         out = out.join(items, "doc_id", "left")
     tables = [f for f in fields if f.shape == "table"]
     if tables:
@@ -131,13 +131,15 @@ def _assembled(e: Extraction, template: Template, version: str) -> DataFrame:
         for f in tables:
             made = rows.filter(F.col("field") == f.name).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("record", F.map_entries("r").alias("r")))), lambda s: F.map_from_entries(s["r"])).alias(f"f_{f.name}"))
             out = out.join(made, "doc_id", "left")
-    empty = {"list": lambda f: F.array().cast(f"array<{SPARK_TYPES[ELEMENTS[f.type]].simpleString()}>"), "dict": lambda f: F.create_map().cast("map<string,string>"), "table": lambda f: F.array().cast("array<map<string,string>>")}
+    empty = {"list": lambda f: F.array().cast(f"array<{SPARK_TYPES[ELEMENTS[f.type]].simpleString()}>"), "dict": lambda f: F.create_map().cast(f"map<string,{SPARK_TYPES[DICTS[f.type]].simpleString()}>"), "table": lambda f: F.array().cast("array<map<string,string>>")}
     return out.withColumns({f"f_{f.name}": F.coalesce(f"f_{f.name}", empty[f.shape](f)) for f in fields if f.shape != "scalar"} | {f"x_{f.name}": F.coalesce(f"x_{f.name}", F.lit(False)) for f in fields if f.shape in ("scalar", "list")})
 
 
-def _results(e: Extraction, template: Template, version: str) -> DataFrame:
-    fields = template.versions[version]
-    rows = _assembled(e, template, version)
+def _results(e: Extraction, template: Template, version: str, only_errors: bool = False) -> DataFrame:
+    """With only_errors tables and maps are left out: no error comes from them, unless they must have a value."""
+    shapes = ("scalar", "list") if only_errors and not e.options.strict_required else ("scalar", "list", "dict", "table")
+    fields = {n: f for n, f in template.versions[version].items() if f.shape in shapes}
+    rows = _assembled(e, template, version, shapes)
     lost = missing_sheets(e.books, e.resolved.filter("version IS NOT NULL"), e.fields).filter((F.col("schema") == template.name) & (F.col("version") == version))
     lost = lost.groupBy("doc_id").agg(F.min(F.struct("field_ord", "field")).alias("lost"))
     rows = rows.join(lost, "doc_id", "left")

@@ -84,8 +84,8 @@ def dict_items(sliced: DataFrame) -> DataFrame:
 
 
 def dict_typed(items: DataFrame, element: str) -> DataFrame:
-    """KEYS, key, value of dict_items as int or float; what doesn't convert is null."""
-    return items.withColumn("value", F.col("value").try_cast({"int": "bigint", "float": "double"}[element]))
+    """KEYS, key, value of dict_items as str, int or float; what doesn't convert is null."""
+    return items.withColumn("value", F.col("value").try_cast({"str": "string", "int": "double", "float": "double"}[element]).cast({"str": "string", "int": "bigint", "float": "double"}[element]))
 
 
 def _named(default: str, position: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import coerce, text
 from .functions.addressing import format_ref, index_to_letters, letters_to_index, parse_cell, parse_range
-from .operators import coverage, detect, discover, drift, extract, slices
+from .operators import coverage, detect, discover, drift, extract, naming, slices
 from .plans.template import fields_table, template
 from .sources import melt
 from .sources.shared import cut, new_path
@@ -23,6 +23,7 @@ EVENTS = template({"name": "events", "discriminator": {"cells": ["A1"]}, "versio
 }}}})
 TALKS = template({"name": "talks", "discriminator": {"cells": ["A1"]}, "versions": {"user": {"fields": {"turns": {"range": "A1:B", "type": "table", "columns": {"A": "role", "B": "text"}}}}}})
 LINES = template({"name": "text", "discriminator": {"cells": ["A1"]}, "versions": {"text": {"fields": {"top": {"range": "A1:A", "type": "list[str]"}, "block": {"range": "A1:A200", "type": "list[str]"}}}}})
+TALLY = template({"name": "tally", "discriminator": {"cells": ["A1"]}, "versions": {"log": {"fields": {"props": {"range": "D1:E", "type": "dict[str, int]"}}}}})
 TIED = template({"name": "tied", "discriminator": {"cells": ["Z99"]}, "versions": {"a": {"fields": {"x": {"cell": "A3"}}}, "b": {"fields": {"y": {"cell": "A3"}}}}})
 _DONE: dict[tuple, extract.Extraction] = {}
 
@@ -281,11 +282,98 @@ def remap_cells(spark, sf_dir):
 
 def remap_ranges(spark, sf_dir):
     e = orders(spark, sf_dir)
-    marks = drift.fingerprints(e.sliced.filter("field = 'quantities' AND version = 'v1.0'")).withColumns({"sheet": F.lit("Sheet1"), "row": F.lit(2), "col": F.lit(3)})
+    marks = drift.fingerprints(e.sliced.filter("field = 'quantities' AND version = 'v1.0'")).withColumns({"sheet": F.lit("Sheet1"), "row": F.lit(2), "col": F.lit(3), "width": F.lit(1)})
     moved = e.books.cells.withColumn("row", F.col("row") + 2)
     return drift.votes_on_moves(drift.moved_ranges(marks, moved))
 
 
+def moved_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The late order sheets with all cells two rows down: where two of their fields went."""
+    e = orders(spark, sf_dir)
+    marks = drift.fingerprints(e.sliced.filter("field IN ('customer', 'quantities') AND version = 'v2.0'"))
+    places = spark.createDataFrame([("customer", "Sheet1", 0, 3, 2, 1, 3, False), ("quantities", "Sheet1", 0, 5, 4, 1, None, True)], "field string, sheet string, sheet_idx int, row int, col int, width int, end_row int, is_open boolean")
+    return drift.find_remaps(marks.join(F.broadcast(places), "field"), e.books.cells.withColumn("row", F.col("row") + 2))
+
+
+def find_remaps(spark, sf_dir):
+    shown = drift.remap_suggestions(moved_fields(spark, sf_dir))
+    return shown.select("doc_id", "name", "ref", F.round("score", 6).alias("score"))
+
+
+def applied_moves(spark, sf_dir):
+    fields = drift.apply_moves(fields_table(spark, [ORDERS]), drift.accepted_moves(moved_fields(spark, sf_dir)))
+    return fields.filter("start_row IS NOT NULL").select("version", "field", "start_row", "start_col", F.coalesce("end_row", F.lit(0)).alias("end_row"), "end_col")
+
+
+def field_names(spark, sf_dir):
+    books = orders(spark, sf_dir).books
+    picked = F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(w).alias("is_range")) for r, c, w in ((10, 2, False), (41, 3, True), (41, 1, False))]))
+    chosen = books.docs.select("doc_id", F.lit("Sheet1").alias("sheet"), picked.alias("p")).select("doc_id", "sheet", "p.*")
+    return naming.field_names(chosen, books.cells, spark.createDataFrame([("order_priority",), ("customer",)], "name string")).drop("sheet")
+
+
+def _blocks(spark: SparkSession, sf_dir: str, row: int, end_row: int, end_col: int) -> DataFrame:
+    return orders(spark, sf_dir).books.docs.select("doc_id", F.lit("Sheet1").alias("sheet"), *[F.lit(v).alias(n) for n, v in (("row", row), ("col", 1), ("end_row", end_row), ("end_col", end_col))])
+
+
+def column_naming(spark, sf_dir):
+    books = orders(spark, sf_dir).books
+    return naming.column_names(_blocks(spark, sf_dir, 39, 45, 4), books.cells, books.merges).select("doc_id", "letters", "name")
+
+
+def row_naming(spark, sf_dir):
+    return naming.row_names(_blocks(spark, sf_dir, 10, 15, 2), orders(spark, sf_dir).books.cells).select("doc_id", "at", "name")
+
+
+def header_promotion(spark, sf_dir):
+    return naming.promoted_headers(_blocks(spark, sf_dir, 41, 45, 4), orders(spark, sf_dir).books.cells).select("doc_id", "row", "promoted")
+
+
+def version_guess(spark, sf_dir):
+    return naming.guessed_versions(orders(spark, sf_dir).books.cells, [(None, 1, 1), ("Sheet1", 3, 2)])
+
+
+def first_page_edge(spark, sf_dir):
+    talk = melt.read(spark, sf_dir, "conversations")
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.pmod("turn", F.lit(len(names))) + 1).cast("int"))
+    edges = talk.select(F.col("conv_id").cast("string").alias("doc_id"), F.lit("Sheet1").alias("sheet"), pick("footer", "header").alias("kind"), pick("even", "first", "odd").alias("page"), pick("right", "center", "left").alias("section"), F.when(F.col("turn") > 0, F.col("role")).otherwise(" ").alias("text"))
+    return naming.first_edges(edges).select("doc_id", "kind", "page", "section")
+
+
+def typed_dict(spark, sf_dir):
+    e = extract.extract(melt.event_books(spark, sf_dir), [TALLY], forced="log")
+    return e.results("tally", "log").select("doc_id", F.explode("props").alias("key", "value"))
+
+
+def rendered_values(spark, sf_dir):
+    rows = orders(spark, sf_dir).results("orders", "v2.0").select("doc_id", (F.col("n_lines") > 3).alias("long"), "n_lines", "info", F.transform("quantities", lambda q: q.cast("long")).alias("whole"))
+    return coverage.render(rows)
+
+
+def titled_tables(spark, sf_dir):
+    """Late order sheets with a title two rows above their table."""
+    cells = orders(spark, sf_dir).books.cells
+    titles = cells.filter("row = 40 AND col = 1").withColumns({"row": F.lit(38), "text": F.lit("Table 1: Order lines")})
+    return discover.suggest_titled_tables(cells.unionByName(titles)).withColumn("headers", F.array_join("headers", ","))
+
+
+def hidden_runs(spark, sf_dir):
+    """Event sheets whose columns C and F to H are hidden and whose C is empty: runs go on over them."""
+    cells = melt.event_books(spark, sf_dir).cells.filter("col <> 3")
+    wide = cells.filter("row = 1 AND col = 1").withColumn("col", F.lit(7))
+    spans = cells.select("doc_id", "sheet").distinct().withColumn("s", F.explode(F.array(F.struct(F.lit(3).alias("left"), F.lit(3).alias("right")), F.struct(F.lit(6).alias("left"), F.lit(8).alias("right"))))).select("doc_id", "sheet", "s.*")
+    return discover.row_runs(cells.unionByName(wide), spans).groupBy("doc_id", "start_col", "end_col").agg(F.count("*").alias("n"))
+
+
+def unmapped_suggestions(spark, sf_dir):
+    """Table proposals on the order sheets, less what their template maps from the row of the table on, or names."""
+    found = discover.suggest_tables(orders(spark, sf_dir).books.cells)
+    mapped = fields_table(spark, [ORDERS]).filter("version = 'v2.0' AND field IN ('customer', 'info')")
+    free = discover.clear_of_mapped(found, mapped)
+    taken = discover.clear_of_mapped(found, fields_table(spark, [ORDERS]).filter("version = 'v2.0'"))
+    return free.select("doc_id", F.lit("free").alias("kind")).unionByName(taken.select("doc_id", F.lit("taken").alias("kind")))
+
+
 def incremental_ingest(spark, sf_dir):
     """The order workbooks as a stream of cell files, taken in two calls: table cells as a batch job reads them."""
     cells, base = orders(spark, sf_dir).books.cells, new_path(spark, "stream")
@@ -303,6 +391,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     forced_version, computed_fields, rule_failures, batch_summary, halt_resume, coerce_strict, coerce_lenient, col_letters, parse_refs, conversation_table, event_table, table_vertical,
     first_column_only, open_list_ends, rule_mining, rule_mining_by_document, flatten_long, union_columns, slugs, clean_labels, label_predicates, value_types, header_footer_split, row_runs,
     table_depth, linear_depth, distinct_headers, header_row_choice, field_suggestions, table_suggestions, scan_suggestions, fingerprints, match_score, remap_cells, remap_ranges, incremental_ingest,
+    find_remaps, applied_moves, field_names, column_naming, row_naming, header_promotion, version_guess, first_page_edge, typed_dict, rendered_values, titled_tables, hidden_runs, unmapped_suggestions,
 )}
 
 _NUMBERED = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n FROM lineitem"
@@ -317,7 +406,27 @@ _IDENT = r"(length(t) <= 64 AND regexp_matches(t, '(?i)[a-z]') AND regexp_matche
 _DATA = rf"(regexp_matches(t, '^[0-9]|(?i:^(nq|nd|lod)[<>])') OR (NOT regexp_matches(t, '\s') AND ({_IDENT} OR regexp_matches(t, '(?i)^[A-Z0-9._-]{{7,}}$'))))"
 _STATUS = "upper(t) IN ('OK', 'NQ', 'CC', 'PASS', 'FAIL', 'NO', 'YES', 'NQ, CC')"
 
+_LATE = f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o.*, c_name, c_mktsegment FROM ({_COUNTS}) o LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F'"
+_SAMPLES = f"SELECT l_orderkey, count(*) AS n, count(DISTINCT l_quantity) AS d FROM ({_NUMBERED}) WHERE n <= 8 GROUP BY 1"
+
 ORACLE_SQL: dict[str, str] = {
+    "field_suggestions": "SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, 'Sheet1' AS sheet, 0 AS sheet_idx, 'priority' AS name, 'priority' AS label, 'horizontal' AS axis, 10 AS row, 2 AS col, 'str' AS type, CAST(0.71 AS DOUBLE) AS score FROM orders WHERE o_orderstatus <> 'F'",
+    "table_suggestions": f"SELECT doc_id, 'Sheet1' AS sheet, 0 AS sheet_idx, 'part_table' AS name, 40 AS row, CAST(40 + k AS INTEGER) AS end_row, 1 AS start_col, 4 AS end_col, CAST(k AS INTEGER) AS depth, 'part,qty,price,flag' AS headers, CAST(CASE WHEN k >= 4 THEN 0.94 WHEN k = 3 THEN 0.88 WHEN k = 2 THEN 0.8 ELSE 0.76 END AS DOUBLE) AS score FROM ({_LATE}) WHERE k > 0",
+    "titled_tables": f"SELECT doc_id, 'Sheet1' AS sheet, 0 AS sheet_idx, 'order_lines_table' AS name, 40 AS row, CAST(40 + k AS INTEGER) AS end_row, 1 AS start_col, 4 AS end_col, CAST(k AS INTEGER) AS depth, 'part,qty,price,flag' AS headers, CAST(CASE WHEN k >= 3 THEN 0.99 ELSE 0.94 END AS DOUBLE) AS score FROM ({_LATE}) WHERE k > 0",
+    "unmapped_suggestions": f"SELECT doc_id, 'free' AS kind FROM ({_LATE}) WHERE k > 0",
+    "hidden_runs": f"SELECT CAST(user_id AS VARCHAR) AS doc_id, 1 AS start_col, CASE WHEN n = 1 AND k IS NOT NULL THEN 7 WHEN k IS NOT NULL THEN 7 ELSE 3 END AS end_col, count(*) AS n FROM ({_EVENTS}) GROUP BY ALL UNION ALL SELECT CAST(user_id AS VARCHAR), 7, 7, count(*) FROM ({_EVENTS}) WHERE n = 1 AND k IS NULL GROUP BY ALL",
+    "remap_ranges": f"SELECT 'orders' AS schema, 'v1.0' AS version, 'quantities' AS field, 'C4:C' || (3 + n) AS ref, count(*) AS n_docs FROM ({_SAMPLES}) JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY ALL",
+    "find_remaps": f"SELECT doc_id, 'customer' AS name, 'B5' AS ref, CAST(round(1 - 2 / 120.0, 6) AS DOUBLE) AS score FROM ({_LATE}) WHERE c_name IS NOT NULL UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'quantities', CASE WHEN d >= 3 THEN 'D7:D' || (6 + n) ELSE 'D7:D' END, CAST(CASE WHEN d >= 3 THEN round(1 - 2 / 220.0, 6) ELSE 0.99 END AS DOUBLE) FROM ({_SAMPLES}) JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' AND n >= 2",
+    "applied_moves": "SELECT * FROM (VALUES ('v2.0', 'customer', 5, 2, 5, 2), ('v2.0', 'order_date', 4, 2, 4, 2), ('v2.0', 'total', 3, 5, 3, 5), ('v2.0', 'n_lines', 4, 5, 4, 5), ('v2.0', 'info', 10, 1, 15, 2), ('v2.0', 'quantities', 7, 4, 0, 4), ('v2.0', 'lines', 40, 1, 0, 4), ('v1.0', 'customer', 3, 1, 3, 1), ('v1.0', 'quantities', 2, 3, 0, 3), ('v1.0', 'lines', 1, 1, 0, 4)) AS f(version, field, start_row, start_col, end_row, end_col)",
+    "field_names": f"SELECT doc_id, unnest([10, 41, 41]) AS row, unnest([2, 3, 1]) AS col, unnest(['order_priority', 'price', 'part']) AS name FROM ({_LATE})",
+    "column_naming": f"SELECT doc_id, unnest(['A', 'B', 'C', 'D']) AS letters, unnest(['part', 'qty', 'price', 'flag']) AS name FROM ({_LATE})",
+    "row_naming": f"SELECT doc_id, unnest([10, 11, 12]) AS at, unnest(['priority', 'status', 'segment']) AS name FROM ({_LATE})",
+    "header_promotion": "SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CASE WHEN o_orderstatus = 'F' THEN 41 ELSE 40 END AS row, o_orderstatus <> 'F' AS promoted FROM orders",
+    "version_guess": f"SELECT doc_id, value FROM (SELECT doc_id, concat_ws(' ', CASE WHEN o_orderstatus = 'O' THEN 'v2.0' END, c_name) AS value FROM ({_LATE})) WHERE value <> '' UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'v1.0' FROM orders WHERE o_orderstatus = 'F'",
+    "first_page_edge": """WITH e AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, turn, CASE turn % 2 WHEN 0 THEN 'footer' ELSE 'header' END AS kind, CASE turn % 3 WHEN 0 THEN 'even' WHEN 1 THEN 'first' ELSE 'odd' END AS page, CASE turn % 3 WHEN 0 THEN 'right' WHEN 1 THEN 'center' ELSE 'left' END AS section FROM conversations WHERE turn > 0 AND trim(role) <> '')
+        SELECT doc_id, kind, page, section FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind DESC, CASE page WHEN 'odd' THEN 0 WHEN 'first' THEN 1 ELSE 2 END, section = 'right', section = 'center') AS t FROM e) WHERE t = 1""",
+    "typed_dict": f"WITH e AS (SELECT *, regexp_extract(props, '\"([^\"]+)\"\\s*:\\s*(-?\\d+)', 1) AS key FROM ({_EVENTS})), s AS (SELECT user_id, coalesce(min(n) FILTER (k IS NULL), max(n) + 1) AS stop FROM e GROUP BY 1) SELECT CAST(user_id AS VARCHAR) AS doc_id, key, arg_max(k, n) AS value FROM e JOIN s USING (user_id) WHERE n < stop GROUP BY 1, 2",
+    "rendered_values": f"SELECT doc_id, CASE WHEN h.k > 3 THEN 'TRUE' ELSE 'FALSE' END AS long, CAST(h.k AS VARCHAR) AS n_lines, '{{\"priority\":\"' || o_orderpriority || '\",\"segment\":\"' || coalesce(c_mktsegment, '') || '\",\"status\":\"' || o_orderstatus || '\"}}' AS info, coalesce(w.whole, '[]') AS whole FROM ({_LATE}) h LEFT JOIN (SELECT l_orderkey, '[' || string_agg(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ',' ORDER BY n) || ']' AS whole FROM ({_NUMBERED}) GROUP BY 1) w ON w.l_orderkey = h.o_orderkey",
     "order_totals": "SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, count(*) AS n_lines, round(sum(l_extendedprice), 2) AS total, sum(l_quantity) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
     "incremental_ingest": "SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, count(*) AS n_lines, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
     "scalar_fields": f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, c_name AS customer, o_totalprice AS total, k AS n_lines, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d') AS ordered FROM ({_COUNTS}) LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F'",
@@ -364,7 +473,7 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT doc_id, unnest(['info.priority', 'info.status', 'info.segment']), unnest([o_orderpriority, o_orderstatus, coalesce(c_mktsegment, '')]) FROM h
         UNION ALL SELECT doc_id, 'quantities', '' FROM h WHERE k = 0 UNION ALL SELECT doc_id, 'quantities.' || (n - 1), CAST(l_quantity AS VARCHAR) FROM h JOIN ({_NUMBERED}) l ON l.l_orderkey = h.o_orderkey""",
     "union_columns": f"SELECT 'customer' AS path UNION SELECT 'quantities.' || (n - 1) FROM ({_NUMBERED}) JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' UNION SELECT 'quantities' FROM ({_COUNTS}) WHERE o_orderstatus = 'F' AND k = 0",
-    "slugs": f"SELECT conv_id, turn, {_SLUG.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS slug FROM conversations",
+    "slugs": "SELECT conv_id, turn, " + _SLUG.format("coalesce(text, '')") + " AS slug FROM conversations",
     "clean_labels": "SELECT conv_id, turn, " + _BARE.format(r"regexp_replace(regexp_replace(coalesce(text, '') || ' :*', '[:*]+$', ''), '\s+', ' ', 'g')") + " AS label FROM conversations",
     "label_predicates": rf"""WITH l AS ({_LINES}), x AS (SELECT line, {_BARE.format('line')} AS t, {_BARE.format(_UNTITLED)} AS u FROM l WHERE trim(line) <> '')
         SELECT count(*) AS n, count(*) FILTER ({_LABEL}) AS labels, count(*) FILTER ({_LABEL} AND NOT {_DATA} AND NOT {_STATUS}) AS headers, count(*) FILTER ({_DATA}) AS data, count(*) FILTER ({_IDENT}) AS identifiers,

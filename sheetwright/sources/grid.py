@@ -14,6 +14,7 @@ DOCS = "doc_id string, path string"
 SHEETS = "doc_id string, sheet string, sheet_idx int, n_rows int, n_cols int"
 HEADER_FOOTER = "doc_id string, sheet string, sheet_idx int, kind string, page string, section string, text string"
 MERGES = "doc_id string, sheet string, top int, left int, bottom int, right int"
+HIDDEN = "doc_id string, sheet string, left int, right int"
 
 
 @dataclass(frozen=True)
@@ -25,13 +26,14 @@ class Workbooks:
     cells: DataFrame
     edges: DataFrame  # page headers and footers
     merges: DataFrame
+    hidden: DataFrame  # spans of hidden columns
 
     def stored(self) -> Workbooks:
         """The same, with cells and side tables written once: what follows reads them with its filters and columns pushed down."""
-        return Workbooks(*[cut(t, n) for t, n in ((self.docs, "docs"), (self.sheets, "sheets"), (self.cells, "cells"), (self.edges, "edges"), (self.merges, "merges"))])
+        return Workbooks(*[cut(t, n) for t, n in ((self.docs, "docs"), (self.sheets, "sheets"), (self.cells, "cells"), (self.edges, "edges"), (self.merges, "merges"), (self.hidden, "hidden"))])
 
 
-def from_cells(cells: DataFrame, docs: DataFrame | None = None, sheets: DataFrame | None = None, edges: DataFrame | None = None, merges: DataFrame | None = None) -> Workbooks:
+def from_cells(cells: DataFrame, docs: DataFrame | None = None, sheets: DataFrame | None = None, edges: DataFrame | None = None, merges: DataFrame | None = None, hidden: DataFrame | None = None) -> Workbooks:
     """Workbooks of a cells table; what isn't given is derived from it, or empty."""
     spark = cells.sparkSession
     return Workbooks(
@@ -40,6 +42,7 @@ def from_cells(cells: DataFrame, docs: DataFrame | None = None, sheets: DataFram
         cells,
         edges if edges is not None else spark.createDataFrame([], HEADER_FOOTER),
         merges if merges is not None else spark.createDataFrame([], MERGES),
+        hidden if hidden is not None else spark.createDataFrame([], HIDDEN),
     )
 
 

@@ -11,9 +11,11 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset in local mode (tests)."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
@@ -35,6 +37,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes what cut has written for these tables, once nothing reads them any more."""
+    for table in tables:
+        if path := getattr(table, "scratch", None):
+            remove(table.sparkSession, path)

@@ -35,6 +35,9 @@ def write_records(records: DataFrame, schema: str, version: str, path: str) -> N
     records.withColumns({"schema": F.lit(schema), "version": F.lit(version)}).write.mode("append").partitionBy("schema", "version").parquet(path)
 
 
-def write_csv(flat: DataFrame, paths: list[str], path: str) -> None:
-    """Flat results as CSV: a column a path, all quoted, nulls empty."""
-    wide(flat, paths).write.option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
+def write_csv(flat: DataFrame, paths: list[str], path: str, resolved: DataFrame | None = None, docs: DataFrame | None = None) -> None:
+    """Flat results as CSV: a column a path, all quoted, nulls empty; with resolved and docs the columns of with_provenance come first."""
+    rows = wide(flat, paths)
+    if resolved is not None and docs is not None:
+        rows = with_provenance(rows, resolved, docs).drop("doc_id")
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)

@@ -39,25 +39,31 @@ def glob_filter(name: Column, relative: Column, patterns: list[str], ignore_case
     return out
 
 
-def list_workbooks(spark: SparkSession, paths: str | list[str], include: list[str] | None = None, base: str | None = None) -> DataFrame:
-    """path, name, length of the workbooks below folders or among files, without temporary ones; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length")
-    files = files.withColumn("name", F.regexp_extract("path", "[^/]+$", 0))
-    files = files.filter(F.lower("name").rlike(r"\.(xlsx|xls|xlsm|xlsb)$") & ~F.col("name").startswith("~$")).dropDuplicates(["path"])
+def _files(spark: SparkSession, paths: str | list[str], include: list[str] | None, base: str | None) -> DataFrame:
+    """The workbook files below folders or among files, without temporary ones; what isn't selected of them is not read."""
+    several = sorted(set(paths)) if isinstance(paths, list) else paths
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(several)
+    name = F.regexp_extract("path", "[^/]+$", 0)
+    files = files.filter(F.lower(name).rlike(r"\.(xlsx|xls|xlsm|xlsb)$") & ~name.startswith("~$"))
     if include:
         relative = F.regexp_replace("path", f"^(file:)?/*{re.escape(base.strip('/'))}/", "") if base else F.col("path")
-        files = files.filter(glob_filter(F.col("name"), relative, include))
+        files = files.filter(glob_filter(name, relative, include))
     return files
 
 
+def list_workbooks(spark: SparkSession, paths: str | list[str], include: list[str] | None = None, base: str | None = None) -> DataFrame:
+    """path, name, length of each workbook once; contents are not read."""
+    return _files(spark, paths, include, base).select("path", F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length").dropDuplicates(["path"])
+
+
 def read_workbooks(spark: SparkSession, paths: str | list[str], include: list[str] | None = None, base: str | None = None) -> tuple[Workbooks, DataFrame]:
     """The workbooks of folders or files, and failures(path, error_kind, message) of those that can't be read.
 
-    One task row a file: a package is parsed where it lies, its cells leave in batches, its bytes don't travel on.
+    One task row a file: a package is parsed where it lies, its cells leave in batches, its bytes don't travel. A file that
+    the paths name twice (a folder and one of its files) is parsed twice, and its rows are one by path.
     """
-    listed = list_workbooks(spark, paths, include, base)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content").join(listed.select("path"), "path")
-    return split(cut(files.mapInPandas(parse_files, ROW), "workbooks"))
+    parsed = cut(_files(spark, paths, include, base).select("path", "content").mapInPandas(parse_files, ROW), "workbooks")
+    return split(parsed.distinct() if isinstance(paths, list) and len(paths) > 1 else parsed)
 
 
 def split(rows: DataFrame) -> tuple[Workbooks, DataFrame]:
@@ -66,12 +72,13 @@ def split(rows: DataFrame) -> tuple[Workbooks, DataFrame]:
     docs = pick("doc").select("doc_id", "path")
     sheets = pick("sheet").select("doc_id", "sheet", "sheet_idx", F.col("row").alias("n_rows"), F.col("col").alias("n_cols"))
     merges = pick("merge").select("doc_id", "sheet", F.col("row").alias("top"), F.col("col").alias("left"), "bottom", "right")
+    hidden = pick("hidden").select("doc_id", "sheet", F.col("col").alias("left"), "right")
     raw = pick("edge").withColumn("s", header_footer_sections(F.col("text")))
     parts = F.explode(F.array(*[F.struct(F.lit(k).alias("section"), F.col(f"s.{k}").alias("t")) for k in ("left", "center", "right")]))
     edges = raw.select("doc_id", "sheet", "sheet_idx", "kind", parts.alias("p")).filter("p.t <> ''")
     edges = edges.select("doc_id", "sheet", "sheet_idx", F.lower(F.regexp_extract("kind", "(Header|Footer)$", 1)).alias("kind"), F.regexp_extract("kind", "^(odd|even|first)", 1).alias("page"), "p.section", F.col("p.t").alias("text"))
     cells = pick("cell").select(*[c.split(" ")[0] for c in CELLS.split(", ")])
-    return Workbooks(docs, sheets, cells, edges, merges), pick("failure").select("path", F.col("kind").alias("error_kind"), F.col("text").alias("message"))
+    return Workbooks(docs, sheets, cells, edges, merges, hidden), pick("failure").select("path", F.col("kind").alias("error_kind"), F.col("text").alias("message"))
 
 
 def parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,6 +159,7 @@ def package(data: bytes) -> Iterator[dict]:
 
 def _sheet(part, of: dict, strings: list[str], styles: list[tuple[bool, bool]], shift: dt.timedelta) -> Iterator[dict]:
     hidden: list[tuple[int, int]] = []
+    formulas: dict[str, str] = {}
     row_at, col_at, n_rows, n_cols = 0, 0, 0, 0
     for event, node in ET.iterparse(part, events=("start", "end")):
         tag = _bare(node.tag)
@@ -167,7 +175,7 @@ def _sheet(part, of: dict, strings: list[str], styles: list[tuple[bool, bool]],
             bold = False
             if (style := int(node.get("s") or 0)) < len(styles):
                 bold = styles[style][1]
-            if value := _value(node, strings, style < len(styles) and styles[style][0], shift):
+            if value := _value(node, strings, style < len(styles) and styles[style][0], shift, formulas):
                 n_rows, n_cols = max(n_rows, row_at), max(n_cols, col_at)
                 yield {"what": "cell", **of, "row": row_at, "col": col_at, **value, "emphasized": bold, "hidden_col": any(lo <= col_at <= hi for lo, hi in hidden)}
         elif tag == "row":
@@ -178,17 +186,27 @@ def _sheet(part, of: dict, strings: list[str], styles: list[tuple[bool, bool]],
             yield {"what": "merge", **of, "row": int(r1), "col": column_number(c1), "bottom": int(r2), "right": column_number(c2)}
         elif re.fullmatch("(odd|even|first)(Header|Footer)", tag) and node.text:
             yield {"what": "edge", **of, "kind": tag, "text": node.text}
+    for lo, hi in hidden:
+        yield {"what": "hidden", **of, "col": lo, "right": hi}
     yield {"what": "sheet", **of, "row": n_rows, "col": n_cols}
 
 
-def _value(node: ET.Element, strings: list[str], dated: bool, shift: dt.timedelta) -> dict | None:
-    """kind, text, num, bool and ts of a cell; None if it has no value. Text is as Python prints the value."""
+def _value(node: ET.Element, strings: list[str], dated: bool, shift: dt.timedelta, formulas: dict[str, str]) -> dict | None:
+    """kind, text, num, bool and ts of a cell; None if it has no value. Text is as Python prints the value; a formula without a result is =formula.
+
+    formulas: the shared ones of the sheet so far, by number; a cell that shares one shows it as its first cell has it.
+    """
     part = {_bare(x.tag): x for x in node}
+    if "f" in part and part["f"].text and part["f"].get("si"):
+        formulas[part["f"].get("si")] = part["f"].text
     kind = node.get("t") or "n"
     if kind == "inlineStr":
         return {"kind": "s", "text": _text(part["is"])} if "is" in part else None
     raw = part["v"].text if "v" in part and part["v"].text is not None else None
     if raw is None:
+        if "f" in part and "v" not in part:  # never calculated
+            formula = part["f"].text or formulas.get(part["f"].get("si"))
+            return {"kind": "s", "text": f"={formula}"} if formula else None
         return {"kind": "s", "text": ""} if kind == "str" and "v" in part else None
     if kind == "s":
         return {"kind": "s", "text": strings[int(raw)]}
