@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -56,3 +56,18 @@ def segment_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros((1, values.shape[1])), values.cumsum(axis=0, dtype=np.float64)])
     ends = sizes.cumsum()
     return total[ends] - total[ends - sizes]
+
+
+def text_groups(column: pa.Array, most_chars: int, most_rows: int = 500) -> Iterator[list[str]]:
+    """The texts of a column in order, nulls empty, in groups of about most_chars characters; a longer text alone."""
+    group: list[str] = []
+    size = 0
+    for value in column:
+        text = value.as_py() or ""
+        if group and (size + len(text) > most_chars or len(group) >= most_rows):
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
