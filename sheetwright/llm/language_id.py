@@ -22,14 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import cut
-from .words import WordTable, kept, segment_sums
+from ..sources.shared import cut
+from .words import WordTable, kept, segment_sums, text_groups
 
-#: The bound of the training sample: documents a language, and languages (the most frequent).
-TRAIN_DOCS, LANGUAGES = 250, 64
+#: The bound of the training sample: documents of all languages together (one of each language at least), words of a document, and characters a word.
+TRAIN_DOCS, DOC_WORDS, WORD_CHARS = 16_000, 400, 64
+#: Documents of a language that are enough, and how many more than wanted are looked at to find them.
+LANGUAGE_DOCS, MARGIN = 250, 2.0
 HASHED, LEXICON, CHAIN, BLOCK = 1 << 16, 300, 32, 64
 EPOCHS, BATCH, RATE, SHRINK = 3, 256, 0.2, 1e-6
 UNKNOWN = "und"
+#: Characters that are labelled together, fewer with many languages.
+GROUP_CHARS = 500_000
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -195,22 +199,55 @@ def chain_marginals(e: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray,
     return marginal, pair.sum(axis=(0, 1))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, seed: int = 3) -> Field | None:
-    """Learns from at most train_docs documents of each of the LANGUAGES most frequent languages, chosen by a
-    hash of their ids outside the held-out fold. None if there is no such document."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    top = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not top:
+def sample_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int, language_docs: int, seed: int) -> DataFrame:
+    """id, lang, text of the training sample: of each language its share of train_docs, language_docs at most, by a hash of the ids.
+
+    Every language of the training fold is in it. A threshold on the hash leaves about MARGIN times the wanted rows
+    before they are ranked; a language that this leaves short is ranked whole.
+    """
+    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
+    held = cut(known.groupBy("lang").agg(F.count("*").alias("held")), "language-counts")
+    share = max(1, min(language_docs, train_docs // max(1, held.count())))
+    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000))
+    limit = F.when(F.col("held") <= 4 * MARGIN * share, 1_000_000).otherwise(F.ceil(1_000_000 * MARGIN * share / F.col("held")) + 1)
+    near = known.join(F.broadcast(held.withColumn("limit", limit)), "lang").filter(draw < F.col("limit"))  # one row a language
+    turn = W.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(seed)), "id", F.xxhash64("text"))
+    return near.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= share).select("id", "lang", "text")
+
+
+def training_words(sample: DataFrame, doc_words: int, seed: int) -> DataFrame:
+    """id, lang, words: passages of each text, drawn over the whole of it, doc_words words at most; cut where the texts are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ident, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = [w for t in text.split() if (w := plain(t)) and len(w) <= WORD_CHARS]
+                if len(words) > doc_words:
+                    parts = -(-doc_words // CHAIN)
+                    rng = np.random.default_rng([seed, zlib.crc32(str(ident).encode())])
+                    starts = np.sort(rng.integers(0, len(words) // parts - CHAIN + 1, parts) if len(words) // parts > CHAIN else np.zeros(parts, np.int64)) + np.arange(parts) * (len(words) // parts)
+                    words = [w for at in starts for w in words[at : at + CHAIN]][:doc_words]
+                out.append(words)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array(out, pa.list_(pa.string()))], ["id", "lang", "words"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in sample.schema.fields}
+    return sample.mapInArrow(run, f"id {kinds['id']}, lang {kinds['lang']}, words array<string>")
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, language_docs: int = LANGUAGE_DOCS, doc_words: int = DOC_WORDS, seed: int = 3) -> Field | None:
+    """Learns every language of the training fold from at most train_docs documents in all and doc_words words of each; None if there is none.
+
+    The driver gets at most train_docs * doc_words words of WORD_CHARS characters (and one document of each language at
+    least); the model has HASHED weights a language.
+    """
+    sample = cut(training_words(sample_of(docs, id_col, text_col, lang_col, train_docs, language_docs, seed), doc_words, seed), "language-sample")
+    rows = sorted(((r["id"], r["lang"], r["words"]) for r in sample.toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
+    if not rows:
         return None
-    salted = W.partitionBy("lang", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(64))).orderBy(F.xxhash64("id"), "id")
-    turn = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")  # over at most 64 * train_docs rows a language
-    chosen = known.filter(F.col("lang").isin(top)).distinct().withColumn("turn", F.row_number().over(salted)).filter(F.col("turn") <= train_docs).withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= train_docs).select("id", "lang")
-    chosen = cut(chosen, "language-sample")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").filter("text IS NOT NULL")  # at most LANGUAGES * train_docs ids
-    rows = sorted(((r["id"], r["lang"], r["text"]) for r in texts.select("id", "lang", "text").toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
-
-    languages = sorted(top)
-    split = [(languages.index(lang), [w for t in text.split() if (w := plain(t))]) for _, lang, text in rows]
+    languages = sorted({lang for _, lang, _ in rows})
+    number_of = {lang: k for k, lang in enumerate(languages)}
+    split = [(number_of[lang], words) for _, lang, words in rows]
     counts: list[Counter[str]] = [Counter() for _ in languages]
     for k, words in split:
         counts[k].update(words)
@@ -279,17 +316,17 @@ def predict(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_c
     """id, lang_pred, score of every row; no shuffle.
 
     Null texts and texts without a letter are `und` with score 0, as is every text if nothing was learned.
-    Null ids and repeated rows pass as they are; other columns are not read; an empty table gives an empty result.
+    Null ids and repeated rows pass as they are; other columns are not read; an empty table gives an empty result. Texts are taken in
+    groups of about GROUP_CHARS characters; a longer text is a group of its own, and costs memory by its words.
     """
-    token = uuid.uuid4().hex
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # HASHED weights a language, LANGUAGES at most
+    token, group_chars = uuid.uuid4().hex, max(2_000, GROUP_CHARS // (1 + len(field.languages) // 8) if field else GROUP_CHARS)
+    shared = docs.sparkSession.sparkContext.broadcast(field)  # HASHED weights a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = kept(token, lambda: Labeller(shared.value) if shared.value else None)
         for batch in batches:
             lang, score = [], []
-            for k in range(0, batch.num_rows, 200):
-                texts = [t or "" for t in batch.column("text").slice(k, 200).to_pylist()]
+            for texts in text_groups(batch.column("text"), group_chars):
                 got = labeller.languages(texts) if labeller else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
                 lang += got[0]
                 score += got[1].tolist()
