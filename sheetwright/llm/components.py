@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from ..sources.shared import cut, drop
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -26,8 +26,9 @@ def connected(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a")
-        edges = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "links")
+        old, edges = edges, cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "links")
         before, mark = mark, _mark(edges)
+        drop(old)
         if mark == before:
             break
     pointed = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")

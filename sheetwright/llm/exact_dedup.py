@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import cut
+from ..sources.shared import cut
 
 #: The white space that equal texts may differ in.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
-MAX_DEPTH, BUCKET_ROWS, OWNER_ROWS, HOT_ROWS = 16, 10_000, 20_000, 50_000
+MAX_DEPTH, BUCKET_ROWS, OWNER_ROWS, HOT_ROWS = 16, 2_500, 5_000, 50_000
 #: Hot keys up to which they are broadcast (20 bytes each).
 BROADCAST_KEYS = 500_000
 

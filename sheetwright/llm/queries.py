@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.melt import read as table
 from . import byte_bpe, exact_dedup, jaccard_join, language_id, mixing, secret_scan, token_counts, topk, toxicity, warc
-from .shared import table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

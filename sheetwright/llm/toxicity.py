@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .shared import cut
-from .words import WordTable, kept, segment_sums
+from ..sources.shared import cut
+from .words import WordTable, kept, segment_sums, text_groups
 
 #: The bound of the labelled sample, in documents.
 TRAIN_DOCS = 20_000
 TREES, DEPTH, BINS, RATE, LEAST_LEAF = 80, 3, 32, 0.15, 12
 LEXICON, STEM = 4_000, (4, 8)
 LEAST_DOCS, LEAST_ODDS, DOUBT = 4, 2.5, 2.0
+#: Characters whose features are made together.
+GROUP_CHARS = 1_000_000
 #: Parts of a class's documents in turn: 0 to 4 yield the lexicon, 5 to 7 the trees, 8 and 9 the calibration; and the fewest of a class in the latter two.
 PARTS, LEAST_GROW, LEAST_SETTLE = (0, 5, 8, 1, 6, 2, 9, 3, 7, 4), 2, 1
 #: Second-person words, and look-alike characters in disguised words.
@@ -202,7 +204,7 @@ def _features_of(rows: DataFrame, words: dict[str, float], stems: dict[str, floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Featurizer(*shared.value)
         for batch in batches:
-            x = f.features(batch.column("text").to_pylist())
+            x = np.concatenate([f.features(texts) for texts in text_groups(batch.column("text"), GROUP_CHARS)]) if batch.num_rows else np.zeros((0, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("part"), pa.array(list(x), pa.list_(pa.float64()))], ["y", "part", "x"])
 
     return rows.mapInArrow(run, carry + ", x array<double>")
@@ -244,7 +246,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     """id and score of every row, or with keep all columns and the score; no shuffle.
 
     Null and empty texts have zero features and get the score that these have. Null ids and repeated rows
-    pass as they are; with keep, a column called like `name` must not exist yet.
+    pass as they are; with keep, a column called like `name` must not exist yet. Texts are taken in groups of about
+    GROUP_CHARS characters, a longer one alone. An empty table gives an empty result.
     """
     token = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(model)  # lexicon and trees of bounded size
@@ -253,13 +256,9 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         m = shared.value
         f = kept(token, lambda: Featurizer(m.words, m.stems))
         for batch in batches:
-            got = []
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                texts = [t or "" for t in part.column(text_col).to_pylist()]
-                got.append(m.score(f.features(texts)))
+            got = [m.score(f.features(texts)) for texts in text_groups(batch.column(text_col), GROUP_CHARS)]
             names = batch.schema.names if keep else [id_col]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(np.concatenate(got) if got else [], pa.float64())], [*names, name])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())], [*names, name])
 
     rows = docs if keep else docs.select(id_col, text_col)
     schema = T.StructType([*(rows if keep else rows.select(id_col)).schema.fields, T.StructField(name, T.DoubleType())])

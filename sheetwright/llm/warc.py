@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, new_path
+from ..sources.shared import cut, new_path
 
 LEAST_SHARED = 1000
 #: Bytes of payload in an archive at most (but for one larger record), what counts as a large record, and records a file.

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -48,13 +49,23 @@ def test_token_counts(docs, none):
     assert token_counts.count_tokens(none, path).count() == 0
 
 
-def test_resynchronised_offsets():
-    encode = token_counts.Counter(P.path("word_bpe_49k.json")).encode
-    for text in (LONG[:5_000], "x" * 900 + " tail", "é ñ " * 300, " " * 500):
-        whole = encode([text])[0]
-        ids, offsets, widened = token_counts.resynchronised(text, encode, 128, 16)
+@pytest.mark.parametrize("by_word", [True, False])
+def test_resynchronised_offsets(by_word):
+    counter = token_counts.Counter(P.path("word_bpe_49k.json"))
+    assert counter.by_word
+    counter.by_word = by_word
+    rng = np.random.default_rng(8)
+    mixed = "".join(str(x) for x in rng.choice(["a", "Bé", "日", " ", "\n", "\u00a0", "\u2003", "\x1c", "\x85", "'s", "12", "don't", "e\u0301", "<|endoftext|>", "!?", "\t"], 3_000))
+    for text in (LONG[:5_000], "x" * 900 + " tail", "é ñ " * 300, " " * 500, mixed, "", "one"):
+        whole = counter.encode([text])[0]
+        ids, offsets, widened = token_counts.resynchronised(text, counter, 128, 16)
         assert (ids, offsets) == (whole.ids, whole.offsets)
-    assert token_counts.resynchronised("a " * 90 + "y" * 80 + " b" * 90, encode, 128, 8)[2] > 0
+        counter.chunk, counter.overlap = 128, 16
+        assert counter.count([text, text[1:]]) == [len(whole.ids), len(counter.encode([text[1:]])[0].ids)]
+    parts, widened = token_counts.spliced("a " * 90 + "y" * 80 + " b" * 90, counter.chunk_of, 128, 8)
+    assert widened > 0 and len(parts) > 1
+    parts, widened = token_counts.spliced("word and more " * 100, counter.chunk_of, 128, 48)
+    assert widened == 0 and len(parts) > 10 and all(x[2] == y[1] for x, y in zip(parts, parts[1:]))
 
 
 def test_byte_bpe(docs, none):
@@ -177,7 +188,7 @@ def test_language_field():
 
 def test_language_id(spark, docs, none):
     sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    field = language_id.train(sf, train_docs=60)
+    field = language_id.train(sf, train_docs=240)
     got = language_id.predict(sf, field).join(sf.select("doc_id", "lang"), "doc_id").withColumn("held", language_id.held_out("doc_id")).toPandas()
     held = got[got.held]
     assert len(held) > 100 and (held.lang == held.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
@@ -189,6 +200,47 @@ def test_language_id(spark, docs, none):
     assert [r[2] for r in runs] == ["en", "de", "fr"]
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """Eighty languages of three words each, one of them rare: none is left out, and predictions agree with all paths summed."""
+    monkeypatch.setattr(language_id, "EPOCHS", 2)
+    word = lambda k, j: f"{chr(97 + k % 26)}{chr(97 + k // 26)}{'xyz'[j]}" * 2
+    rows = [(1_000 * k + i, " ".join(word(k, (i + j) % 3) for j in range(12)), f"l{k:02}") for k in range(80) for i in range(3 if k == 7 else 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    field = language_id.train(df, language_docs=4)
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+    assert set(field.languages) == learned and len(learned) >= 79
+    got = language_id.predict(df, field).toPandas().set_index("doc_id").lang_pred
+    assert all(got[i] == lang for i, _, lang in rows if lang in learned)
+
+
+def test_predictions_by_hand(spark):
+    rng = np.random.default_rng(4)
+    field = language_id.Field(["a", "b"], frozenset({"foo"}))
+    field.weights[:] = rng.normal(size=field.weights.shape)
+    field.transitions[:] = rng.normal(size=(2, 2))
+    texts = ["foo bar 12 baz", "Qux!", "... 1", "x y z foo foo é"]
+    got = [tuple(r) for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), field).orderBy("doc_id").collect()]
+    for k, text in enumerate(texts):
+        words = [language_id.plain(t) for t in text.split()]
+        e, total = field.evidence(words), np.zeros((len(words), 2))
+        for path in itertools.product(range(2), repeat=len(words)):
+            p = np.exp(sum(e[i, s] for i, s in enumerate(path)) + sum(field.transitions[path[i - 1], s] for i, s in enumerate(path) if i))
+            p *= sum(np.exp(field.transitions[s, path[0]]) for s in range(2))
+            for i, s in enumerate(path):
+                total[i, s] += p
+        total /= total.sum(axis=1, keepdims=True)
+        sums = total[[any(c.isalpha() for c in t) for t in text.split()]].sum(axis=0)
+        want = (k, "ab"[int(sums.argmax())], sums.max() / sums.sum()) if sums.sum() else (k, "und", 0.0)
+        assert got[k][:2] == want[:2] and abs(got[k][2] - want[2]) < 1e-6
+
+
+def test_training_words_are_bounded(spark):
+    df = spark.createDataFrame([(1, "en", " ".join(f"w{k}x" for k in range(5_000))), (2, "en", "kurz " + "z" * 500), (3, "en", "")], "id long, lang string, text string")
+    got = {r.id: r.words for r in language_id.training_words(df, 100, 1).collect()}
+    places = [int(w[1:-1]) for w in got[1]]
+    assert len(got[1]) == 100 and places == sorted(places) and places[0] < 1_500 < 3_500 < places[-1] and got[2] == ["kurz"] and got[3] == []
+
+
 def spans_by_hand(text):
     text = text or ""
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
@@ -225,6 +277,41 @@ def test_secret_parts_are_different_text(spark):
     assert [r.spans for r in sorted(got)] == list(want.values())
 
 
+def linked_by_hand(text):
+    """The weak parts that are reported, by comparing all pairs of parts."""
+    kinds = secret_scan.KINDS
+    roles = [secret_scan.ROLES[k] for k in kinds]
+    import regex
+
+    find = lambda pattern: [(m.start(), m.end()) for m in regex.finditer(pattern, text)]
+    base = [(s, k, e) for s, k, e in spans_by_hand(text)]
+    meets = lambda a, others: any(o[0] < a[1] and a[0] < o[-1] for o in others)
+    ids, ends = find(secret_scan.WEAK_ID), find(secret_scan.ENDPOINT)
+    weak = [(s, 3, e) for s, e in ids if not meets((s, e), base)]
+    weak += [(s, 4, e) for s, e in find(secret_scan.WEAK_SECRET) if not meets((s, e), base) and not meets((s, e), ids) and not meets((s, e), ends)]
+    weak += [(s, 5, e) for s, e in ends]
+    out = []
+    for s, k, e in weak:
+        near = [(a, r, b) for a, r, b in ((a, roles[j], b) for a, j, b in base + weak) if r != roles[k] and (b <= s or a >= e) and a <= e + secret_scan.SCOPE and s <= b + secret_scan.SCOPE]
+        has = lambda r, near=near: [(a, b) for a, x, b in near if x == r]
+        pair = any(b <= c or d <= a for a, b in has("id") for c, d in has("secret"))
+        if (roles[k] == "id" and has("secret")) or (roles[k] == "secret" and (has("id") or has("endpoint"))) or (roles[k] == "endpoint" and pair):
+            if not meets((s, e), base):
+                out.append((s, k, e))
+    return ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in sorted(base + out))
+
+
+def test_secret_links_by_hand(spark):
+    """Random texts of parts and gaps, against all pairs of parts."""
+    rng = np.random.default_rng(12)
+    parts = ["user=root", "client_id: bob-7", "aB3" + "c4" * 9, "Zq9" + "x7" * 10 + "==", "https://api.host.example/v1", "postgres://svc:pw1234567890abcdef@db/x", "password=hunter22", "AKIA" + "B" * 16, "0" * 24, "token: " + "k9" * 12, "plain words", "é🙂", "x" * 150, "." * 120]
+    texts = [" ".join(str(x) for x in rng.choice(parts, int(rng.integers(1, 9)))) for _ in range(150)]
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == [linked_by_hand(t) for t in texts]
+    long = " ".join(parts) + " filler" * 20_000 + " user=root aB3" + "c4" * 9
+    assert secret_scan.scan_secrets(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().spans == linked_by_hand(long)
+
+
 def components_by_hand(rows):
     sets = []
     for i, t, *_ in rows:
@@ -369,6 +456,21 @@ def test_toxicity(spark, docs, none):
     assert {r.score for r in toxicity.score_documents(docs, empty).collect()} == {0.0}
 
 
+def test_scores_by_hand(spark):
+    """Scores of a small model, feature by feature and tree by tree."""
+    words, stems = {"idiot": 3.0}, {"idio": 2.0, "stup": 1.5}
+    edges = [np.array([1e-9]) for _ in toxicity.FEATURES]
+    trees = toxicity.Trees(edges, -1.0)
+    trees.trees = [{1: (3, 0), 2: (-1, -0.5), 3: (5, 0), 6: (-1, 0.25), 7: (-1, 1.5)}]  # no hit; a hit; a hit and a second person
+    model = toxicity.Model(words, stems, trees, (np.array([-2.0, 0.0, 1.0]), np.array([0.0, 0.4, 0.9])), 0.1)
+    texts = ["", "good words only", "an idiot", "you idiot!", "STUPIDLY 1di0t", None, "your work"]
+    want = [0.1, 0.1, 0.25, 0.65, 0.25, 0.1, 0.1]  # raw -1.5, -0.75 or 0.5 between the knots
+    got = [r.score for r in toxicity.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert np.allclose(got, want)
+    x = toxicity.Featurizer(words, stems).features(["you idiot!"])[0]
+    assert dict(zip(toxicity.FEATURES, x.round(6)))["worst"] == 3.0 and x[toxicity.FEATURES.index("second")] == 0.5 and x[toxicity.FEATURES.index("near_second")] == 0.5
+
+
 def test_rare_toxic_labels(spark):
     rng = np.random.default_rng(5)
     plain = lambda k: " ".join(f"w{j}" for j in rng.integers(0, 300, 40)) + (" you stupid IDIOT!! you worthless idiot" if k else ".")

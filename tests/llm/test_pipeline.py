@@ -47,3 +47,21 @@ def test_keeps_one_of_each_near_group(spark):
     assert sorted(((i, group(t)) for i, t in got), key=repr) == sorted([(1, 0), (None, 1), (7, 2), (7, 3), (None, None), (None, "  ")], key=repr)
     keys = docs.filter("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text", "doc_id").alias("k")).collect()
     assert all(row_key(r.doc_id, r.text) == r.k for r in keys)
+
+
+def test_stages_on_odd_tables(spark):
+    """Empty tables, nulls in every column, repeated rows and columns with the operators' own names."""
+    sf_dir, schema = "/root/testdata/sf0.001", "doc_id long, text string, lang string, source string, n_chars int, id long, key string, set int, block int, shard string"
+    long = "very long text " * 20_000
+    rows = [(1, "some words here", "en", "a", 15, 5, "k", 1, 2, "s"), (1, "some words here", "en", "a", 15, 5, "k", 1, 2, "s"), (None, None, None, None, None, None, None, None, None, None), (2, "", None, None, 0, None, None, None, None, None), (3, long, None, "b", len(long), 1, None, None, None, None), (None, "no id", "de", None, 5, 1, None, None, None, None)]
+    for docs in (spark.createDataFrame([], schema), spark.createDataFrame(rows, schema)):
+        before = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns
+            if name != "mixing":
+                kept = {(r.doc_id, r.text) for r in out.collect()}
+                assert kept <= {(r[0], r[1]) for r in rows} and len(kept) <= before
+            if before and name == "exact_dedup":
+                assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, "some words here"), (2, ""), (3, long), (None, "no id")], key=repr)
+        assert corpus_pipeline.encode(spark, docs, sf_dir).count() == before
