@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwright.llm import byte_bpe, exact_dedup, jaccard_join, mixing, toxicity
-from sheetwright.llm.shared import cut, table
+from sheetwright.sources.melt import read as table
+from sheetwright.sources.shared import cut
 
 TOXIC = 0.5
 
