@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,18 +12,18 @@ from .functions import coerce, text
 from .functions.addressing import format_ref, index_to_letters, letters_to_index, parse_cell, parse_range
 from .operators import coverage, detect, discover, drift, extract, naming, slices
 from .plans.template import fields_table, template
-from .sources import melt
+from .sources import grid, melt, sinks
 from .sources.shared import cut, new_path
 from .streaming import ingest
 
 ORDERS = template(melt.ORDER_TEMPLATE)
 EVENTS = template({"name": "events", "discriminator": {"cells": ["A1"]}, "versions": {"log": {"fields": {
     "rows": {"range": "A1:E", "type": "table", "columns": {"A": "event", "B": "value", "C": "at", "D": "key", "E": "n"}},
-    "first": {"range": "A1:E3", "type": "table", "orientation": "vertical"},
+    "tall": {"range": "A1:E", "type": "table", "orientation": "vertical"},
     "types": {"range": "A1:B", "type": "list[str]"},
 }}}})
 TALKS = template({"name": "talks", "discriminator": {"cells": ["A1"]}, "versions": {"user": {"fields": {"turns": {"range": "A1:B", "type": "table", "columns": {"A": "role", "B": "text"}}}}}})
-LINES = template({"name": "text", "discriminator": {"cells": ["A1"]}, "versions": {"text": {"fields": {"top": {"range": "A1:A", "type": "list[str]"}, "block": {"range": "A1:A200", "type": "list[str]"}}}}})
+LINES = template({"name": "text", "discriminator": {"cells": ["A1"]}, "versions": {"text": {"fields": {"top": {"range": "A1:A", "type": "list[str]"}, "block": {"range": "A1:A1048576", "type": "list[str]"}}}}})
 TALLY = template({"name": "tally", "discriminator": {"cells": ["A1"]}, "versions": {"log": {"fields": {"props": {"range": "D1:E", "type": "dict[str, int]"}}}}})
 TIED = template({"name": "tied", "discriminator": {"cells": ["Z99"]}, "versions": {"a": {"fields": {"x": {"cell": "A3"}}}, "b": {"fields": {"y": {"cell": "A3"}}}}})
 _DONE: dict[tuple, extract.Extraction] = {}
@@ -167,8 +168,7 @@ def event_table(spark, sf_dir):
 
 def table_vertical(spark, sf_dir):
     e = extract.extract(melt.event_books(spark, sf_dir), [EVENTS], forced="log")
-    rows = of_table(e, "first").filter("record = 0")
-    return rows.select("doc_id", "name", F.round("num", 6).alias("value"))
+    return of_table(e, "tall").select("doc_id", F.col("record").cast("long").alias("record"), "name", F.round("num", 6).alias("value"))
 
 
 def first_column_only(spark, sf_dir):
@@ -386,12 +386,69 @@ def incremental_ingest(spark, sf_dir):
     return got.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.round(F.sum("num"), 2).alias("total"))
 
 
+def version_markers(spark, sf_dir):
+    """Order sheets with a version label in A2 and the version beside it."""
+    e = orders(spark, sf_dir)
+    docs = e.resolved.select("doc_id", F.lit("").alias("path"), "version")
+    marks = melt.to_cells(docs, F.array(melt.cell(2, 1, "s", F.lit("Template version:")), melt.cell(2, 2, "s", F.col("version"))))
+    return discover.suggest_discriminators(e.books.cells.unionByName(marks)).drop("sheet", "sheet_idx")
+
+
+def serial_dates(spark, sf_dir):
+    rows = melt.read(spark, sf_dir, "orders")
+    serial = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")) + (F.col("o_orderkey") % 4) / 4
+    return rows.select("o_orderkey", F.date_format(text.serial_date(serial.cast("double")), "yyyy-MM-dd HH:mm").alias("at"))
+
+
+def resumed_batch(spark, sf_dir):
+    """A batch that halted at its first document without the version, then went on from there."""
+    e = orders(spark, sf_dir)
+    early = e.resolved.withColumn("version", F.when(F.col("version") == "v1.0", F.col("version")))
+    done = extract.halted(early, e.books.docs)
+    halt = done.filter("halted").select(F.col("path").alias("halt"))
+    again = e.books.docs.join(F.broadcast(halt), F.col("path") >= F.col("halt")).select("path", F.lit("again").alias("state"))
+    return extract.resumed(done.select("path", F.when(F.col("halted"), "error").otherwise("earlier").alias("state")), again)
+
+
+def merged_fill(spark, sf_dir):
+    """Late order sheets whose total is merged over E3 to G3."""
+    books = orders(spark, sf_dir).books
+    merges = books.docs.select("doc_id", F.lit("Sheet1").alias("sheet"), *[F.lit(v).alias(n) for n, v in (("top", 3), ("left", 5), ("bottom", 3), ("right", 7))])
+    filled = grid.fill_merges(replace(books, merges=merges)).cells
+    return filled.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if((F.col("row") == 3) & (F.col("col") >= 5)).alias("wide"), F.round(F.sum(F.when((F.col("row") == 3) & (F.col("col") >= 5), F.col("num"))), 2).alias("total"))
+
+
+def edge_fields(spark, sf_dir):
+    """Conversations whose first role stands in the page header."""
+    talks = template({"name": "edged", "discriminator": {"cells": ["A1"]}, "versions": {"v": {"fields": {"who": {"cell": "header:left"}, "none": {"cell": "footer:even:right"}}}}})
+    books = melt.conversation_books(spark, sf_dir)
+    edges = books.cells.filter("row = 1 AND col = 1").select("doc_id", "sheet", "sheet_idx", F.lit("header").alias("kind"), F.lit("odd").alias("page"), F.lit("left").alias("section"), "text")
+    return extract.extract(replace(books, edges=edges), [talks], forced="v").results("edged", "v").filter("who IS NOT NULL").select("doc_id", "who", F.col("none").isNull().alias("no_footer"))
+
+
+def json_sink(spark, sf_dir):
+    e = orders(spark, sf_dir)
+    named = [e.records("orders", v).select("doc_id", "customer") for v in ("v1.0", "v2.0")]
+    return sinks.json_lines(named[0].unionByName(named[1]), e.failures(), e.books.docs)
+
+
+def provenance(spark, sf_dir):
+    e = orders(spark, sf_dir)
+    return sinks.with_provenance(e.records("orders", "v2.0").select("doc_id", "n_lines"), e.resolved, e.books.docs)
+
+
+def wide_values(spark, sf_dir):
+    flat = coverage.flatten(orders(spark, sf_dir).results("orders", "v2.0").select("doc_id", "customer", "n_lines", "info"))
+    return coverage.wide(flat, ["customer", "n_lines", "info.priority"]).withColumnRenamed("info.priority", "priority")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     order_totals, scalar_fields, open_range_list, dict_field, table_header, table_columns, version_by_discriminator, checked_cells, version_by_layout, ambiguous_layout, multi_template,
     forced_version, computed_fields, rule_failures, batch_summary, halt_resume, coerce_strict, coerce_lenient, col_letters, parse_refs, conversation_table, event_table, table_vertical,
     first_column_only, open_list_ends, rule_mining, rule_mining_by_document, flatten_long, union_columns, slugs, clean_labels, label_predicates, value_types, header_footer_split, row_runs,
     table_depth, linear_depth, distinct_headers, header_row_choice, field_suggestions, table_suggestions, scan_suggestions, fingerprints, match_score, remap_cells, remap_ranges, incremental_ingest,
     find_remaps, applied_moves, field_names, column_naming, row_naming, header_promotion, version_guess, first_page_edge, typed_dict, rendered_values, titled_tables, hidden_runs, unmapped_suggestions,
+    version_markers, serial_dates, resumed_batch, merged_fill, edge_fields, json_sink, provenance, wide_values,
 )}
 
 _NUMBERED = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n FROM lineitem"
@@ -410,6 +467,14 @@ _LATE = f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o.*, c_name, c_mktsegmen
 _SAMPLES = f"SELECT l_orderkey, count(*) AS n, count(DISTINCT l_quantity) AS d FROM ({_NUMBERED}) WHERE n <= 8 GROUP BY 1"
 
 ORACLE_SQL: dict[str, str] = {
+    "version_markers": "SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, 'Template version:' AS label, 2 AS row, 2 AS col, CASE o_orderstatus WHEN 'F' THEN 'v1.0' ELSE 'v2.0' END AS value, CAST(0.77 AS DOUBLE) AS score FROM orders",
+    "serial_dates": "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + to_hours(CAST(6 * (o_orderkey % 4) AS INTEGER)), '%Y-%m-%d %H:%M') AS at FROM orders",
+    "resumed_batch": "WITH p AS (SELECT 'orders/' || o_orderstatus || '/' || o_orderkey || '.xlsx' AS path, o_orderstatus FROM orders), h AS (SELECT min(path) AS halt FROM p WHERE o_orderstatus <> 'F') SELECT path, CASE WHEN halt IS NULL OR path < halt THEN 'earlier' ELSE 'again' END AS state FROM p, h",
+    "merged_fill": f"WITH h AS (SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderstatus, o_totalprice, k, c_name, c_mktsegment FROM ({_COUNTS}) LEFT JOIN customer ON o_custkey = c_custkey) SELECT doc_id, CASE WHEN o_orderstatus = 'F' THEN 1 + CASE WHEN c_name IS NULL THEN 0 ELSE 1 END + 5 * k ELSE 15 + CASE WHEN c_name IS NULL THEN 0 ELSE 1 END + CASE WHEN c_mktsegment IS NULL THEN 0 ELSE 1 END + 5 * k END AS n, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 3 END AS wide, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE round(3 * o_totalprice, 2) END AS total FROM h",
+    "edge_fields": "SELECT CAST(conv_id AS VARCHAR) AS doc_id, role AS who, TRUE AS no_footer FROM conversations WHERE turn = 0 AND role IS NOT NULL",
+    "json_sink": f"WITH h AS (SELECT o.*, c_name, 'orders/' || o_orderstatus || '/' || o_orderkey || '.xlsx' AS path FROM orders o LEFT JOIN customer ON o_custkey = c_custkey) SELECT path, '{{\"file\":\"' || path || CASE WHEN o_orderstatus <> 'F' AND o_totalprice < 50000 THEN '\",\"error\":\"total: min\"}}' WHEN c_name IS NULL THEN '\",\"data\":{{}}}}' ELSE '\",\"data\":{{\"customer\":\"' || c_name || '\"}}}}' END AS value FROM h",
+    "provenance": f"SELECT doc_id, o_orderkey || '.xlsx' AS _source_file, 'orders/' || o_orderstatus || '/' || o_orderkey || '.xlsx' AS _source_path, CASE o_orderstatus WHEN 'P' THEN '<inferred>' ELSE 'A1' END AS _discriminator_cell, k AS n_lines FROM ({_LATE}) WHERE o_totalprice >= 50000",
+    "wide_values": f"SELECT doc_id, c_name AS customer, CAST(k AS VARCHAR) AS n_lines, o_orderpriority AS priority FROM ({_LATE})",
     "field_suggestions": "SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, 'Sheet1' AS sheet, 0 AS sheet_idx, 'priority' AS name, 'priority' AS label, 'horizontal' AS axis, 10 AS row, 2 AS col, 'str' AS type, CAST(0.71 AS DOUBLE) AS score FROM orders WHERE o_orderstatus <> 'F'",
     "table_suggestions": f"SELECT doc_id, 'Sheet1' AS sheet, 0 AS sheet_idx, 'part_table' AS name, 40 AS row, CAST(40 + k AS INTEGER) AS end_row, 1 AS start_col, 4 AS end_col, CAST(k AS INTEGER) AS depth, 'part,qty,price,flag' AS headers, CAST(CASE WHEN k >= 4 THEN 0.94 WHEN k = 3 THEN 0.88 WHEN k = 2 THEN 0.8 ELSE 0.76 END AS DOUBLE) AS score FROM ({_LATE}) WHERE k > 0",
     "titled_tables": f"SELECT doc_id, 'Sheet1' AS sheet, 0 AS sheet_idx, 'order_lines_table' AS name, 40 AS row, CAST(40 + k AS INTEGER) AS end_row, 1 AS start_col, 4 AS end_col, CAST(k AS INTEGER) AS depth, 'part,qty,price,flag' AS headers, CAST(CASE WHEN k >= 3 THEN 0.99 ELSE 0.94 END AS DOUBLE) AS score FROM ({_LATE}) WHERE k > 0",
@@ -458,9 +523,9 @@ ORACLE_SQL: dict[str, str] = {
     "parse_refs": "SELECT CASE WHEN l_partkey % 3 = 0 THEN 'Sheet2' ELSE '' END AS sheet, count(*) AS n, CAST(sum(l_orderkey + 1) AS BIGINT) AS rows, CAST(sum(l_partkey % 700 + 1) AS BIGINT) AS cols, count(*) AS open_ranges FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY 1",
     "conversation_table": "SELECT CAST(conv_id AS VARCHAR) AS doc_id, turn - first AS record, role, coalesce(text, '') AS text FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE first = 0 AND turn = n - 1",
     "event_table": f"SELECT CAST(user_id AS VARCHAR) AS doc_id, event_type AS event, count(*) AS events, round(sum(value), 4) AS value, CAST(sum(k) AS BIGINT) AS n FROM ({_EVENTS}) GROUP BY 1, 2",
-    "table_vertical": f"SELECT CAST(user_id AS VARCHAR) AS doc_id, event_type AS name, round(arg_max(value, n), 6) AS value FROM ({_EVENTS}) WHERE n <= 3 GROUP BY 1, 2",
+    "table_vertical": f"WITH e AS ({_EVENTS}), l AS (SELECT user_id, event_type, max(n) AS n FROM e GROUP BY ALL), d AS (SELECT user_id, bool_or(k IS NOT NULL) AS has FROM e GROUP BY 1) SELECT CAST(user_id AS VARCHAR) AS doc_id, CAST(record AS BIGINT) AS record, event_type AS name, CASE record WHEN 0 THEN round(value, 6) WHEN 3 THEN CAST(k AS DOUBLE) END AS value FROM l JOIN e USING (user_id, event_type, n) JOIN d USING (user_id), (VALUES (0), (1), (2), (3)) r(record) WHERE record < 2 OR has",
     "first_column_only": "SELECT CAST(user_id AS VARCHAR) AS doc_id, count(*) AS n, max(event_type) AS last_type FROM events GROUP BY 1",
-    "open_list_ends": f"""WITH l AS ({_LINES}), f AS (SELECT doc_id, r, trim(line) <> '' AS has FROM l), e AS (SELECT doc_id, coalesce(min(r) FILTER (NOT has), max(r) + 1) - 1 AS top, max(r) FILTER (has AND r <= 200) AS last, count(*) FILTER (has AND r <= 200) AS held FROM f GROUP BY 1)
+    "open_list_ends": f"""WITH l AS ({_LINES}), f AS (SELECT doc_id, r, trim(line) <> '' AS has FROM l), e AS (SELECT doc_id, coalesce(min(r) FILTER (NOT has), max(r) + 1) - 1 AS top, max(r) FILTER (has) AS last, count(*) FILTER (has) AS held FROM f GROUP BY 1)
         SELECT CAST(doc_id AS VARCHAR) AS doc_id, top, coalesce(last, 0) AS block, coalesce(last, 0) - held AS gaps FROM e WHERE top > 0 OR last IS NOT NULL""",
     "rule_mining": f"""WITH h AS (SELECT o.*, c_name, CASE o_orderstatus WHEN 'F' THEN 'v1.0' ELSE 'v2.0' END AS version FROM ({_COUNTS}) o LEFT JOIN customer ON o_custkey = c_custkey)
         SELECT version, 'customer' AS field, TRUE AS required, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CASE WHEN bool_and(regexp_matches(c_name, '^[A-Za-z0-9_-]+$')) THEN '^[A-Za-z0-9_-]+$' END AS pattern FROM h WHERE c_name IS NOT NULL GROUP BY 1
