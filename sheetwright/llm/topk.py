@@ -22,8 +22,8 @@ from pyspark.sql import Window as W
 
 from ..sources.shared import cut
 
-#: Rows a shard, queries a part and shards a group at most, queries whose terms are split together, and tasks a core.
-SHARD_ROWS, QUERY_ROWS, GROUP_SHARDS, LIKE, TASKS = 1024, 32_768, 256, 16, 3
+#: Rows a shard, queries a part and shards a group at most, queries whose terms are split together, terms probed at a time, and tasks a core.
+SHARD_ROWS, QUERY_ROWS, GROUP_SHARDS, LIKE, PROBED, TASKS = 4096, 32_768, 64, 16, 8, 3
 #: Integers up to these are exact in 32-bit and 64-bit floats.
 EXACT_SINGLE, EXACT = float(1 << 24), float(1 << 53)
 
@@ -119,18 +119,24 @@ def visit(best: Best, run: np.ndarray, q_ids: np.ndarray, a: np.ndarray, x_ids:
         skipped.append(rest_n)
     if rest_n == len(b) and len(b):
         return  # no vector of this shard reaches any of these queries' k-th score
-    rest, essential = by_bound[:rest_n], by_bound[rest_n:]
-    part = a[:, essential] @ b[essential]
-    reach = part.astype(float) + (bound[:, rest].sum(axis=1) + slack)[:, None]
+    rest, essential = by_bound[:rest_n][::-1], by_bound[rest_n:]
+    part, cols, left = a[:, essential] @ b[essential], np.arange(len(x_ids)), bound[:, rest].sum(axis=1) + slack
+    for k in range(0, rest_n + 1, PROBED):  # while any of these queries may take a vector it is probed on the next terms
+        open_ = (part.astype(float) + left[:, None] >= theta[:, None]).any(axis=0)
+        if open_.sum() < 0.8 * len(cols):
+            cols, part = cols[open_], part[:, open_]
+        probe = rest[k : k + PROBED]
+        if len(probe):
+            part = part + a[:, probe] @ (b[probe] if len(cols) == len(x_ids) else b[np.ix_(probe, cols)])
+            left = left - bound[:, probe].sum(axis=1)
+    found_ids = x_ids[cols]
     for i, of in enumerate(run):
-        at = np.flatnonzero(reach[i] >= theta[i]) if theta[i] > -np.inf else np.arange(len(x_ids))
-        at = at[x_ids[at] != q_ids[of]]
-        if not len(at):
-            continue
-        full = part[i, at] + (a[i, rest] @ b[np.ix_(rest, at)] if rest_n else 0)
+        at = np.flatnonzero((part[i] >= theta[i]) & (found_ids != q_ids[of])) if theta[i] > -np.inf else np.flatnonzero(found_ids != q_ids[of])
+        full = part[i, at]
         if len(at) > 4 * best.k and kind is not object:
             at, full = _upper(at, full, best.k)
-        best.take(of, x_ids[at], full)
+        if len(at):
+            best.take(of, found_ids[at], full)
 
 
 def _upper(at: np.ndarray, full: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
