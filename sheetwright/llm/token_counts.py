@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import KEEP_WORDS, kept, text_groups
+from .words import kept, text_groups
 
 #: Characters of a chunk, of an overlap before it is widened, and equal tokens that prove a boundary.
 CHUNK, OVERLAP, AGREE = 4_096, 128, 4
-#: Characters whose words are looked up together.
-GROUP_CHARS = 1_000_000
+#: Characters whose words are looked up together, and words whose counts and whose tokens a worker remembers (about 100 MB).
+GROUP_CHARS, KEEP_COUNTS, KEEP_TOKENS = 1_000_000, 500_000, 40_000
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 WORD = re.compile(f"[^{WHITE_SPACE}]+")
 
@@ -120,7 +120,7 @@ class Counter:
 
     def word_tokens(self, words: list[str]) -> list[list[tuple[int, int, int]]]:
         new = list({*words}.difference(self.details))
-        if len(self.details) > KEEP_WORDS // 4:
+        if len(self.details) > KEEP_TOKENS:
             self.details, new = {}, list({*words})
         self.details.update((w, [(t, s, f) for t, (s, f) in zip(e.ids, e.offsets, strict=True)]) for w, e in zip(new, self.encode(new), strict=True))
         return [self.details[w] for w in words]
@@ -132,7 +132,7 @@ class Counter:
         """The number of tokens of each text."""
         parts = [spliced(t, self.chunk_of, self.chunk, self.overlap)[0] for t in texts]
         if self.by_word:
-            if len(self.counts) > KEEP_WORDS:
+            if len(self.counts) > KEEP_COUNTS:
                 self.counts.clear()
             self.learn([w for of in parts for chunk, _, _ in of for w in chunk.words])
         return [sum(chunk.count(a, b) for chunk, a, b in of) for of in parts]
