@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .words import kept
 
 #: Pieces that a worker remembers, and rows that it takes at a time.
-KEEP_PIECES, ROWS = 100_000, 250
+KEEP_PIECES, ROWS = 250_000, 250
 
 
 def byte_characters() -> list[str]:
