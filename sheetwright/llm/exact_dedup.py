@@ -89,17 +89,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _hot_entries(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("text_sha256", F.sha2("norm", 256)).drop("norm")
-    rank = F.struct((-F.col("n_points")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id"))
+    # numbered once, in the shared folder, so that of rows equal in id and length one is kept
+    rows = cut(rows.select("key", F.sha2("norm", 256).alias("text_sha256"), "id", "n_points", F.monotonically_increasing_id().alias("number")), "dedup-hot-rows")
+    rank = F.struct((-F.col("n_points")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id"), F.col("number"))
     texts = rows.groupBy("key", "text_sha256").agg(F.min(rank).alias("b"), F.count("*").alias("group_size"))
-    texts = cut(texts.select(F.col("key").alias("t_key"), F.col("text_sha256").alias("t_sha"), (-F.col("b.less")).alias("keep_points"), F.col("b.id").alias("keep_id"), "group_size"), "dedup-hot-texts")
+    texts = cut(texts.select(F.col("key").alias("t_key"), F.col("text_sha256").alias("t_sha"), F.col("b.id").alias("keep_id"), F.col("b.number").alias("keep_number"), "group_size"), "dedup-hot-texts")
     found = rows.join(F.broadcast(texts) if texts.count() <= BROADCAST_KEYS else texts, F.expr("key = t_key AND text_sha256 = t_sha"))
-    wins = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
-    # of winners that are equal in id and length, one is kept; nobody else needs a place
-    turn = F.row_number().over(W.partitionBy("key", "text_sha256", "id", "n_points").orderBy("id"))
-    won = found.filter(wins).withColumn("kept", turn == 1)
-    out = won.unionByName(found.filter(~wins).withColumn("kept", F.lit(False)))
-    return out.select(F.lit(None).cast("int").alias("owner"), F.lit(None).cast("int").alias("bucket"), "key", "text_sha256", "id", "n_points", "keep_id", "group_size", "kept")
+    return found.select(F.lit(None).cast("int").alias("owner"), F.lit(None).cast("int").alias("bucket"), "key", "text_sha256", "id", "n_points", "keep_id", "group_size", (F.col("number") == F.col("keep_number")).alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:

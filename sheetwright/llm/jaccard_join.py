@@ -470,7 +470,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6  # about the number of tokens
-    rows = counted_rows(texts, int(max(8, size // (4 * SAMPLED * BUCKET_TOKENS))), words, num, den)
+    rows = counted_rows(texts, int(max(8, size // (2 * SAMPLED * BUCKET_TOKENS))), words, num, den)
     needed = cut(rows.filter("alive").groupBy("set").agg(F.min("row_key").alias("row_key"), F.min("n_shingles").alias("n_shingles")), "jaccard-needed")
     packed = shared_sets(texts, needed, words, num, den)
     members = candidate_lists(packed, salt_rows)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import cut
 
 SCOPE = 200
+#: Matches whose places are added up together.
+PART = 128
 #: The base patterns; the last group of assign is the value.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -41,15 +43,21 @@ def spans_of(text: Column, kind: str, pattern: str, value_group: int = 0, least:
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
     lengths = F.transform(F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("b"), found.alias("m"), value.alias("v")), lambda x: F.struct(F.char_length(x["b"]).alias("b"), F.char_length(x["m"]).alias("m"), F.char_length(x["v"]).alias("v")))
     nothing = F.array().cast("array<struct<start:int,kind_no:int,stop:int,value:int>>")
-    walked = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), nothing.alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["b"] + x["m"]).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["b"]).alias("start"), F.lit(kind_no).alias("kind_no"), (acc["at"] + x["b"] + x["m"]).alias("stop"), x["v"].alias("value")))).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+
+    def walked_from(part: Column, at: Column) -> Column:
+        span = lambda acc, x: F.struct((acc["at"] + x["b"]).alias("start"), F.lit(kind_no).alias("kind_no"), (acc["at"] + x["b"] + x["m"]).alias("stop"), x["v"].alias("value"))
+        step = lambda acc, x: F.struct((acc["at"] + x["b"] + x["m"]).alias("at"), F.concat(acc["spans"], F.array(span(acc, x))).alias("spans"))
+        return F.aggregate(part, F.struct(at.alias("at"), nothing.alias("spans")), step, lambda acc: acc["spans"])
+
+    def walked_parts(parts: Column) -> Column:
+        """Each part from the place where those before it end: arrays grow by a part, not by a match of a long text."""
+        length = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + x["b"] + x["m"])
+        places = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, p: F.struct((acc["at"] + length(p)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+        return F.flatten(F.zip_with(parts, places, walked_from))
+
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  so that it is evaluated once
+    parts_of = lambda found: F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PART).cast("int")), lambda k: F.slice(found, k * PART + 1, F.lit(PART)))
+    walked = once(lengths, lambda found: once(parts_of(found), walked_parts))
     kept = F.transform(F.filter(walked, lambda s: s["value"] >= least), lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["stop"].alias("stop")))
     none = F.array().cast("array<struct<start:int,kind_no:int,stop:int>>")
     return F.when(F.regexp_like(text, F.lit(pattern)), kept).otherwise(none)
@@ -90,7 +98,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts have no spans. Rows are told apart by id and text, so null ids and repeated
     rows each get their own result. A weak part that overlaps a base span is dropped, but such an endpoint
-    still serves as a partner. Other columns are not read; an empty table gives an empty result. Positions are code points of the whole text.
+    still serves as a partner. Other columns are not read; an empty table gives an empty result. Positions are code points of the whole text;
+    a very long text is one row, its spans one array.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
