@@ -308,7 +308,7 @@ def test_secret_links_by_hand(spark):
     texts = [" ".join(str(x) for x in rng.choice(parts, int(rng.integers(1, 9)))) for _ in range(150)]
     got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[k] for k in range(len(texts))] == [linked_by_hand(t) for t in texts]
-    long = " ".join(parts) + " filler" * 20_000 + " user=root aB3" + "c4" * 9
+    long = " ".join(parts) + " filler" * 20_000 + " user=root aB3" + "c4" * 9 + " password=hunter22 é" * 600
     assert secret_scan.scan_secrets(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().spans == linked_by_hand(long)
 
 
