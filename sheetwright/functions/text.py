@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 
 #: The patterns and word lists that decide what a text looks like.
 BOOL_WORDS = r"(?i)^(true|false|yes|no)$"
-INT_TEXT = r"^-?[0-9]+$"
-FLOAT_TEXT = r"^-?[0-9]+\.[0-9]+$"
-DATE_TEXT = r"^([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2})$"
+INT_TEXT = r"^-?\d+$"
+FLOAT_TEXT = r"^-?\d+\.\d+$"
+DATE_TEXT = r"^(\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{1,2}-\d{1,2})$"
 STATUS_WORDS = ("OK", "NQ", "CC", "PASS", "FAIL", "NO", "YES", "NQ, CC")
 PLACEHOLDERS = ("n/a", "na", "none", "null", "-")
 WEAK_WORDS = r"^(n/a|na|yes|no|true|false|pass|fail|ok)$"
 VERSION_WORDS = r"(?i)\b(version|template|form|revision|rev)\b"
-VERSION_TEXT = r"(?i)^v?[0-9]+([._-][0-9]+)*$"
+VERSION_TEXT = r"(?i)^v?\d+([._-]\d+)*$"
 TABLE_TITLE = r"(?i)^table\s+\d+\s*:"
 FORMULA = r"(?i)^(if|sum|mid|left|right|vlookup|xlookup|index|match|offset)\s*\("
 LONG_LABEL, LONG_LABEL_WORDS, LONG_HEADER, LONG_IDENTIFIER, TITLE_LENGTHS = 48, 6, 64, 64, (6, 64)
 #: Candidate patterns of rule mining, in order of preference: what every value must match, and the rule that it gives.
 MINED = (
     (r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$", "^[0-9a-fA-F-]{36}$"),
-    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^\d{4}-\d{2}-\d{2}$"),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", r"^\d{1,2}\/\d{1,2}\/\d{4}$"),
+    (r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}$"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{1,2}\/\d{1,2}\/\d{4}$"),
     ("^[A-Z0-9_-]+$", "^[A-Z0-9_-]+$"),
     ("^[a-z0-9_]+$", "^[a-z0-9_]+$"),
     ("^[A-Za-z0-9_-]+$", "^[A-Za-z0-9_-]+$"),
@@ -45,7 +45,7 @@ def clean_label(text: Column) -> Column:
 
 def section_title(text: Column) -> Column:
     """A title without its 'Table 1:'; null if it doesn't read like one."""
-    t = clean_label(F.regexp_replace(F.regexp_replace(text, r"(?i)^table\s+[0-9]+\s*:\s*", ""), r"(?i)^section\s+[0-9]+\s*:\s*", ""))
+    t = clean_label(F.regexp_replace(F.regexp_replace(text, r"(?i)^table\s+\d+\s*:\s*", ""), r"(?i)^section\s+\d+\s*:\s*", ""))
     ok = F.char_length(t).between(*TITLE_LENGTHS) & t.rlike("(?i)[a-z]") & ~_bare(text).rlike(r"(?i)^hidden table\b") & ~t.rlike(FORMULA) & ~t.rlike("[=()]")
     return F.when(ok, t)
 
@@ -63,18 +63,18 @@ def value_type(kind: Column, text: Column) -> Column:
 
 def is_identifier(text: Column) -> Column:
     t = _bare(text)
-    return (F.char_length(t) <= LONG_IDENTIFIER) & t.rlike("(?i)[a-z]") & t.rlike("[0-9]") & t.rlike(r"(?i)^[a-z0-9._/\- ]+$")
+    return (F.char_length(t) <= LONG_IDENTIFIER) & t.rlike("(?i)[a-z]") & t.rlike(r"\d") & t.rlike(r"(?i)^[a-z0-9._/\- ]+$")
 
 
 def is_data_like(text: Column) -> Column:
     t = _bare(text)
     solid = ~t.rlike(r"\s")
-    return t.rlike("^[0-9]") | t.rlike("(?i)^(nq|nd|lod)[<>]") | (solid & (is_identifier(t) | t.rlike(r"(?i)^[A-Z0-9._-]{7,}$")))
+    return t.rlike(r"^\d") | t.rlike("(?i)^(nq|nd|lod)[<>]") | (solid & (is_identifier(t) | t.rlike(r"(?i)^[A-Z0-9._-]{7,}$")))
 
 
 def is_label(text: Column) -> Column:
     t = _bare(text)
-    unlike = t.rlike("[<>=%]") | t.rlike(r"(?i)[0-9](\.[0-9]+)?e[+-]?[0-9]+") | t.rlike(r"^[0-9]+([./-][0-9]+)*$")
+    unlike = t.rlike("[<>=%]") | t.rlike(r"(?i)\d(\.\d+)?e[+-]?\d+") | t.rlike(r"^\d+([./-]\d+)*$")
     return (t != "") & (F.char_length(t) <= LONG_LABEL) & ~unlike & (F.size(F.split(t, r"\s+")) <= LONG_LABEL_WORDS) & t.rlike("(?i)[a-z]")
 
 
@@ -101,13 +101,13 @@ def normal(text: Column) -> Column:
 def is_weak(text: Column) -> Column:
     """A value too common to find a field by."""
     n = normal(text)
-    return (F.char_length(n) <= 2) | n.rlike(r"^[0-9]+([./:-][0-9]+)*$") | n.rlike(WEAK_WORDS)
+    return (F.char_length(n) <= 2) | n.rlike(r"^\d+([./:-]\d+)*$") | n.rlike(WEAK_WORDS)
 
 
 def header_score(kind: Column, text: Column) -> Column:
     """From -2 to 2: how much a cell looks like a column header."""
     t = _bare(text)
-    worst = t.rlike("[<>=%]") | t.rlike(r"^[0-9]+([./-][0-9]+)*$") | t.rlike("(?i)^(true|false|yes|no|ok|nq|nd)$") | t.rlike(r"(?i)^[A-Z0-9._-]{7,}$")
+    worst = t.rlike("[<>=%]") | t.rlike(r"^\d+([./-]\d+)*$") | t.rlike("(?i)^(true|false|yes|no|ok|nq|nd)$") | t.rlike(r"(?i)^[A-Z0-9._-]{7,}$")
     return F.when((kind != "s") | (t == ""), 0).when(F.char_length(t) > LONG_HEADER, -1).when(worst, -2).when(t.rlike("(?i)[a-z]"), 2).otherwise(0)
 
 
@@ -121,7 +121,7 @@ def header_footer_sections(raw: Column) -> Column:
         own = F.transform(F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p.startswith(letter)), lambda p: F.substr(p, F.lit(2)))
         text = F.concat(F.element_at(parts, 1), F.array_join(own, "")) if letter == "C" else F.array_join(own, "")
         text = F.replace(text, F.lit(mark), F.lit("&"))
-        for code in ('&"[^"]*"', "(?i)&K[0-9A-F]{6}", "&[0-9]+", "&[BIESUXY]", "&[PTNDAFZG]"):
+        for code in ('&"[^"]*"', "(?i)&K[0-9A-F]{6}", r"&\d+", "&[BIESUXY]", "&[PTNDAFZG]"):
             text = F.regexp_replace(text, code, "")
         return _bare(text)
 
