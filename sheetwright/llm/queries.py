@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.melt import read as table
-from . import byte_bpe, exact_dedup, jaccard_join, language_id, mixing, secret_scan, token_alignment, token_counts, topk, toxicity, warc
+from . import byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, mixing, secret_scan, token_alignment, token_counts, topk, toxicity, warc
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: Formatted along with the given conversations: control strings as text.
+TRICKY = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.read_back(chat_format.expand(given.unionByName(added))))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -75,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_chat_format": op11_chat_format,
     "op13_token_alignment": op13_token_alignment,
 }
 
@@ -96,4 +107,16 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op11_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        e AS (SELECT *, regexp_replace(regexp_replace(text, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g') AS safe,
+                     regexp_replace(regexp_replace(replace(replace(role, '\', '\b'), chr(10), '\n'), '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g') AS safe_role FROM c),
+        p AS (SELECT *, CASE WHEN role = 'assistant' THEN safe || '</s>' ELSE '[INST]' || safe_role || chr(10) || safe || '[/INST]' END AS piece FROM e),
+        s AS (SELECT *, 3 + sum(length(piece)) OVER w AS stop, row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS last FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, piece ROWS UNBOUNDED PRECEDING))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY stop)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY stop) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               (sum(stop) FILTER (role = 'assistant' OR last))::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant' OR last) AS n_examples
+        FROM s GROUP BY conv_id
+    """,
 }
