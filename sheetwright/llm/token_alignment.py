@@ -5,8 +5,8 @@ that share bytes, with how many; the ends that both tokenizers share cut the byt
 that share a group. Over the corpus, documents x pairs is one more such matrix, kept in chunks of rows; the number of documents
 that hold a pair comes from its columns, and each document's sums from its product with what the corpus says of each pair.
 
-A text is encoded in parts that begin at a space after other than white space, as neither tokenizer lets a token cross such a
-place (checked when they are loaded; else a text is one part). What a part looks like is worked out once a worker.
+A text is encoded in parts that begin at places which no token of either tokenizer crosses: at white space after other characters, at
+a mark after a letter (checked when they are loaded; else a text is one part). What a part looks like is worked out once a worker.
 """
 
 from __future__ import annotations
@@ -28,9 +28,13 @@ from ..sources.shared import cut
 from .byte_bpe import byte_characters
 from .words import kept, segment_sums
 
-#: Documents and characters of a chunk, parts and their characters that a worker remembers, and bytes of parts that are multiplied at a time.
-CHUNK_ROWS, CHUNK_CHARS, KEEP_PARTS, KEEP_CHARS, PRODUCT_BYTES = 4_096, 16_000_000, 250_000, 20_000_000, 500_000
-PART_START = re.compile(r"(?<=\S)(?= )")
+#: Documents and characters of a chunk, characters whose parts are looked up together and of new parts encoded at a time, parts and their characters that a worker remembers.
+CHUNK_ROWS, CHUNK_CHARS, GROUP_CHARS, LINE_CHARS, KEEP_PARTS, KEEP_CHARS = 4_096, 16_000_000, 1_000_000, 50_000, 300_000, 20_000_000
+#: A part begins at a space or new line after other than white space, and at a mark after a Latin letter.
+LETTER, MARK = "[A-Za-zÀ-ÖØ-öø-ɏ]", "[.,;:!?]"
+PART_START = re.compile(rf"(?=[ \n])(?<=\S)|(?={MARK})(?<={LETTER})")
+#: Parts that can be encoded as lines of one text.
+PLAIN = re.compile(r"[ \n]?\S+")
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_shared"]
 
 
@@ -140,35 +144,48 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.a_text, self.b_text = ([str(i) for i in range(len(side))] for side in (self.a_bytes, self.b_bytes))
-        self.space = self.b.piece_to_id("▁")
         with open(a_path, encoding="utf-8") as f:
             spec = json.load(f)
-        split = spec.get("pre_tokenizer") or {}
-        plain = "a  b c \n d "
+        split, plain = spec.get("pre_tokenizer") or {}, "a  b c \n d "
         self.in_parts = (
             split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and spec.get("normalizer") is None and all(t["special"] for t in spec["added_tokens"])
-            and not any(re.search("[^▁]▁", p) for p in pieces) and b"".join(self.b_bytes[i] for i in self.b.encode(plain)) == f" {plain}".encode()
+            and not any(re.search(rf"[^▁]▁|\n|{LETTER}{MARK}", p) for p in pieces) and b"".join(self.b_bytes[i] for i in self.b.encode(plain)) == f" {plain}".encode()
         )
 
     def parts(self, text: str) -> list[str]:
         return PART_START.split(f" {text}") if self.in_parts else [f" {text}"]
 
+    def encode_b(self, parts: list[str]) -> list[list[int]]:
+        """B's ids of each part. A new line before it takes the space that B adds, and no token crosses it."""
+        if not self.in_parts:
+            return self.b.encode([p[1:] for p in parts], num_threads=1)
+        return [ids[2:] for ids in self.b.encode([f"\n{p}" for p in parts], num_threads=1)]
+
     def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """A's and B's ids of each part, which begins with a space."""
-        a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        return a, [ids if part != " " else [self.space] for ids, part in zip(self.b.encode([p[1:] for p in parts], num_threads=1), parts, strict=True)]
+        """A's and B's ids of each part."""
+        return [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)], self.encode_b(parts)
 
     def same_bytes(self, part: str, a: list[int], b: list[int]) -> bool:
         wanted = part.encode("utf-8", "surrogatepass")
         return b"".join(map(self.a_bytes.__getitem__, a)) == wanted == b"".join(map(self.b_bytes.__getitem__, b))
 
-    def group_text(self, a: list[int], b: list[int], a_to: list[int], b_to: list[int]) -> str:
-        """`a1,a2|b1;a3|b2,b3`: each group's ids; a_to and b_to hold the number of tokens up to each group's end."""
-        out, i, j = [], 0, 0
-        for i2, j2 in zip(a_to, b_to, strict=True):
-            out.append(f"{','.join(map(self.a_text.__getitem__, a[i:i2]))}|{','.join(map(self.b_text.__getitem__, b[j:j2]))}")
-            i, j = i2, j2
-        return ";".join(out)
+    def encode_lines(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """A's and B's ids of all parts, each on a line of its own, without the new lines; None if the bytes differ."""
+        text = "\n" + "\n".join(parts)
+        a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode([text], num_threads=1)[0][1:]
+        if not self.same_bytes(text, a, b):
+            return None
+        sizes = np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts))
+        lines = np.concatenate([[0], (sizes + 1).cumsum()[:-1]])
+        out = []
+        for ids, lens in ((a, self.a_len), (b, self.b_len)):
+            ids = np.array(ids, np.int64)
+            size = lens[ids]
+            line = np.isin(size.cumsum() - size, lines, assume_unique=True)
+            if int((size[line] == 1).sum()) != len(parts):
+                return None
+            out.append(ids[~line])
+        return tuple(out)
 
 
 class Parts:
@@ -183,56 +200,81 @@ class Parts:
         self.text: list[str] = []
         self.chars = 0
         self.counts = np.zeros((1024, len(COUNTS) + 1), np.int64)  # the last one: whether both give the part's bytes
-        self.links: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
+        self.links = [np.zeros(1, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)]  # ends by part, codes, times
 
     def full(self) -> bool:
         return len(self.ids) > KEEP_PARTS or self.chars > KEEP_CHARS
 
+    def parts_by_pairs(self, parts: np.ndarray) -> tuple[Csr, np.ndarray]:
+        """Some parts x the id pairs linked in them, and the pairs' codes."""
+        ends, codes, times = self.links
+        counts = ends[parts + 1] - ends[parts]
+        at = _spread(ends[parts], counts)
+        names, column = np.unique(codes[at], return_inverse=True)
+        return Csr(np.concatenate([[0], counts.cumsum()]), column, times[at], len(names)), names
+
     def learn(self, parts: list[str]) -> None:
         new, size = [], 0
         for part in {*parts}.difference(self.ids):
             new.append(part)
             size += len(part)
-            if size >= PRODUCT_BYTES // 2:
+            if size >= LINE_CHARS:
                 self._learn(new)
                 new, size = [], 0
         if new:
             self._learn(new)
 
     def _learn(self, new: list[str]) -> None:
-        a, b = self.pair.encode(new)
-        good = [self.pair.same_bytes(p, x, y) for p, x, y in zip(new, a, b, strict=True)]
-        lo = len(self.ids)
-        if lo + len(new) > len(self.counts):
-            self.counts = np.concatenate([self.counts, np.zeros((max(len(new), len(self.counts)), self.counts.shape[1]), np.int64)])
-        self.ids.update(zip(new, range(lo, lo + len(new)), strict=True))
-        self.chars += sum(map(len, new))
-        a, b = [x if ok else [] for x, ok in zip(a, good, strict=True)], [x if ok else [] for x, ok in zip(b, good, strict=True)]
-        n_a, n_b = np.array(list(map(len, a)), np.int64), np.array(list(map(len, b)), np.int64)
-        a_ids, b_ids = (np.fromiter((i for ids in side for i in ids), np.int64, int(n.sum())) for side, n in ((a, n_a), (b, n_b)))
+        pair = self.pair
+        plain = [p for p in new if PLAIN.fullmatch(p)] if pair.in_parts else []
+        found = pair.encode_lines(plain) if plain else None
+        if found is None:
+            plain = []
+        rest = [p for p in new if p not in {*plain}] if len(plain) < len(new) else []
+        new, sides, good = plain + rest, list(found or ()), [True] * len(plain)
+        if rest:
+            a, b = pair.encode(rest)
+            same = [pair.same_bytes(p, x, y) for p, x, y in zip(rest, a, b, strict=True)]
+            flat = [np.array([i for ids, ok in zip(side, same, strict=True) if ok for i in ids], np.int64) for side in (a, b)]
+            sides = [np.concatenate(x) for x in zip(sides, flat, strict=True)] if plain else flat
+            good += same
+        a_ids, b_ids = sides
+        size = np.fromiter((len(p.encode("utf-8", "surrogatepass")) if ok else 0 for p, ok in zip(new, good, strict=True)), np.int64, len(new))
         # all parts on one axis of bytes: each part's end is an end of both, so that no link and no group crosses it
-        al = align_ends(self.pair.a_len[a_ids].cumsum(), self.pair.b_len[b_ids].cumsum())
-        a_to, b_to = np.concatenate([[0], n_a.cumsum()]), np.concatenate([[0], n_b.cumsum()])
-        ends = np.concatenate([[0], al.a_ends])[a_to]
-        g_to = np.searchsorted(al.group_ends, ends, "right")
+        al = align_ends(pair.a_len[a_ids].cumsum(), pair.b_len[b_ids].cumsum())
+        ends = np.concatenate([[0], size.cumsum()])
+        a_to, b_to, g_to = (np.searchsorted(e, ends, "right") for e in (al.a_ends, al.b_ends, al.group_ends))
         l_to = al.overlap.indptr[a_to]
         shared = np.concatenate([[0], product_sizes(al.a_group, al.group_b).cumsum()])[a_to]
-        self.counts[lo : lo + len(new)] = np.stack([n_a, n_b, np.diff(g_to), np.diff(l_to), np.diff(shared), np.array(good, np.int64)], axis=1)
-        group_a, group_b = (np.searchsorted(e, al.group_ends, "right") for e in (al.a_ends, al.b_ends))
-        codes = a_ids[al.overlap.rows] << 32 | b_ids[al.overlap.cols]
-        a_to, b_to, g_to, l_to = a_to.tolist(), b_to.tolist(), g_to.tolist(), l_to.tolist()
-        group_a, group_b = group_a.tolist(), group_b.tolist()
-        for k in range(len(new)):
-            g, h, i, j = g_to[k], g_to[k + 1], a_to[k], b_to[k]
-            self.text.append(self.pair.group_text(a[k], b[k], [x - i for x in group_a[g:h]], [x - j for x in group_b[g:h]]))
-            found = codes[l_to[k] : l_to[k + 1]]
-            if len(found) > 1:
-                found, times = np.unique(found, return_counts=True)
-            else:
-                times = np.ones(len(found), np.int64)
-            self.links.append(found)
-            self.times.append(times)
+        lo = len(self.ids)
+        while lo + len(new) > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+        self.counts[lo : lo + len(new)] = np.stack([np.diff(a_to), np.diff(b_to), np.diff(g_to), np.diff(l_to), np.diff(shared), np.array(good, np.int64)], axis=1)
+        self.ids.update(zip(new, range(lo, lo + len(new)), strict=True))
+        self.chars += sum(map(len, new))
+        self._keep_text(a_ids, b_ids, al, g_to.tolist())
+        self._keep_links(np.repeat(np.arange(len(new)), np.diff(l_to)), a_ids[al.overlap.rows] << 32 | b_ids[al.overlap.cols], len(new))
+
+    def _keep_text(self, a_ids: np.ndarray, b_ids: np.ndarray, al: Aligned, g_to: list[int]) -> None:
+        a, b = (list(map(names.__getitem__, ids.tolist())) for names, ids in ((self.pair.a_text, a_ids), (self.pair.b_text, b_ids)))
+        i, j, groups = 0, 0, []
+        for i2, j2 in zip(np.searchsorted(al.a_ends, al.group_ends, "right").tolist(), np.searchsorted(al.b_ends, al.group_ends, "right").tolist(), strict=True):
+            groups.append(f"{a[i] if i2 == i + 1 else ','.join(a[i:i2])}|{b[j] if j2 == j + 1 else ','.join(b[j:j2])}")
+            i, j = i2, j2
+        self.text += [groups[g] if h == g + 1 else ";".join(groups[g:h]) for g, h in zip(g_to, g_to[1:], strict=False)]
+
+    def _keep_links(self, part: np.ndarray, codes: np.ndarray, n: int) -> None:
+        """Appends each part's different codes, with how often it has each."""
+        order = np.lexsort((codes, part))
+        part, codes = part[order], codes[order]
+        first = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(codes, prepend=-1) != 0))
+        times, at = np.diff(np.append(first, len(codes))), int(self.links[0][-1])
+        to = at + len(first)
+        for k, values in ((1, codes[first]), (2, times)):
+            if to > len(self.links[k]):
+                self.links[k] = np.concatenate([self.links[k], np.zeros(max(len(self.links[k]), len(first)), np.int64)])
+            self.links[k][at:to] = values
+        self.links[0] = np.concatenate([self.links[0], at + np.searchsorted(part[first], np.arange(n), "right")])
 
 
 def _pair(a_path: str, b_path: str) -> Parts:
@@ -240,8 +282,8 @@ def _pair(a_path: str, b_path: str) -> Parts:
     return kept(f"aligner|{a_path}|{b_path}", lambda: Parts(Pair(near(a_path), near(b_path))))
 
 
-def _chunk(worker: Parts, texts: list[str]) -> dict:
-    """A chunk's documents: their counts and digests, and documents x pairs as CSR."""
+def _group(worker: Parts, texts: list[str]) -> tuple[np.ndarray, list[str], Csr, np.ndarray]:
+    """Counts and digests of some documents, documents x pairs, and the pairs' codes."""
     if worker.full():
         worker.clear()
     parts = [worker.pair.parts(t) if t else [] for t in texts]
@@ -252,27 +294,34 @@ def _chunk(worker: Parts, texts: list[str]) -> dict:
     sums = segment_sums(worker.counts[at], sizes).astype(np.int64)
     good = sums[:, -1] == sizes  # each part's bytes come out the same
     sums[~good] = 0
-    to = sizes.cumsum().tolist()
-    digests = []
-    for k, (ok, n) in enumerate(zip(good.tolist(), sizes.tolist(), strict=True)):
-        line = ";".join([worker.text[i] for i in at[to[k] - n : to[k]].tolist()]) if ok and n else ""
+    to, digests = sizes.cumsum().tolist(), []
+    for ok, n, end in zip(good.tolist(), sizes.tolist(), to, strict=True):
+        line = ";".join([worker.text[i] for i in at[end - n : end].tolist()]) if ok and n else ""
         digests.append(hashlib.sha256(line.encode()).hexdigest() if line else "")
-    # documents x parts, then x pairs
     of = np.repeat(np.arange(len(texts)), sizes)
-    keep = good[of]
-    known = len(worker.ids)
+    keep, known = good[of], max(1, len(worker.ids))
     held, times = _sum_by(of[keep] * known + at[keep], np.ones(int(keep.sum()), np.int64))
-    doc, part = np.divmod(held, max(1, known))
+    doc, part = np.divmod(held, known)
     used, part = np.unique(part, return_inverse=True)
-    links = [worker.links[i] for i in used.tolist()]
-    n_links = np.array(list(map(len, links)), np.int64)
-    codes, column = np.unique(np.concatenate([np.empty(0, np.int64), *links]), return_inverse=True)
-    weight = np.concatenate([np.empty(0, np.int64), *[worker.times[i] for i in used.tolist()]])
-    parts_by_pairs = Csr(np.concatenate([[0], n_links.cumsum()]), column, weight, len(codes))
-    docs_by_pairs = gustavson(Csr(np.searchsorted(doc, np.arange(len(texts) + 1)), part, times, len(used)), parts_by_pairs)
+    by_pairs, names = worker.parts_by_pairs(used)
+    return sums[:, : len(COUNTS)], digests, gustavson(Csr(np.searchsorted(doc, np.arange(len(texts) + 1)), part, times, len(used)), by_pairs), names
+
+
+def _chunk(worker: Parts, texts: list[str]) -> dict:
+    """A chunk's documents: their counts and digests, and documents x pairs as CSR."""
+    found, k = [], 0
+    while k < len(texts):
+        end, size = k, 0
+        while end < len(texts) and (end == k or size + len(texts[end]) <= GROUP_CHARS):
+            size += len(texts[end])
+            end += 1
+        found.append(_group(worker, texts[k:end]))
+        k = end
+    codes, pair = np.unique(np.concatenate([names[m.cols] for _, _, m, names in found]), return_inverse=True)
+    counts = np.concatenate([c for c, *_ in found]).T
     return {
-        **dict(zip(COUNTS, sums.T[: len(COUNTS)], strict=True)), "groups_sha256": digests, "codes": codes, "n_docs": np.bincount(docs_by_pairs.cols, minlength=len(codes)),
-        "doc_ends": docs_by_pairs.indptr[1:], "pair": docs_by_pairs.cols, "times": docs_by_pairs.data,
+        **dict(zip(COUNTS, counts, strict=True)), "groups_sha256": [d for _, ds, *_ in found for d in ds], "codes": codes, "n_docs": np.bincount(pair, minlength=len(codes)),
+        "doc_ends": np.concatenate([np.diff(m.indptr) for _, _, m, _ in found]).cumsum(), "pair": pair, "times": np.concatenate([m.data for _, _, m, _ in found]),
     }
 
 
