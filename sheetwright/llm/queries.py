@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.melt import read as table
-from . import byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, mixing, secret_scan, token_alignment, token_counts, topk, toxicity, warc
+from . import byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, lexical_topk, mixing, secret_scan, token_alignment, token_counts, topk, toxicity, warc
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.read_back(chat_format.expand(given.unionByName(added))))
 
 
+def op12_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_topk.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
     "op11_chat_format": op11_chat_format,
+    "op12_lexical_topk": op12_lexical_topk,
     "op13_token_alignment": op13_token_alignment,
 }
 
@@ -119,4 +124,14 @@ ORACLE_SQL: dict[str, str] = {
                (sum(stop) FILTER (role = 'assistant' OR last))::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant' OR last) AS n_examples
         FROM s GROUP BY conv_id
     """,
+    "op12_lexical_topk": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        s AS (SELECT count(*) AS n, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0),
+        p AS (SELECT row, any_value(doc_id) AS doc_id, any_value(len(terms)) AS n_terms, term, count(*) AS tf FROM (SELECT row, doc_id, terms, unnest(terms) AS term FROM d) GROUP BY row, term),
+        w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * s.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s WHERE term IN (SELECT term FROM i) GROUP BY term, s.n),
+        f AS (SELECT i.item_id, p.row, any_value(p.doc_id) AS doc_id, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * p.n_terms * s.n) // s.l))))::BIGINT AS score FROM i JOIN w USING (term) JOIN p USING (term), s GROUP BY i.item_id, p.row),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50
+    """,
 }

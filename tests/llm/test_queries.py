@@ -43,7 +43,7 @@ def sha(data: bytes) -> str:
 
 
 def test_all_are_registered():
-    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for n in QUERIES] and len(QUERIES) == 12 and {*QUERIES, "pipeline"} <= set(entry.queries())
+    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for n in QUERIES] and len(QUERIES) == 13 and {*QUERIES, "pipeline"} <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
