@@ -250,11 +250,16 @@ def header_row_choice(spark, sf_dir):
 
 
 def field_suggestions(spark, sf_dir):
-    return discover.suggest_fields(orders(spark, sf_dir).books.cells)
+    found = discover.suggest_fields(orders(spark, sf_dir).books.cells)
+    return found.select("doc_id", "sheet", "sheet_idx", "name", "label", "axis", "row", "col", "type", "score")
 
 
 def table_suggestions(spark, sf_dir):
-    return discover.suggest_tables(orders(spark, sf_dir).books.cells).withColumn("headers", F.array_join("headers", ","))
+    return _shown(discover.suggest_tables(orders(spark, sf_dir).books.cells))
+
+
+def _shown(tables: DataFrame) -> DataFrame:
+    return tables.withColumn("headers", F.array_join("headers", ",")).drop("turn", "columns", "reasons")
 
 
 def scan_suggestions(spark, sf_dir):
@@ -354,7 +359,7 @@ def titled_tables(spark, sf_dir):
     """Late order sheets with a title two rows above their table."""
     cells = orders(spark, sf_dir).books.cells
     titles = cells.filter("row = 40 AND col = 1").withColumns({"row": F.lit(38), "text": F.lit("Table 1: Order lines")})
-    return discover.suggest_titled_tables(cells.unionByName(titles)).withColumn("headers", F.array_join("headers", ","))
+    return _shown(discover.suggest_titled_tables(cells.unionByName(titles)))
 
 
 def hidden_runs(spark, sf_dir):
@@ -391,7 +396,7 @@ def version_markers(spark, sf_dir):
     e = orders(spark, sf_dir)
     docs = e.resolved.select("doc_id", F.lit("").alias("path"), "version")
     marks = melt.to_cells(docs, F.array(melt.cell(2, 1, "s", F.lit("Template version:")), melt.cell(2, 2, "s", F.col("version"))))
-    return discover.suggest_discriminators(e.books.cells.unionByName(marks)).drop("sheet", "sheet_idx")
+    return discover.suggest_discriminators(e.books.cells.unionByName(marks)).drop("sheet", "sheet_idx", "turn", "reasons")
 
 
 def serial_dates(spark, sf_dir):
@@ -476,9 +481,9 @@ ORACLE_SQL: dict[str, str] = {
     "provenance": f"SELECT doc_id, o_orderkey || '.xlsx' AS _source_file, 'orders/' || o_orderstatus || '/' || o_orderkey || '.xlsx' AS _source_path, CASE o_orderstatus WHEN 'P' THEN '<inferred>' ELSE 'A1' END AS _discriminator_cell, k AS n_lines FROM ({_LATE}) WHERE o_totalprice >= 50000",
     "wide_values": f"SELECT doc_id, c_name AS customer, CAST(k AS VARCHAR) AS n_lines, o_orderpriority AS priority FROM ({_LATE})",
     "field_suggestions": "SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, 'Sheet1' AS sheet, 0 AS sheet_idx, 'priority' AS name, 'priority' AS label, 'horizontal' AS axis, 10 AS row, 2 AS col, 'str' AS type, CAST(0.71 AS DOUBLE) AS score FROM orders WHERE o_orderstatus <> 'F'",
-    "table_suggestions": f"SELECT doc_id, 'Sheet1' AS sheet, 0 AS sheet_idx, 'part_table' AS name, 40 AS row, CAST(40 + k AS INTEGER) AS end_row, 1 AS start_col, 4 AS end_col, CAST(k AS INTEGER) AS depth, 'part,qty,price,flag' AS headers, CAST(CASE WHEN k >= 4 THEN 0.94 WHEN k = 3 THEN 0.88 WHEN k = 2 THEN 0.8 ELSE 0.76 END AS DOUBLE) AS score FROM ({_LATE}) WHERE k > 0",
+    "table_suggestions": f"SELECT doc_id, 'Sheet1' AS sheet, 0 AS sheet_idx, 'part_table' AS name, 40 AS row, CAST(40 + k AS INTEGER) AS end_row, 1 AS start_col, 4 AS end_col, CAST(k AS INTEGER) AS depth, 'part,qty,price,flag' AS headers, CAST(CASE WHEN k >= 4 THEN 0.94 WHEN k = 3 THEN 0.88 WHEN k = 2 THEN 0.8 ELSE 0.76 END AS DOUBLE) AS score FROM ({_LATE}) WHERE k > 1",
     "titled_tables": f"SELECT doc_id, 'Sheet1' AS sheet, 0 AS sheet_idx, 'order_lines_table' AS name, 40 AS row, CAST(40 + k AS INTEGER) AS end_row, 1 AS start_col, 4 AS end_col, CAST(k AS INTEGER) AS depth, 'part,qty,price,flag' AS headers, CAST(CASE WHEN k >= 3 THEN 0.99 ELSE 0.94 END AS DOUBLE) AS score FROM ({_LATE}) WHERE k > 0",
-    "unmapped_suggestions": f"SELECT doc_id, 'free' AS kind FROM ({_LATE}) WHERE k > 0",
+    "unmapped_suggestions": f"SELECT doc_id, 'free' AS kind FROM ({_LATE}) WHERE k > 1",
     "hidden_runs": f"SELECT CAST(user_id AS VARCHAR) AS doc_id, 1 AS start_col, CASE WHEN n = 1 AND k IS NOT NULL THEN 7 WHEN k IS NOT NULL THEN 7 ELSE 3 END AS end_col, count(*) AS n FROM ({_EVENTS}) GROUP BY ALL UNION ALL SELECT CAST(user_id AS VARCHAR), 7, 7, count(*) FROM ({_EVENTS}) WHERE n = 1 AND k IS NULL GROUP BY ALL",
     "remap_ranges": f"SELECT 'orders' AS schema, 'v1.0' AS version, 'quantities' AS field, 'C4:C' || (3 + n) AS ref, count(*) AS n_docs FROM ({_SAMPLES}) JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY ALL",
     "find_remaps": f"SELECT doc_id, 'customer' AS name, 'B5' AS ref, CAST(round(1 - 2 / 120.0, 6) AS DOUBLE) AS score FROM ({_LATE}) WHERE c_name IS NOT NULL UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'quantities', CASE WHEN d >= 3 THEN 'D7:D' || (6 + n) ELSE 'D7:D' END, CAST(CASE WHEN d >= 3 THEN round(1 - 2 / 220.0, 6) ELSE 0.99 END AS DOUBLE) FROM ({_SAMPLES}) JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' AND n >= 2",
