@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from ..functions.coerce import DECIMAL
 from ..functions.text import MINED, fuzzy_share
 
+#: Columns of a wide table at most, if they come from the data.
+MOST_COLUMNS = 2_000
+
 
 def mine_rules(values: DataFrame, keys: list[str]) -> DataFrame:
     """keys, required, min, max, pattern for each group of values(keys, text): bounds if all are numbers, else the first pattern that all match.
@@ -87,3 +90,18 @@ def union_columns(flat: DataFrame) -> DataFrame:
 def wide(flat: DataFrame, paths: list[str], key: str = "doc_id") -> DataFrame:
     """One row a document with a column for each of the given paths."""
     return flat.filter(F.col("path").isin(paths)).groupBy(key).pivot("path", paths).agg(F.first("value"))
+
+
+def found_paths(flat: DataFrame, most: int = MOST_COLUMNS) -> list[str] | None:
+    """The paths of a batch's flat results in order, numbers in them by value; None if there are more than `most`."""
+    paths = [r.path for r in union_columns(flat).limit(most + 1).collect()]
+    return None if len(paths) > most else sorted(paths, key=lambda p: [(not part.isdigit(), int(part) if part.isdigit() else 0, part) for part in p.split(".")])
+
+
+def wide_or_long(flat: DataFrame, key: str = "doc_id", most: int = MOST_COLUMNS) -> tuple[DataFrame, bool]:
+    """One row a document with a column for each path that the batch has, and True; the flat results as they are, and False, where that were more than `most` columns.
+
+    A pass over the paths alone comes first; what the driver holds of it is bounded by `most`.
+    """
+    paths = found_paths(flat, most)
+    return (flat, False) if paths is None else (wide(flat, paths, key), True)

@@ -11,7 +11,7 @@ from ..functions.coerce import coerced, failed
 from ..plans.expressions import KIND_OF, Value, compile_field, order
 from ..plans.template import DICTS, ELEMENTS, SPARK_TYPES, Field, Template, fields_table
 from ..sources.grid import Workbooks
-from ..sources.shared import cut
+from ..sources.layout import by_document, laid_out
 from .detect import detect_versions, version_error
 from .slices import all_slices, dict_items, dict_typed, list_items, missing_sheets, table_items
 
@@ -62,10 +62,16 @@ class Extraction:
 
 
 def extract(books: Workbooks, templates: list[Template], options: Options = Options(), forced: str | None = None) -> Extraction:
-    """Detects versions and slices the cells once, into the shared folder; all results read from there."""
-    fields = fields_table(books.cells.sparkSession, templates)
-    resolved = cut(detect_versions(books, templates, fields, forced), "resolved")
-    sliced = cut(all_slices(books, resolved.filter("version IS NOT NULL"), fields, options.blank_is_empty), "slices")
+    """Detects versions and slices the cells once, into the shared folder; all results read from there.
+
+    Both are laid out by document, in the buckets of the cells if those are laid out so: then nothing here shuffles cells.
+    """
+    spark = books.cells.sparkSession
+    fields = fields_table(spark, templates)
+    buckets = getattr(books.cells, "buckets", None)
+    with by_document(spark):
+        resolved = laid_out(detect_versions(books, templates, fields, forced), "resolved", buckets)
+        sliced = laid_out(all_slices(books, resolved.filter("version IS NOT NULL"), fields, options.blank_is_empty), "slices", resolved.buckets)
     return Extraction(books, templates, fields, resolved, sliced, options)
 
 

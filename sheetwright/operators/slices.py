@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from ..functions.coerce import coerced
 from ..sources.grid import Workbooks, has_value
 
+#: Rows of a block: the range of a long sheet is cut into them.
+BLOCK_ROWS = 4_096
 KEYS = ["doc_id", "schema", "version", "field"]
 VALUE = ["kind", "text", "num", "bool", "ts"]
 SPEC = ["field_ord", "shape", "type", "element", "start_row", "start_col", "end_row", "end_col", "vertical", "columns", "low", "high", "pattern", "required"]
@@ -35,10 +37,25 @@ def slices(books: Workbooks, resolved: DataFrame, fields: DataFrame, blank_is_em
     known = resolved.select("doc_id", "schema", "version")
     cells = books.cells.filter(has_value(blank_is_empty)).select("doc_id", "sheet", "sheet_idx", "row", "col", *VALUE).join(known, "doc_id")
     met = cells.join(F.broadcast(spec), ["schema", "version", "col"])
-    met = met.filter("row >= start_row AND (end_row IS NULL OR row <= end_row) AND (f_sheet = sheet OR (f_sheet IS NULL AND sheet_idx = 0))")
-    filled = F.dense_rank().over(W.partitionBy(*KEYS).orderBy("row"))
-    met = met.withColumn("dense", F.when(F.col("end_row").isNull(), filled)).filter("dense IS NULL OR row - start_row = dense - 1")
-    return met.select(*KEYS, *SPEC, "row", "col", *VALUE)
+    met = met.filter("row >= start_row AND (end_row IS NULL OR row <= end_row) AND (f_sheet = sheet OR (f_sheet IS NULL AND sheet_idx = 0))").select(*KEYS, *SPEC, "row", "col", *VALUE)
+    bounded = met.filter("end_row IS NOT NULL")
+    opened = met.filter("end_row IS NULL").withColumn("block", F.expr(f"(row - start_row) div {BLOCK_ROWS}"))
+    kept = opened.join(open_blocks(opened), [*KEYS, "block"]).filter("row <= last").drop("block", "last")
+    return bounded.unionByName(kept)
+
+
+def open_blocks(opened: DataFrame) -> DataFrame:
+    """KEYS, block, last: the blocks of BLOCK_ROWS rows that an open range reaches, and the last row that it takes of each.
+
+    A block's filled rows come together as one set, block by block in any task; a range goes on beyond a block whose rows are all filled, and
+    ends in the first that has a gap. So a sheet of a million rows is dealt by block, and only its blocks' sizes meet.
+    """
+    blocks = opened.groupBy(*KEYS, "block", "start_row").agg(F.array_sort(F.collect_set("row")).alias("rows"))
+    first = F.col("start_row") + F.col("block") * BLOCK_ROWS
+    blocks = blocks.select(*KEYS, "block", first.cast("int").alias("first"), F.size(F.filter("rows", lambda r, k: r == first + k)).alias("n"))
+    before = W.partitionBy(*KEYS).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    full = F.coalesce(F.count_if(F.col("n") == BLOCK_ROWS).over(before), F.lit(0))
+    return blocks.withColumn("full", full).filter("full = block AND n > 0").select(*KEYS, "block", (F.col("first") + F.col("n") - 1).alias("last"))
 
 
 def edge_slices(books: Workbooks, resolved: DataFrame, fields: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import coerce, text
 from .functions.addressing import format_ref, index_to_letters, letters_to_index, parse_cell, parse_range
 from .operators import coverage, detect, discover, drift, extract, naming, slices
+from .plans import registry
 from .plans.template import fields_table, template
 from .sources import grid, melt, sinks
 from .sources.shared import cut, new_path
@@ -447,6 +448,95 @@ def wide_values(spark, sf_dir):
     return coverage.wide(flat, ["customer", "n_lines", "info.priority"]).withColumnRenamed("info.priority", "priority")
 
 
+def long_sheet(spark, sf_dir):
+    """All orders as one sheet, a row an order, every 9001st row empty: its open range ends before the first empty row."""
+    rows = melt.read(spark, sf_dir, "orders").filter("o_orderkey % 9001 <> 9000").withColumns({"doc_id": F.lit("all"), "path": F.lit("all.xlsx")})
+    first = rows.agg(F.min("o_orderkey").alias("least"))
+    at = (F.col("o_orderkey") - F.col("least") + 1).cast("int")
+    rows = rows.crossJoin(F.broadcast(first))  # one row
+    cells = melt.to_cells(rows, F.array(melt.cell(at, 1, "s", F.col("o_orderpriority")), melt.cell(at, 2, "f", F.col("o_totalprice"))))
+    sheet = template({"name": "long", "discriminator": {"cells": ["Z1"]}, "versions": {"v": {"fields": {"rows": {"range": "A1:B", "type": "table", "columns": {"A": "priority", "B": "price"}}}}}})
+    books = grid.from_cells(cells, docs=spark.createDataFrame([("all", "all.xlsx")], grid.DOCS))
+    resolved = detect.detect_versions(books, [sheet], forced="v")
+    found = slices.slices(books, resolved, fields_table(spark, [sheet]))
+    return found.groupBy("col").agg(F.count("*").alias("n"), F.max("row").cast("long").alias("last_row"), F.round(F.sum(F.coalesce("num", F.lit(0.0))), 2).alias("total"))
+
+
+def _registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A version a customer, extending the one with half its number; every 97th goes in a circle, every 101st extends what isn't there. Two fields each."""
+    people = melt.read(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    up = F.when(key % 97 == 0, key).when(key % 101 == 0, -key).when(key > 1, F.floor(key / 2))
+    versions = people.select(F.lit("crm").alias("schema"), key.cast("string").alias("version"), up.cast("string").alias("extends"))
+    fields = people.select(F.lit("crm").alias("schema"), key.cast("string").alias("version"), F.explode(F.array(F.struct(F.lit(0).alias("field_ord"), F.lit("balance").alias("field"), (key % 50 + 1).cast("int").alias("start_row")), F.struct(F.lit(1).alias("field_ord"), F.lower(F.concat(F.lit("seg_"), F.substring("c_mktsegment", 1, 4))).alias("field"), F.col("c_nationkey").cast("int").alias("start_row")))).alias("f")).select("schema", "version", "f.*")
+    return versions, fields
+
+
+def template_registry(spark, sf_dir):
+    found, _ = registry.resolve(*_registry(spark, sf_dir))
+    return found.select("version", "field", F.col("place").cast("long").alias("place"), "origin", "start_row")
+
+
+def registry_errors(spark, sf_dir):
+    return registry.resolve(*_registry(spark, sf_dir))[1].drop("schema")
+
+
+def wide_found(spark, sf_dir):
+    """Flat results as a wide table whose columns come from the data."""
+    flat = coverage.flatten(orders(spark, sf_dir).results("orders", "v2.0").select("doc_id", "n_lines", "info"))
+    rows, is_wide = coverage.wide_or_long(flat)
+    assert is_wide
+    return rows.withColumnsRenamed({c: c.replace("info.", "info_") for c in rows.columns})
+
+
+def halted_stream(spark, sf_dir):
+    """Order workbooks as a stream in three batches that stops at the first unmatched one, and goes on with a template that knows it."""
+    cells, base = orders(spark, sf_dir).books.cells, new_path(spark, "halted")
+    arriving, out, seen = f"{base}/in", f"{base}/out", f"{base}/seen"
+    early = template({"name": "early", "discriminator": {"cells": ["A1"]}, "versions": {"v1.0": {"fields": {"customer": {"cell": "A3"}}}}})
+    late = template({"name": "late", "discriminator": {"cells": ["A1"]}, "versions": {"v2.0": {"fields": {"customer": {"cell": "B3"}}}, "": {"fields": {"customer": {"cell": "B3"}}}}})
+    batch = F.when(F.col("path") < "orders/F/5", 0).when(F.col("path") < "orders/O/5", 1).otherwise(2)
+    for k in range(3):
+        cells.filter(batch == k).repartition("doc_id").write.mode("append").parquet(arriving)
+        ingest.ingest_cells(spark, arriving, [early], out, seen, stop_on_unmatched=True)
+    before = cut(ingest.file_states(spark, out).groupBy("state").agg(F.count("*").alias("n")).withColumn("at", F.lit("halt")), "halted-states")
+    assert ingest.go_on(spark, [early, late], out) is None
+    values = ingest.results(spark, out, "values").groupBy(F.col("schema").alias("state")).agg(F.count("*").alias("n"))
+    return before.select("at", "state", "n").unionByName(values.select(F.lit("values").alias("at"), "state", "n")).unionByName(ingest.file_states(spark, out).groupBy("state").agg(F.count("*").alias("n")).select(F.lit("end").alias("at"), "state", "n"))
+
+
+def capture_store(spark, sf_dir):
+    """Captures of every order's status as a stream, the later batch first and one batch twice: the store keeps each version's latest."""
+    base = new_path(spark, "captures")
+    rows = melt.read(spark, sf_dir, "orders").select(F.lit("orders").alias("schema"), F.concat(F.lit("v"), F.col("o_custkey") % 20).alias("version"), F.year("o_orderdate").cast("long").alias("captured_at"), F.col("o_orderkey").cast("string").alias("field"))
+    late = F.col("captured_at") >= 1995
+    for part in (rows.filter(late), rows.filter(~late), rows.filter(late)):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        ingest.keep_captures(spark, f"{base}/in", rows.schema.simpleString()[7:-1].replace(":", " "), f"{base}/store", f"{base}/seen")
+    return spark.read.parquet(f"{base}/store").groupBy("version").agg(F.max("captured_at").alias("captured_at"), F.countDistinct("field").alias("n"))
+
+
+def version_tables(spark, sf_dir):
+    """Records of both order versions, a table each, the later in two batches whose columns differ; read back together."""
+    e, base = orders(spark, sf_dir), new_path(spark, "records")
+    late = e.records("orders", "v2.0").select("doc_id", "customer", "total", "n_lines")
+    half = F.pmod(F.col("doc_id").cast("long"), F.lit(2)) == 0
+    sinks.write_records(late.filter(half).drop("n_lines"), "orders", "v2.0", base)
+    sinks.write_records(late.filter(~half), "orders", "v2.0", base)
+    sinks.write_records(e.records("orders", "v1.0").select("doc_id", "customer", F.size("quantities").cast("string").alias("n_lines")), "orders", "v1.0", base)
+    rows = sinks.read_all_records(spark, [("orders", "v1.0"), ("orders", "v2.0")], base)
+    return rows.select("version", "doc_id", F.coalesce("customer", F.lit("")).alias("customer"), F.round("total", 2).alias("total"), "n_lines")
+
+
+def merged_columns(spark, sf_dir):
+    """Event sheets whose column G is merged from the first row down to the sheet's format's end, filled in the rows that have events."""
+    books = grid.from_cells(melt.event_books(spark, sf_dir).cells)
+    top = books.cells.filter("row = 1 AND col = 1").withColumn("col", F.lit(7))
+    merges = top.select("doc_id", "sheet", F.lit(1).alias("top"), F.lit(7).alias("left"), F.lit(1_048_576).alias("bottom"), F.lit(7).alias("right"))
+    merged = replace(books, cells=books.cells.unionByName(top), merges=merges)
+    return grid.merged_cells(merged, books.cells.select("doc_id", "sheet", "row")).groupBy("doc_id", "text").agg(F.count("*").alias("n"), F.max("row").cast("long").alias("last_row"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     order_totals, scalar_fields, open_range_list, dict_field, table_header, table_columns, version_by_discriminator, checked_cells, version_by_layout, ambiguous_layout, multi_template,
     forced_version, computed_fields, rule_failures, batch_summary, halt_resume, coerce_strict, coerce_lenient, col_letters, parse_refs, conversation_table, event_table, table_vertical,
@@ -454,6 +544,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     table_depth, linear_depth, distinct_headers, header_row_choice, field_suggestions, table_suggestions, scan_suggestions, fingerprints, match_score, remap_cells, remap_ranges, incremental_ingest,
     find_remaps, applied_moves, field_names, column_naming, row_naming, header_promotion, version_guess, first_page_edge, typed_dict, rendered_values, titled_tables, hidden_runs, unmapped_suggestions,
     version_markers, serial_dates, resumed_batch, merged_fill, edge_fields, json_sink, provenance, wide_values,
+    long_sheet, template_registry, registry_errors, wide_found, halted_stream, capture_store, version_tables, merged_columns,
 )}
 
 _NUMBERED = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n FROM lineitem"
@@ -472,6 +563,44 @@ _LATE = f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o.*, c_name, c_mktsegmen
 _SAMPLES = f"SELECT l_orderkey, count(*) AS n, count(DISTINCT l_quantity) AS d FROM ({_NUMBERED}) WHERE n <= 8 GROUP BY 1"
 
 ORACLE_SQL: dict[str, str] = {
+    "scan_suggestions": f"""
+        WITH late AS ({_LATE}), t AS (SELECT k, CASE WHEN k >= 4 THEN 0.94 WHEN k = 3 THEN 0.88 ELSE 0.8 END AS score FROM late WHERE k > 1),
+        early AS (SELECT l_orderkey, count(*) AS k, max(CASE WHEN n = 1 THEN lower(l_returnflag) END) AS name FROM ({_NUMBERED}) JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1)
+        SELECT 'table' AS kind, 'part_table' AS name, 'Sheet1' AS sheet, 'A40:D' AS ref, count(*) AS n_docs, CAST(round(avg(score), 4) AS DOUBLE) AS mean_score FROM t HAVING count(*) > 0
+        UNION ALL SELECT 'field', name, 'Sheet2', 'Sheet2!D2:D' || k, count(*), CAST(CASE WHEN k >= 6 THEN 0.78 ELSE 0.74 END AS DOUBLE) FROM early WHERE k >= 4 GROUP BY name, k
+    """,
+    "long_sheet": """
+        WITH o AS (SELECT o_orderkey - (SELECT min(o_orderkey) FROM orders WHERE o_orderkey % 9001 <> 9000) + 1 AS r, o_totalprice FROM orders WHERE o_orderkey % 9001 <> 9000),
+        d AS (SELECT r, count(*) AS c, sum(o_totalprice) AS s FROM o GROUP BY r), p AS (SELECT *, row_number() OVER (ORDER BY r) AS k FROM d),
+        e AS (SELECT max(r) AS last FROM p WHERE r = k)
+        SELECT col, sum(c)::BIGINT AS n, max(r) AS last_row, CAST(CASE WHEN col = 1 THEN 0 ELSE round(sum(s), 2) END AS DOUBLE) AS total FROM p, e, (VALUES (1), (2)) c(col) WHERE r <= last GROUP BY col
+    """,
+    "template_registry": """
+        WITH RECURSIVE v AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 97 = 0 THEN c_custkey WHEN c_custkey % 101 = 0 THEN -c_custkey WHEN c_custkey > 1 THEN c_custkey // 2 END AS up FROM customer),
+        a AS (SELECT k, k AS a, 0 AS d FROM v UNION SELECT a.k, v.up, d + 1 FROM a JOIN v ON v.k = a.a WHERE v.up IS NOT NULL AND v.up <> v.k),
+        bad AS (SELECT DISTINCT a.k FROM a LEFT JOIN v ON v.k = a.a WHERE v.k IS NULL OR v.up = v.k),
+        f AS (SELECT c_custkey AS o, unnest([0, 1]) AS ord, unnest(['balance', lower('seg_' || substr(c_mktsegment, 1, 4))]) AS field, unnest([c_custkey % 50 + 1, c_nationkey]) AS start_row FROM customer),
+        x AS (SELECT a.k, a.a, a.d, f.field, f.ord, f.start_row, row_number() OVER (PARTITION BY a.k, f.field ORDER BY a.d) AS turn, first_value(a.d) OVER w AS fd, first_value(f.ord) OVER w AS fo FROM a JOIN f ON f.o = a.a WHERE a.k NOT IN (SELECT k FROM bad) WINDOW w AS (PARTITION BY a.k, f.field ORDER BY a.d DESC, f.ord))
+        SELECT CAST(k AS VARCHAR) AS version, field, row_number() OVER (PARTITION BY k ORDER BY fd DESC, fo) - 1 AS place, CAST(a AS VARCHAR) AS origin, CAST(start_row AS INTEGER) AS start_row FROM x WHERE turn = 1
+    """,
+    "registry_errors": """
+        WITH RECURSIVE v AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 97 = 0 THEN c_custkey WHEN c_custkey % 101 = 0 THEN -c_custkey WHEN c_custkey > 1 THEN c_custkey // 2 END AS up FROM customer),
+        a AS (SELECT k, k AS a FROM v UNION SELECT a.k, v.up FROM a JOIN v ON v.k = a.a WHERE v.up IS NOT NULL AND v.up <> v.k)
+        SELECT CAST(a.k AS VARCHAR) AS version, CASE WHEN v.k IS NULL THEN 'unknown parent' ELSE 'cycle' END AS error FROM a LEFT JOIN v ON v.k = a.a WHERE v.k IS NULL OR v.up = v.k
+    """,
+    "wide_found": f"SELECT doc_id, CAST(k AS VARCHAR) AS n_lines, o_orderpriority AS info_priority, c_mktsegment AS info_segment, o_orderstatus AS info_status FROM ({_LATE})",
+    "halted_stream": """
+        WITH p AS (SELECT 'orders/' || o_orderstatus || '/' || o_orderkey || '.xlsx' AS path, o_orderstatus, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey), h AS (SELECT min(path) AS halt FROM p WHERE o_orderstatus <> 'F')
+        SELECT 'halt' AS at, CASE WHEN path < halt OR halt IS NULL THEN 'done' WHEN path = halt THEN 'halt' ELSE 'held' END AS state, count(*) AS n FROM p, h GROUP BY ALL
+        UNION ALL SELECT 'end', 'done', count(*) FROM p UNION ALL SELECT 'values', CASE o_orderstatus WHEN 'F' THEN 'early' ELSE 'late' END, count(*) FROM p WHERE c_name IS NOT NULL GROUP BY ALL
+    """,
+    "capture_store": "WITH c AS (SELECT 'v' || (o_custkey % 20) AS version, year(o_orderdate) AS y, o_orderkey FROM orders), m AS (SELECT version, max(y) AS y FROM c GROUP BY 1) SELECT version, m.y AS captured_at, count(DISTINCT o_orderkey) AS n FROM m JOIN c USING (version) WHERE c.y = m.y GROUP BY ALL",
+    "version_tables": f"""
+        WITH h AS (SELECT o.*, c_name FROM ({_COUNTS}) o LEFT JOIN customer ON o_custkey = c_custkey)
+        SELECT 'v2.0' AS version, CAST(o_orderkey AS VARCHAR) AS doc_id, coalesce(c_name, '') AS customer, CAST(round(o_totalprice, 2) AS DOUBLE) AS total, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE CAST(k AS VARCHAR) END AS n_lines FROM h WHERE o_orderstatus <> 'F' AND o_totalprice >= 50000
+        UNION ALL SELECT 'v1.0', CAST(o_orderkey AS VARCHAR), coalesce(c_name, ''), NULL, CAST(k AS VARCHAR) FROM h WHERE o_orderstatus = 'F'
+    """,
+    "merged_columns": f"SELECT CAST(user_id AS VARCHAR) AS doc_id, max(CASE WHEN n = 1 THEN event_type END) AS text, count(*) - 1 AS n, max(n) AS last_row FROM ({_EVENTS}) GROUP BY user_id HAVING count(*) > 1 AND max(CASE WHEN n = 1 THEN event_type END) IS NOT NULL",
     "version_markers": "SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, 'Template version:' AS label, 2 AS row, 2 AS col, CASE o_orderstatus WHEN 'F' THEN 'v1.0' ELSE 'v2.0' END AS value, CAST(0.77 AS DOUBLE) AS score FROM orders",
     "serial_dates": "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + to_hours(CAST(6 * (o_orderkey % 4) AS INTEGER)), '%Y-%m-%d %H:%M') AS at FROM orders",
     "resumed_batch": "WITH p AS (SELECT 'orders/' || o_orderstatus || '/' || o_orderkey || '.xlsx' AS path, o_orderstatus FROM orders), h AS (SELECT min(path) AS halt FROM p WHERE o_orderstatus <> 'F') SELECT path, CASE WHEN halt IS NULL OR path < halt THEN 'earlier' ELSE 'again' END AS state FROM p, h",

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .layout import laid_out
 from .shared import cut
 
 CELLS = "doc_id string, path string, sheet string, sheet_idx int, row int, col int, kind string, text string, num double, bool boolean, ts timestamp_ntz, emphasized boolean, hidden_col boolean"
@@ -15,6 +16,8 @@ SHEETS = "doc_id string, sheet string, sheet_idx int, n_rows int, n_cols int"
 HEADER_FOOTER = "doc_id string, sheet string, sheet_idx int, kind string, page string, section string, text string"
 MERGES = "doc_id string, sheet string, top int, left int, bottom int, right int"
 HIDDEN = "doc_id string, sheet string, left int, right int"
+#: Rows of a block in which merged areas meet the rows that are asked for.
+MERGE_ROWS = 1_024
 
 
 @dataclass(frozen=True)
@@ -29,8 +32,12 @@ class Workbooks:
     hidden: DataFrame  # spans of hidden columns
 
     def stored(self) -> Workbooks:
-        """The same, with cells and side tables written once: what follows reads them with its filters and columns pushed down."""
-        return Workbooks(*[cut(t, n) for t, n in ((self.docs, "docs"), (self.sheets, "sheets"), (self.cells, "cells"), (self.edges, "edges"), (self.merges, "merges"), (self.hidden, "hidden"))])
+        """The same, with cells and side tables written once: what follows reads them with its filters and columns pushed down.
+
+        Cells, sheets and documents are laid out by document, so that what is keyed by document doesn't shuffle them again.
+        """
+        cells = laid_out(self.cells, "cells")
+        return Workbooks(laid_out(self.docs, "docs", cells.buckets), laid_out(self.sheets, "sheets", cells.buckets), cells, *[cut(t, n) for t, n in ((self.edges, "edges"), (self.merges, "merges"), (self.hidden, "hidden"))])
 
 
 def from_cells(cells: DataFrame, docs: DataFrame | None = None, sheets: DataFrame | None = None, edges: DataFrame | None = None, merges: DataFrame | None = None, hidden: DataFrame | None = None) -> Workbooks:
@@ -53,8 +60,24 @@ def has_value(blank_is_empty: bool = False) -> Column:
 
 def fill_merges(books: Workbooks) -> Workbooks:
     """Every cell of a merged area gets the value of its upper left cell, where it has none itself."""
-    merged = books.merges.withColumn("row", F.explode(F.sequence("top", "bottom"))).withColumn("col", F.explode(F.sequence("left", "right"))).filter("row <> top OR col <> left")
+    return replace(books, cells=books.cells.unionByName(merged_cells(books)))
+
+
+def merged_cells(books: Workbooks, rows: DataFrame | None = None) -> DataFrame:
+    """The cells that merged areas add: copies of their upper left cells where no cell is.
+
+    rows: doc_id, sheet, row of the rows that are asked for; all that the areas cover if not given. With them an area meets its rows by the
+    blocks of MERGE_ROWS rows that both lie in, so that a merged column costs as many rows as are asked for.
+    """
     anchor = books.cells.withColumnsRenamed({"row": "top", "col": "left"})
-    copies = merged.join(anchor, ["doc_id", "sheet", "top", "left"]).select(*books.cells.columns)
+    areas = books.merges.filter("bottom > top OR right > left").join(anchor, ["doc_id", "sheet", "top", "left"])  # an empty anchor fills nothing
+    if rows is None:
+        spread = areas.withColumn("row", F.explode(F.sequence("top", "bottom")))
+    else:
+        block = lambda c: F.expr(f"{c} div {MERGE_ROWS}")
+        cut_up = areas.withColumn("block", F.explode(F.sequence(block("top"), block("bottom"))))
+        asked = rows.select("doc_id", "sheet", "row").distinct().withColumn("block", block("row"))
+        spread = cut_up.join(asked, ["doc_id", "sheet", "block"]).filter("row BETWEEN top AND bottom").drop("block")
+    copies = spread.withColumn("col", F.explode(F.sequence("left", "right"))).filter("row <> top OR col <> left").select(*books.cells.columns)
     taken = books.cells.select("doc_id", "sheet", "row", "col")
-    return replace(books, cells=books.cells.unionByName(copies.join(taken, ["doc_id", "sheet", "row", "col"], "left_anti")))
+    return copies.join(taken, ["doc_id", "sheet", "row", "col"], "left_anti")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.coverage import wide
+from ..operators.coverage import rendered, wide
 
 
 def with_provenance(records: DataFrame, resolved: DataFrame, docs: DataFrame) -> DataFrame:
@@ -30,9 +32,35 @@ def write_json(records: DataFrame, failures: DataFrame, docs: DataFrame, path: s
     (lines.orderBy("path") if ordered else lines).select("value").write.text(path)
 
 
+def table_path(path: str, schema: str, version: str) -> str:
+    """Where a version's records go: a folder each, as versions have columns of their own."""
+    safe = lambda name: re.sub(r"[^A-Za-z0-9_.-]", lambda m: f"%{ord(m[0]):02X}", name)
+    return f"{path}/schema={safe(schema)}/version={safe(version)}"
+
+
 def write_records(records: DataFrame, schema: str, version: str, path: str) -> None:
-    """A version's records in its own partition of a table."""
-    records.withColumns({"schema": F.lit(schema), "version": F.lit(version)}).write.mode("append").partitionBy("schema", "version").parquet(path)
+    """Appends a version's records to its own table. Columns may come and go from one batch to the next."""
+    records.write.mode("append").parquet(table_path(path, schema, version))
+
+
+def read_records(spark: SparkSession, schema: str, version: str, path: str) -> DataFrame:
+    """A version's records with the columns of all its batches, typed; null where a batch lacked one."""
+    return spark.read.option("mergeSchema", "true").parquet(table_path(path, schema, version))
+
+
+def read_all_records(spark: SparkSession, versions: list[tuple[str, str]], path: str) -> DataFrame:
+    """schema, version and the columns of all these versions; where two of them differ in a column's type, it is text."""
+    tables = [(s, v, read_records(spark, s, v, path)) for s, v in versions]
+    kinds: dict[str, set[str]] = {}
+    for _, _, t in tables:
+        for f in t.schema.fields:
+            kinds.setdefault(f.name, set()).add(f.dataType.simpleString())
+    out = None
+    for s, v, t in tables:
+        shown = t.withColumns({f.name: rendered(F.col(f.name), f.dataType.simpleString()) for f in t.schema.fields if len(kinds[f.name]) > 1})
+        one = shown.select(F.lit(s).alias("schema"), F.lit(v).alias("version"), *t.columns)
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 def write_csv(flat: DataFrame, paths: list[str], path: str, resolved: DataFrame | None = None, docs: DataFrame | None = None) -> None:
