@@ -7,7 +7,7 @@ owner's task, which chains the rows of a bucket by key and compares the bytes of
 keys are told apart. What the owners find is the index, sorted by key within each owner, in the shared folder.
 
 A key of more than HOT_ROWS rows cannot be split by its bits. Such keys (at most rows / HOT_ROWS of them) are left out of the
-buckets: their texts are aggregated before the shuffle, one row a task and text, and the rows look their text up.
+buckets: their texts are aggregated as bytes before the shuffle, one row a task and text, and the rows look their text up by its bytes.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from ..sources.shared import cut
 #: The white space that equal texts may differ in.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 MAX_DEPTH, BUCKET_ROWS, OWNER_ROWS, HOT_ROWS = 16, 2_500, 5_000, 50_000
-#: Hot keys up to which they are broadcast (20 bytes each).
-BROADCAST_KEYS = 500_000
+#: Hot keys up to which they are broadcast (20 bytes each), bytes of hot keys' texts up to which those are, and parts of their rows beyond that.
+BROADCAST_KEYS, BROADCAST_BYTES, SALTS = 500_000, 32 << 20, 64
 
 
 def normalised(text: Column) -> Column:
@@ -88,14 +88,32 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return cut(entries, "dedup-index")
 
 
+def _met(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of hot keys with what is known of their texts, by key and bytes; texts: t_key, t_norm and more.
+
+    Texts of BROADCAST_BYTES at most are broadcast. Else the rows of a key are dealt by salt, and its texts go to every salt.
+    """
+    same = (F.col("key") == F.col("t_key")) & (F.col("norm") == F.col("t_norm"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("t_norm") + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(texts), same)
+    salted = rows.withColumn("salt", F.pmod("number", F.lit(SALTS)).cast("int"))
+    every = texts.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, same & (F.col("salt") == F.col("t_salt"))).drop("salt", "t_salt")
+
+
+def _hot_texts(rows: DataFrame, *rank: Column) -> DataFrame:
+    """t_key, t_norm, b (the least rank), group_size of each text of the hot keys: aggregated as bytes, one row a task and text before the shuffle."""
+    texts = rows.groupBy("key", "norm").agg(F.min(F.struct(*rank)).alias("b"), F.count("*").alias("group_size"))
+    return cut(texts.select(F.col("key").alias("t_key"), F.col("norm").alias("t_norm"), "b", "group_size"), "dedup-hot-texts")
+
+
 def _hot_entries(rows: DataFrame) -> DataFrame:
     # numbered once, in the shared folder, so that of rows equal in id and length one is kept
-    rows = cut(rows.select("key", F.sha2("norm", 256).alias("text_sha256"), "id", "n_points", F.monotonically_increasing_id().alias("number")), "dedup-hot-rows")
-    rank = F.struct((-F.col("n_points")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id"), F.col("number"))
-    texts = rows.groupBy("key", "text_sha256").agg(F.min(rank).alias("b"), F.count("*").alias("group_size"))
-    texts = cut(texts.select(F.col("key").alias("t_key"), F.col("text_sha256").alias("t_sha"), F.col("b.id").alias("keep_id"), F.col("b.number").alias("keep_number"), "group_size"), "dedup-hot-texts")
-    found = rows.join(F.broadcast(texts) if texts.count() <= BROADCAST_KEYS else texts, F.expr("key = t_key AND text_sha256 = t_sha"))
-    return found.select(F.lit(None).cast("int").alias("owner"), F.lit(None).cast("int").alias("bucket"), "key", "text_sha256", "id", "n_points", "keep_id", "group_size", (F.col("number") == F.col("keep_number")).alias("kept"))
+    rows = cut(rows.select("key", "norm", "id", "n_points", F.monotonically_increasing_id().alias("number")), "dedup-hot-rows")
+    texts = _hot_texts(rows, (-F.col("n_points")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id"), F.col("number"))
+    found = _met(rows, texts)
+    return found.select(F.lit(None).cast("int").alias("owner"), F.lit(None).cast("int").alias("bucket"), "key", F.sha2("norm", 256).alias("text_sha256"), "id", "n_points", F.col("b.id").alias("keep_id"), "group_size", (F.col("number") == F.col("b.number")).alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
@@ -125,9 +143,8 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     chain = W.partitionBy("key", "bucket", "owner", "norm").orderBy(*best("n_points", ident))
     kept = cold.withColumn("norm", normalised(F.col(text))).withColumn("turn", F.row_number().over(chain)).filter("turn = 1").select(*back)
     if hot is not None:
-        hot = hot.withColumn("sha", F.sha2(normalised(F.col(text)), 256))
-        texts = hot.groupBy("key", "sha").agg(F.min(F.struct((-F.col("n_points")).alias("less"), F.col(ident).isNull().alias("no_id"), F.col(ident).alias("id"))).alias("b"))
-        texts = cut(texts.select(F.col("key").alias("t_key"), F.col("sha").alias("t_sha"), (-F.col("b.less")).alias("t_points"), F.col("b.id").alias("t_id")), "dedup-hot-texts")
-        won = hot.join(F.broadcast(texts) if texts.count() <= BROADCAST_KEYS else texts, (F.col("key") == F.col("t_key")) & (F.col("sha") == F.col("t_sha")) & (F.col("n_points") == F.col("t_points")) & F.col(ident).eqNullSafe(F.col("t_id")))
-        kept = kept.unionByName(won.dropDuplicates(["key", "sha"]).select(*back))
+        hot = hot.withColumns({"norm": normalised(F.col(text)), "number": F.xxhash64(ident, "n_points")})
+        texts = _hot_texts(hot, (-F.col("n_points")).alias("less"), F.col(ident).isNull().alias("no_id"), F.col(ident).alias("id"))
+        won = _met(hot, texts).filter((F.col("n_points") == -F.col("b.less")) & F.col(ident).eqNullSafe(F.col("b.id")))
+        kept = kept.unionByName(won.dropDuplicates(["key", "norm"]).select(*back))
     return kept

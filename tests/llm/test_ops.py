@@ -480,3 +480,31 @@ def test_rare_toxic_labels(spark):
         model = toxicity.fit(df, df, train_docs=most)
         got = toxicity.score_documents(df, model).toPandas().set_index("doc_id").score
         assert model.trees is not None and (got[got.index < bad] >= 0.5).all() and (got[got.index >= bad] < 0.5).all()
+
+
+def test_hot_keys_are_told_apart_by_bytes(spark, monkeypatch):
+    """Every key is hot, two keys hold all texts, nothing may be broadcast, so that rows meet their texts by salt; then all digests are the same."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(exact_dedup, "SALTS", 3)
+    rows = [(k, f"text {k % 7}" + " " * (k % 3)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = dedup_by_hand([(*r, None, None) for r in rows])
+    assert rows_of(exact_dedup.exact_dedup(df, key_bits=1, hot_rows=1)) == want
+    assert sorted(r.doc_id for r in exact_dedup.keep_first_copies(df, key_bits=1, hot_rows=1).collect()) == sorted(r[0] for r in want if r[3])
+    sha2 = F.sha2
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: sha2(F.lit("forged"), n))
+    got = exact_dedup.exact_dedup(df, key_bits=1, hot_rows=1).select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(r[:4] for r in want)
+
+
+def test_blocks_in_turn(spark, monkeypatch):
+    """Sums over ranges of hashes and then over the ranges are those over all blocks of a source; one source has nearly all, one is null."""
+    from pyspark.sql import Window as W
+
+    monkeypatch.setattr(mixing, "TURN_BITS", 3)
+    blocks = spark.createDataFrame([("big" if k % 10 else None if k % 20 else "other", k, k % 13) for k in range(500)], "source string, block long, words long")
+    whole = W.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(8)), "block")
+    want = blocks.withColumns({"before": F.sum("words").over(whole.rowsBetween(W.unboundedPreceding, 0)) - F.col("words"), "turn": F.row_number().over(whole) - 1, "n": F.count("*").over(W.partitionBy("source"))})
+    names = ["source", "block", "words", "before", "turn", "n"]
+    shown = lambda df: sorted((tuple(r) for r in df.select(names).collect()), key=repr)
+    assert shown(mixing.blocks_in_turn(blocks, 7)) == shown(want)
