@@ -23,6 +23,8 @@ from ..sources.shared import cut
 #: Fixed values of the mix: the weights repeat over the sources in code-point order.
 WEIGHTS, CAP = (5, 2, 1), 3
 BLOCK_DOCS, SHARDS, BINS, SEED = 512, 32, 256, 7
+#: A source's blocks are put in turn by ranges of so many leading bits of a hash.
+TURN_BITS = 10
 #: Documents a shard where the number of shards follows the table, and the most shards.
 SHARD_DOCS, MOST_SHARDS = 100_000, 4096
 
@@ -86,6 +88,22 @@ def shard_plan(draws: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Data
     return binned.groupBy("bin").applyInPandas(split, "source string, bounds array<long>")
 
 
+def blocks_in_turn(blocks: DataFrame, seed: int) -> DataFrame:
+    """Blocks (source, block, words) in permuted order, with before (words of those before), turn (from 0) and n, the source's blocks.
+
+    Sums go over the blocks of a range of hashes, 2**TURN_BITS a source, and then over the ranges, so that no task gets all blocks of a source.
+    """
+    rows = blocks.withColumn("h", F.xxhash64("source", "block", F.lit(seed + 1))).withColumn("range", F.shiftright("h", 64 - TURN_BITS).cast("int"))
+    ranges = rows.groupBy("source", "range").agg(F.sum("words").alias("r_words"), F.count("*").alias("r_n"))
+    earlier = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # at most 2**TURN_BITS rows a source
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    ranges = ranges.select(F.col("source").alias("r_source"), F.col("range").alias("r_range"), none(F.sum("r_words").over(earlier)).alias("r_words"), none(F.sum("r_n").over(earlier)).alias("r_turn"), F.sum("r_n").over(W.partitionBy("source")).alias("n"))
+    inside = W.partitionBy("source", "range").orderBy("h", "block")
+    rows = rows.withColumns({"w_words": F.sum("words").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("words"), "w_turn": F.row_number().over(inside) - 1})
+    met = rows.join(ranges, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range")))
+    return met.withColumns({"before": F.col("r_words") + F.col("w_words"), "turn": F.col("r_turn") + F.col("w_turn")}).drop("h", "range", "r_source", "r_range", "r_words", "r_turn", "w_words", "w_turn")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block_docs: int = BLOCK_DOCS, shards: int = SHARDS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row for each document: id, size, source_size, target, taken, draws array<struct<pass, shard, position, words>>.
 
@@ -108,8 +126,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(F.lit(0))
     goal = aim.withColumn("passes", whole.cast("long")).withColumn("rest", F.round("target").cast("long") - F.col("passes") * F.col("source_size"))
     plan = held.join(goal, same(held, goal)).drop(goal["source"]).filter("words > 0")
-    in_turn = W.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(seed + 1)), "block")
-    plan = plan.withColumn("before", F.sum("words").over(in_turn) - F.col("words")).withColumn("turn", F.row_number().over(in_turn) - 1).withColumn("n", F.count("*").over(W.partitionBy("source")))
+    plan = blocks_in_turn(plan, seed)
     plan = plan.withColumn("part", F.least("words", F.greatest(F.col("rest") - F.col("before"), F.lit(0))))
     drawn = plan.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes")))).withColumn("quota", F.when(F.col("pass") < F.col("passes"), F.col("words")).otherwise(F.col("part"))).filter("quota > 0")
     drawn = cut(drawn.select("source", "block", "pass", "quota", (F.col("pass") * F.col("n") + F.col("turn")).alias("seq")), "mix-draws")
