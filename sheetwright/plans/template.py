@@ -1,10 +1,10 @@
 """Templates: job configuration that becomes a small table of fields.
 
-    name: lab_report
-    discriminator: {cells: [A1, "Cover!header:left"]}
+    name: harvest
+    discriminator: {cells: [C1, "Cover!header:left"]}
     versions:
-      v2: {extends: v1, fields: {total: {cell: E3, type: float}, rows: {range: "A20:D", type: table}},
-           validation: {total: {min: 0}}}
+      spring: {extends: old, fields: {trees: {cell: G4, type: float}, crates: {range: "B12:D", type: table}},
+               validation: {trees: {min: 0}}}
 """
 
 from __future__ import annotations
