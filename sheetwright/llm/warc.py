@@ -18,14 +18,16 @@ from itertools import batched
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, new_path
 
 LEAST_SHARED = 1000
-#: Bytes of payload in an archive at most (but for one larger record), what counts as a large record, and records a file.
-ARCHIVE_BYTES, LARGE, RECORDS_A_FILE = 64_000_000, 1_000_000, 20_000
+#: Bytes of payload in an archive at most (but for one larger record), and records a file.
+ARCHIVE_BYTES, RECORDS_A_FILE = 64_000_000, 20_000
+#: Payloads are packed with others of their class: up to so many bytes, or more than all of these.
+CLASSES = (4_000, 32_000, 250_000, 1_000_000)
 #: Captures a range, ranges at most, samples a range, and captures a packed piece.
 RANGE_ROWS, MOST_RANGES, SAMPLES, PIECE_ROWS = 50_000, 20_000, 8, 2_000
 #: Groups of equal payloads up to which they are broadcast (60 bytes each).
@@ -73,18 +75,27 @@ def record_text(crlf: str = END):
     )
 
 
-def size_classes(pages: DataFrame, body_col: str) -> list[tuple[bool, int]]:
-    """Whether a payload is LARGE, and the largest of its class in bytes; at most two rows."""
+def size_class(size: Column) -> Column:
+    """How many of CLASSES a payload exceeds."""
+    return sum((size > most).cast("int") for most in CLASSES)
+
+
+def size_classes(pages: DataFrame, body_col: str) -> list[tuple[int, int]]:
+    """The classes that have payloads, and the largest payload of each in bytes; at most a row more than CLASSES."""
     size = F.octet_length(F.coalesce(F.col(body_col), F.lit("")))
-    found = pages.select(size.alias("bytes")).groupBy((F.col("bytes") > LARGE).alias("large")).agg(F.max("bytes").alias("bytes")).collect()
-    return [(r["large"], r["bytes"]) for r in found]
+    found = pages.groupBy(size_class(size).alias("class")).agg(F.max(size).alias("widest")).collect()
+    return sorted((r["class"], r["widest"]) for r in found)
 
 
-def write_archives(decided: DataFrame, path: str, classes: list[tuple[bool, int]], records_a_file: int = RECORDS_A_FILE) -> None:
-    """One archive or more a task, of ARCHIVE_BYTES of payload at most; large records get archives of their own."""
-    for large, widest in classes:
+def write_archives(decided: DataFrame, path: str, classes: list[tuple[int, int]], records_a_file: int = RECORDS_A_FILE) -> None:
+    """One archive or more a task and class, of ARCHIVE_BYTES of payload at most.
+
+    A class's archives are cut by what its largest payload allows, so one page costs the others of its class alone a factor of
+    eight, and smaller ones nothing. Each class is a pass over the pages, as its filter goes below the join.
+    """
+    for of, widest in classes:
         most = max(1, min(records_a_file, ARCHIVE_BYTES // max(1, widest)))
-        rows = decided.filter((F.col("bytes") > LARGE) == F.lit(large)) if len(classes) > 1 else decided
+        rows = decided.filter(size_class(F.col("bytes")) == of) if len(classes) > 1 else decided
         rows.select(record_text().alias("value")).write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 

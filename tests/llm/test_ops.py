@@ -157,6 +157,18 @@ def test_warc(spark):
     assert warc.archive_pages(df.limit(0))[1].count() == 0
 
 
+def test_warc_packs_by_size(spark):
+    """A page of nearly 1 MB doesn't cut small pages into many archives; larger ones have archives of their own."""
+    wide, large = "w" * 990_000, "l" * 1_200_000
+    pages = spark.range(10_000).selectExpr("id AS page_id", "concat('u', id) AS url", "concat('tiny ', id) AS html").unionByName(spark.createDataFrame([(20_000, "w", wide), (20_001, "l", large), (20_002, "l", large), (20_003, "m", "m" * 5_000)], "page_id long, url string, html string"))
+    path, index = warc.archive_pages(pages.coalesce(1))
+    found = {r.page_id: r for r in index.collect()}
+    assert len(found) == 10_004 and all(found[i].payload_digest == hashlib.sha1(b).hexdigest() and found[i].payload_bytes == len(b) for i, b in ((7, b"tiny 7"), (20_000, wide.encode()), (20_001, large.encode()), (20_002, large.encode())))
+    assert (found[20_001].record_type, found[20_001].refers_to, found[20_002].record_type) == ("revisit", 20_002, "response")
+    archives = [{found[i].archive for i in ids} for ids in (range(10_000), [20_003], [20_000], [20_001, 20_002])]
+    assert [len(a) for a in archives] == [1] * 4 and len(set.union(*archives)) == 4
+
+
 def test_loser_tree():
     rng = np.random.default_rng(1)
     for k in (1, 2, 3, 7):
@@ -355,8 +367,10 @@ def near_rows(n=40):
 def test_jaccard_join(spark, docs, salt_rows, rounds):
     rows = [(i, t) for i, t, *_ in ROWS] + near_rows()
     df = docs.select("doc_id", "text", "set", "component", "n").unionByName(spark.createDataFrame(near_rows(), "doc_id long, text string"), allowMissingColumns=True)
-    got = rows_of(jaccard_join.components(df, salt_rows=salt_rows, rounds=rounds))
-    assert got == components_by_hand(rows)
+    want = components_by_hand(rows)
+    assert rows_of(jaccard_join.components(df, salt_rows=salt_rows, rounds=rounds)) == want
+    if rounds == 0:  # as where the bitmap of rows would fill
+        assert rows_of(jaccard_join.components(df, salt_rows=salt_rows, rounds=rounds, most_bits=8)) == want
 
 
 def test_jaccard_join_empty(none):
