@@ -38,8 +38,8 @@ ROUNDS, CHUNK = 3, 64
 SAMPLED = 3
 #: Documents and tokens a block, tokens a counting task, and members of a list beyond which it is salted.
 BLOCK_DOCS, BLOCK_TOKENS, BUCKET_TOKENS, SALT_ROWS = 1500, 1_000_000, 500_000, 4_000
-#: The bitmap of rows to read again, in bits (32 MB at most); beyond it more rows than needed are read.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: The bitmap of rows to read again, in bits (32 MB at most), and its bits a row; rows too many for it are joined by their names instead.
+LEAST_BITS, MOST_BITS, ROW_BITS = 1 << 20, 1 << 28, 16
 #: Pairs up to which their members (40 bytes each, twice at most) are broadcast to the sets.
 BROADCAST_PAIRS = 250_000
 #: Factors of the hashes; each also makes a global order.
@@ -268,18 +268,24 @@ def posted(tokens: np.ndarray, df: np.ndarray, n: int, name: bytes, num: int, de
     return out
 
 
-def shared_sets(texts: DataFrame, needed: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def shared_sets(texts: DataFrame, needed: DataFrame, words: int, num: int, den: int, most_bits: int = MOST_BITS) -> DataFrame:
     """set, n, tokens (those that other such sets have too), posts (the first order's prefix), second and third (the others').
 
-    needed: row_key, n_shingles of a row of each set. A bitmap of bounded size picks these rows (and a few others) in the scan
-    itself, so no text is shuffled. A set that comes twice does no harm.
+    needed: row_key, n_shingles of a row of each set. A bitmap of at most most_bits picks these rows (and a few others) in the scan
+    itself, so no text is shuffled. Where it would fill, the texts meet the names of these rows in a join instead, which keeps no
+    others. A set that comes twice does no harm.
     """
     bits = LEAST_BITS
     total = needed.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("tokens")).first()
-    while bits < 16 * total["rows"] and bits < MOST_BITS:
+    while bits < ROW_BITS * total["rows"]:
         bits *= 2
     buckets = int(max(8, total["tokens"] // BUCKET_TOKENS))
-    wanted = texts.sparkSession.sparkContext.broadcast(bitmap_of(needed.select(F.shiftright("row_key", 12).alias("p")), bits))
+    if bits > most_bits:
+        texts = texts.filter("text <> ''").withColumn("row_key", F.xxhash64("text", "id")).join(needed.select("row_key").distinct(), "row_key", "left_semi")
+        bits, every = 8, np.full(1, 0xFF, dtype=np.uint8)
+    else:
+        every = bitmap_of(needed.select(F.shiftright("row_key", 12).alias("p")), bits)
+    wanted = texts.sparkSession.sparkContext.broadcast(every)
     names, kinds = ["bucket", "kind", "block", "packed", "numbers"], [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,7 +465,7 @@ def left_pairs(members: DataFrame, salt_rows: int) -> DataFrame:
     return left.join(right, F.expr(on)).select("hub", F.col("set").alias("other"))
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, rounds: int = ROUNDS, salt_rows: int = SALT_ROWS, detail: bool = False) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, rounds: int = ROUNDS, salt_rows: int = SALT_ROWS, detail: bool = False, most_bits: int = MOST_BITS) -> DataFrame:
     """id, n_shingles, component_id of every row, for links of Jaccard similarity num / den or more.
 
     Null, empty and blank texts have no shingles and are linked with nothing: their component is their own id. With
@@ -472,7 +478,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6  # about the number of tokens
     rows = counted_rows(texts, int(max(8, size // (2 * SAMPLED * BUCKET_TOKENS))), words, num, den)
     needed = cut(rows.filter("alive").groupBy("set").agg(F.min("row_key").alias("row_key"), F.min("n_shingles").alias("n_shingles")), "jaccard-needed")
-    packed = shared_sets(texts, needed, words, num, den)
+    packed = shared_sets(texts, needed, words, num, den, most_bits)
     members = candidate_lists(packed, salt_rows)
     weights = members.groupBy("set").agg(F.count("*").alias("weight"))
     members, tried, links, parts = members.join(weights, "set").withColumn("component", F.col("set")), None, None, None
