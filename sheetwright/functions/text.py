@@ -128,18 +128,6 @@ def header_footer_sections(raw: Column) -> Column:
     return F.struct(part("L").alias("left"), part("C").alias("center"), part("R").alias("right"))
 
 
-def serial_date(serial: Column) -> Column:
-    """The timestamp of a spreadsheet's day number (1900 system)."""
-    seconds = F.round((serial - F.floor(serial)) * 86400)
-    return F.lit("1899-12-30 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.floor(serial).cast("int"), F.lit(0), F.lit(0), seconds)
-
-
-def is_date_format(code: Column) -> Column:
-    """Whether a number format shows dates: it has y, d, or m or h with them, outside quotes and brackets."""
-    bare = F.lower(F.regexp_replace(code, r'"[^"]*"|\[[^\]]*\]|\\.', ""))
-    return bare.rlike("[yd]|m.*h|h.*m")
-
-
 def fuzzy_share(a: Column, b: Column) -> Column:
     """How many words of two slugs agree (equal, or one begins the other), over the larger number of words; 1 if equal."""
     x, y = F.split(a, "_"), F.split(b, "_")

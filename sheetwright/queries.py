@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import coerce, text
+from .functions import coerce, dates, text
 from .functions.addressing import format_ref, index_to_letters, letters_to_index, parse_cell, parse_range
 from .operators import coverage, detect, discover, drift, extract, naming, slices
 from .plans import registry
@@ -403,7 +403,18 @@ def version_markers(spark, sf_dir):
 def serial_dates(spark, sf_dir):
     rows = melt.read(spark, sf_dir, "orders")
     serial = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")) + (F.col("o_orderkey") % 4) / 4
-    return rows.select("o_orderkey", F.date_format(text.serial_date(serial.cast("double")), "yyyy-MM-dd HH:mm").alias("at"))
+    return rows.select("o_orderkey", F.date_format(dates.serial_date(serial.cast("double")), "yyyy-MM-dd HH:mm").alias("at"))
+
+
+def number_formats(spark, sf_dir):
+    """A sheet an order with its date as a plain number, shown by one of six number formats."""
+    part = (F.expr("o_orderkey div 6") % 8) / 8
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date"))
+    codes = F.array(*map(F.lit, ("yyyy\\-mm\\-dd", "[h]:mm", "0.00", "[Red]0;d", '0" days"', "h:mm AM/PM")))
+    which = F.col("o_orderkey") % 6
+    rows = melt.read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.lit("Sheet1").alias("sheet"), F.lit(1).alias("row"), F.lit(1).alias("col"), F.lit("f").alias("kind"), F.lit("raw").alias("text"), (F.when(which == 5, 0).otherwise(day) + part).alias("num"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.element_at(codes, which.cast("int") + 1).alias("format"))
+    rows = cut(rows, "formatted")
+    return grid.dated(rows.drop("format"), rows).select("doc_id", "kind", "text", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), F.round("num", 3).alias("num"))
 
 
 def resumed_batch(spark, sf_dir):
@@ -543,7 +554,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     first_column_only, open_list_ends, rule_mining, rule_mining_by_document, flatten_long, union_columns, slugs, clean_labels, label_predicates, value_types, header_footer_split, row_runs,
     table_depth, linear_depth, distinct_headers, header_row_choice, field_suggestions, table_suggestions, scan_suggestions, fingerprints, match_score, remap_cells, remap_ranges, incremental_ingest,
     find_remaps, applied_moves, field_names, column_naming, row_naming, header_promotion, version_guess, first_page_edge, typed_dict, rendered_values, titled_tables, hidden_runs, unmapped_suggestions,
-    version_markers, serial_dates, resumed_batch, merged_fill, edge_fields, json_sink, provenance, wide_values,
+    version_markers, serial_dates, number_formats, resumed_batch, merged_fill, edge_fields, json_sink, provenance, wide_values,
     long_sheet, template_registry, registry_errors, wide_found, halted_stream, capture_store, version_tables, merged_columns,
 )}
 
@@ -603,6 +614,10 @@ ORACLE_SQL: dict[str, str] = {
     "merged_columns": f"SELECT CAST(user_id AS VARCHAR) AS doc_id, max(CASE WHEN n = 1 THEN event_type END) AS text, count(*) - 1 AS n, max(n) AS last_row FROM ({_EVENTS}) GROUP BY user_id HAVING count(*) > 1 AND max(CASE WHEN n = 1 THEN event_type END) IS NOT NULL",
     "version_markers": "SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, 'Template version:' AS label, 2 AS row, 2 AS col, CASE o_orderstatus WHEN 'F' THEN 'v1.0' ELSE 'v2.0' END AS value, CAST(0.77 AS DOUBLE) AS score FROM orders",
     "serial_dates": "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + to_hours(CAST(6 * (o_orderkey % 4) AS INTEGER)), '%Y-%m-%d %H:%M') AS at FROM orders",
+    "number_formats": """WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderkey % 6 AS f, CAST(3 * ((o_orderkey // 6) % 8) AS INTEGER) AS h, CAST(o_orderdate AS DATE) AS d, date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS n FROM orders)
+        SELECT doc_id, CASE f WHEN 0 THEN 't' WHEN 1 THEN 's' WHEN 5 THEN 's' ELSE 'f' END AS kind,
+        CASE f WHEN 0 THEN strftime(d + to_hours(h), '%Y-%m-%d %H:%M:%S') WHEN 1 THEN n || ' days, ' || h || ':00:00' WHEN 5 THEN lpad(CAST(h AS VARCHAR), 2, '0') || ':00:00' ELSE 'raw' END AS text,
+        CASE f WHEN 0 THEN strftime(d + to_hours(h), '%Y-%m-%d %H:%M') END AS at, CASE WHEN f BETWEEN 2 AND 4 THEN round(n + h / 24.0, 3) END AS num FROM r""",
     "resumed_batch": "WITH p AS (SELECT 'orders/' || o_orderstatus || '/' || o_orderkey || '.xlsx' AS path, o_orderstatus FROM orders), h AS (SELECT min(path) AS halt FROM p WHERE o_orderstatus <> 'F') SELECT path, CASE WHEN halt IS NULL OR path < halt THEN 'earlier' ELSE 'again' END AS state FROM p, h",
     "merged_fill": f"WITH h AS (SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderstatus, o_totalprice, k, c_name, c_mktsegment FROM ({_COUNTS}) LEFT JOIN customer ON o_custkey = c_custkey) SELECT doc_id, CASE WHEN o_orderstatus = 'F' THEN 1 + CASE WHEN c_name IS NULL THEN 0 ELSE 1 END + 5 * k ELSE 15 + CASE WHEN c_name IS NULL THEN 0 ELSE 1 END + CASE WHEN c_mktsegment IS NULL THEN 0 ELSE 1 END + 5 * k END AS n, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 3 END AS wide, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE round(3 * o_totalprice, 2) END AS total FROM h",
     "edge_fields": "SELECT CAST(conv_id AS VARCHAR) AS doc_id, role AS who, TRUE AS no_footer FROM conversations WHERE turn = 0 AND role IS NOT NULL",

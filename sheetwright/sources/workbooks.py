@@ -11,22 +11,29 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.addressing import column_number
+from ..functions.dates import DATE_LETTERS, ELAPSED, FORMAT_TEXT
 from ..functions.text import header_footer_sections
-from .grid import CELLS, Workbooks
+from .grid import CELLS, FORMATS, Workbooks
 from .shared import cut
 
-#: What counts as a workbook, which of them can be read, and the format numbers that are dates.
+#: What counts as a workbook, which of them can be read, the built-in number formats by their numbers, and
+#: built-in numbers without a code of their own that are dates.
 SUFFIXES, READABLE = (".xlsx", ".xls", ".xlsm", ".xlsb"), (".xlsx", ".xlsm")
-DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+BUILT_IN = {
+    1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??",
+    14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm",
+    37: "#,##0 ;(#,##0)", 38: "#,##0 ;[Red](#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;[Red](#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@",
+}
+LOCAL_DATES = {*range(27, 37), *range(50, 59)}
 EPOCH = dt.datetime(1899, 12, 30)
-ROW = "what string, doc_id string, path string, sheet string, sheet_idx int, row int, col int, kind string, text string, num double, bool boolean, ts timestamp_ntz, emphasized boolean, hidden_col boolean, bottom int, right int"
+ROW = "what string, doc_id string, path string, sheet string, sheet_idx int, row int, col int, kind string, text string, num double, bool boolean, ts timestamp_ntz, emphasized boolean, hidden_col boolean, bottom int, right int, format string"
 _NAMES = [c.split(" ")[0] for c in ROW.split(", ")]
-_DATE_CODE = re.compile(r'"[^"]*"|\[[^\]]*\]|\\.')
 
 
 def glob_filter(name: Column, relative: Column, patterns: list[str], ignore_case: bool = False) -> Column:
@@ -78,7 +85,8 @@ def split(rows: DataFrame) -> tuple[Workbooks, DataFrame]:
     edges = raw.select("doc_id", "sheet", "sheet_idx", "kind", parts.alias("p")).filter("p.t <> ''")
     edges = edges.select("doc_id", "sheet", "sheet_idx", F.lower(F.regexp_extract("kind", "(Header|Footer)$", 1)).alias("kind"), F.regexp_extract("kind", "^(odd|even|first)", 1).alias("page"), "p.section", F.col("p.t").alias("text"))
     cells = pick("cell").select(*[c.split(" ")[0] for c in CELLS.split(", ")])
-    return Workbooks(docs, sheets, cells, edges, merges, hidden), pick("failure").select("path", F.col("kind").alias("error_kind"), F.col("text").alias("message"))
+    formats = pick("cell").filter("format IS NOT NULL").select(*[c.split(" ")[0] for c in FORMATS.split(", ")])
+    return Workbooks(docs, sheets, cells, edges, merges, hidden, formats), pick("failure").select("path", F.col("kind").alias("error_kind"), F.col("text").alias("message"))
 
 
 def parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,10 +110,10 @@ def parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _frame(rows: list[dict], path: str) -> pd.DataFrame:
     pdf = pd.DataFrame(rows, columns=_NAMES).assign(doc_id=path, path=path)
-    pdf["ts"] = pd.to_datetime(pdf["ts"])
+    pdf["ts"] = np.array([r.get("ts") for r in rows], dtype="datetime64[us]")  # the years 1 to 9999
     for c in ("sheet_idx", "row", "col", "bottom", "right"):
         pdf[c] = pdf[c].astype("Int32")
-    return pdf.astype({"num": "float64"}).astype({c: object for c in ("what", "sheet", "kind", "text", "bool", "emphasized", "hidden_col")}).where(lambda d: d.notna(), None)
+    return pdf.astype({"num": "float64"}).astype({c: object for c in ("what", "sheet", "kind", "text", "bool", "emphasized", "hidden_col", "format")}).where(lambda d: d.notna(), None)
 
 
 def _bare(tag: str) -> str:
@@ -125,8 +133,14 @@ def _relations(z: zipfile.ZipFile, part: str) -> dict[str, str]:
     return {r.get("Id"): posixpath.normpath(posixpath.join(folder, r.get("Target"))) if not r.get("Target").startswith("/") else r.get("Target")[1:] for r in ET.fromstring(z.read(rels))}
 
 
-def _styles(z: zipfile.ZipFile) -> list[tuple[bool, bool]]:
-    """Of each cell style: whether it shows dates, and whether it is bold or filled."""
+def format_shows(code: str | None) -> str:
+    """What a number format shows: number, date or duration. As `is_date_format` and `is_duration_format` have it."""
+    bare = re.sub(FORMAT_TEXT, "", (code or "").partition(";")[0])
+    return "number" if not re.search(DATE_LETTERS, bare) else "duration" if re.search(ELAPSED, bare) else "date"
+
+
+def _styles(z: zipfile.ZipFile) -> list[tuple[str, bool, str | None]]:
+    """Of each cell style: what it shows, whether it is bold or filled, and its number format unless it is General."""
     if "xl/styles.xml" not in z.namelist():
         return []
     root = ET.fromstring(z.read("xl/styles.xml"))
@@ -137,8 +151,9 @@ def _styles(z: zipfile.ZipFile) -> list[tuple[bool, bool]]:
     out = []
     for xf in part.get("cellXfs", []):
         n, font, fill = (int(xf.get(k, 0)) for k in ("numFmtId", "fontId", "fillId"))
-        code = _DATE_CODE.sub("", custom.get(n, "")).lower()
-        out.append((n in DATE_FORMATS or bool(re.search("[yd]|m.*h|h.*m", code)), (font < len(bold) and bold[font]) or (fill < len(filled) and filled[fill])))
+        code = custom.get(n) or BUILT_IN.get(n)
+        shows = "date" if code is None and n in LOCAL_DATES else format_shows(code)
+        out.append((shows, (font < len(bold) and bold[font]) or (fill < len(filled) and filled[fill]), code if code != "General" else None))
     return out
 
 
@@ -157,7 +172,7 @@ def package(data: bytes) -> Iterator[dict]:
             yield from _sheet(z.open(targets[link]), {"sheet": name, "sheet_idx": k}, strings, styles, shift)
 
 
-def _sheet(part, of: dict, strings: list[str], styles: list[tuple[bool, bool]], shift: dt.timedelta) -> Iterator[dict]:
+def _sheet(part, of: dict, strings: list[str], styles: list[tuple[str, bool, str | None]], shift: dt.timedelta) -> Iterator[dict]:
     hidden: list[tuple[int, int]] = []
     formulas: dict[str, str] = {}
     row_at, col_at, n_rows, n_cols = 0, 0, 0, 0
@@ -172,12 +187,11 @@ def _sheet(part, of: dict, strings: list[str], styles: list[tuple[bool, bool]],
         elif tag == "c":
             m = re.match(r"([A-Z]+)(\d+)", node.get("r") or "")
             col_at = column_number(m[1]) if m else col_at + 1
-            bold = False
-            if (style := int(node.get("s") or 0)) < len(styles):
-                bold = styles[style][1]
-            if value := _value(node, strings, style < len(styles) and styles[style][0], shift, formulas):
+            style = int(node.get("s") or 0)
+            shows, bold, code = styles[style] if style < len(styles) else ("number", False, None)
+            if value := _value(node, strings, shows, shift, formulas):
                 n_rows, n_cols = max(n_rows, row_at), max(n_cols, col_at)
-                yield {"what": "cell", **of, "row": row_at, "col": col_at, **value, "emphasized": bold, "hidden_col": any(lo <= col_at <= hi for lo, hi in hidden)}
+                yield {"what": "cell", **of, "row": row_at, "col": col_at, **value, "format": code if (node.get("t") or "n") == "n" and not value["text"].startswith("=") else None, "emphasized": bold, "hidden_col": any(lo <= col_at <= hi for lo, hi in hidden)}
         elif tag == "row":
             node.clear()
         elif tag == "mergeCell":
@@ -191,7 +205,22 @@ def _sheet(part, of: dict, strings: list[str], styles: list[tuple[bool, bool]],
     yield {"what": "sheet", **of, "row": n_rows, "col": n_cols}
 
 
-def _value(node: ET.Element, strings: list[str], dated: bool, shift: dt.timedelta, formulas: dict[str, str]) -> dict | None:
+def _from_serial(number: float, lasts: bool, shift: dt.timedelta) -> dict:
+    """A number shown as a date, time or duration, as `shown_date` and `shown_duration` have it; days below 60 of the 1900 system count from a day later."""
+    try:
+        if lasts:
+            return {"kind": "s", "text": str(dt.timedelta(milliseconds=round(number * 86_400_000)))}
+        day, part = divmod(number, 1)
+        clock = dt.timedelta(milliseconds=round(part * 86_400_000))
+        if day == 0 and not clock.days:
+            return {"kind": "s", "text": str((EPOCH + clock).time())}
+        at = EPOCH + shift + dt.timedelta(days=day + (not shift and 0 < number < 60)) + clock
+    except (OverflowError, ValueError):
+        return {"kind": "e", "text": "#VALUE!"}
+    return {"kind": "t", "text": str(at), "ts": at}
+
+
+def _value(node: ET.Element, strings: list[str], shows: str, shift: dt.timedelta, formulas: dict[str, str]) -> dict | None:
     """kind, text, num, bool and ts of a cell; None if it has no value. Text is as Python prints the value; a formula without a result is =formula.
 
     formulas: the shared ones of the sheet so far, by number; a cell that shares one shows it as its first cell has it.
@@ -220,10 +249,8 @@ def _value(node: ET.Element, strings: list[str], dated: bool, shift: dt.timedelt
         at = dt.datetime.fromisoformat(raw.removesuffix("Z"))
         return {"kind": "t", "text": str(at), "ts": at}
     number = float(raw)
-    if dated:
-        at = EPOCH + shift + dt.timedelta(seconds=round(number * 86400, 3))
-        at = at.replace(microsecond=round(at.microsecond, -3) % 1_000_000)
-        return {"kind": "t", "text": str(at), "ts": at}
+    if shows != "number":
+        return _from_serial(number, shows == "duration", shift)
     if re.fullmatch(r"[+-]?\d+", raw):
         return {"kind": "i", "text": str(int(raw)), "num": number}
     return {"kind": "f", "text": repr(number), "num": number}
