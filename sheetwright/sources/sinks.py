@@ -8,21 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.coverage import rendered, wide
+from .layout import whole
 
 
 def with_provenance(records: DataFrame, resolved: DataFrame, docs: DataFrame) -> DataFrame:
     """Records with _source_file, _source_path and _discriminator_cell (<inferred> where the layout decided)."""
-    source = docs.join(resolved.select("doc_id", "matched_cell"), "doc_id").select(
+    source = docs.join(whole(resolved.select("doc_id", "matched_cell")), "doc_id").select(
         "doc_id", F.regexp_extract("path", "[^/]+$", 0).alias("_source_file"), F.col("path").alias("_source_path"), F.coalesce("matched_cell", F.lit("<inferred>")).alias("_discriminator_cell")
     )
-    return source.join(records, "doc_id")
+    return source.join(whole(records), "doc_id")
 
 
 def json_lines(records: DataFrame, failures: DataFrame, docs: DataFrame) -> DataFrame:
     """value: one JSON object a document, {file, data} or {file, error}."""
     data = F.struct(*[c for c in records.columns if c != "doc_id"])
-    good = docs.join(records, "doc_id").select("path", F.to_json(F.struct(F.col("path").alias("file"), data.alias("data"))).alias("value"))
-    bad = docs.join(failures, "doc_id").select("path", F.to_json(F.struct(F.col("path").alias("file"), F.col("message").alias("error"))).alias("value"))
+    good = docs.join(whole(records), "doc_id").select("path", F.to_json(F.struct(F.col("path").alias("file"), data.alias("data"))).alias("value"))
+    bad = docs.join(whole(failures), "doc_id").select("path", F.to_json(F.struct(F.col("path").alias("file"), F.col("message").alias("error"))).alias("value"))
     return good.unionByName(bad)
 
 
