@@ -116,3 +116,13 @@ def test_the_added_conversation(spark):
     (r,) = cf.digests(cf.read_back(cf.expand(spark.createDataFrame(TRICKY, SCHEMA)))).collect()
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (2, sha(f"user\n{text}\nassistant\n{text}\n"), len(text), sha(text))
+
+
+def test_each_reply_has_its_prefix_and_target(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "</s>"), (1, 4, "user", "d")]
+    got = cf.expand(spark.createDataFrame(rows, SCHEMA)).orderBy("example").collect()
+    first = "<s>[INST]user\na[/INST]"
+    second = first + "b</s>[INST]user\nc[/INST]"
+    third = second + "<\\/s></s>[INST]user\nd[/INST]"
+    assert [(r.prefix, r.target) for r in got] == [(first, "b</s>"), (second, "<\\/s></s>"), (third, "")]
+    assert [(r.loss_start, r.loss_stop) for r in got] == [(len(first), len(first) + 1), (len(second), len(second) + 5), (None, None)]
