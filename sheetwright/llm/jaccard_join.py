@@ -36,8 +36,8 @@ WORDS, NUM, DEN = 5, 80, 100
 ROUNDS, CHUNK = 3, 64
 #: One token in SAMPLED is counted over all documents.
 SAMPLED = 3
-#: Documents and tokens a block, tokens a counting task, and members of a list beyond which it is salted.
-BLOCK_DOCS, BLOCK_TOKENS, BUCKET_TOKENS, SALT_ROWS = 1500, 1_000_000, 500_000, 4_000
+#: Documents and tokens a block (a row of 3 MB, which a task and its worker hold several times), tokens a counting task, and members of a list beyond which it is salted.
+BLOCK_DOCS, BLOCK_TOKENS, BUCKET_TOKENS, SALT_ROWS = 1500, 400_000, 500_000, 4_000
 #: The bitmap of rows to read again, in bits (32 MB at most), and its bits a row; rows too many for it are joined by their names instead.
 LEAST_BITS, MOST_BITS, ROW_BITS = 1 << 20, 1 << 28, 16
 #: Pairs up to which their members (40 bytes each, twice at most) are broadcast to the sets.
