@@ -441,7 +441,7 @@ def verified(pairs: DataFrame, packed: DataFrame, num: int, den: int) -> DataFra
             yield _records(linked, ["a", "b"], [pa.binary(), pa.binary()])
 
     rows = beside_hub(pairs, packed.select("set", "n", "second", "third", "tokens"))
-    return cut(rows.select("hub", "turn", "set", "n", "second", "third", "tokens").mapInArrow(compare, "a binary, b binary").distinct(), "jaccard-links")
+    return cut(rows.select("hub", "turn", "set", "n", "second", "third", "tokens").mapInArrow(compare, "a binary, b binary"), "jaccard-links")
 
 
 def star_pairs(members: DataFrame, turn: int, salt_rows: int) -> DataFrame:
@@ -481,7 +481,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed = shared_sets(texts, needed, words, num, den, most_bits)
     members = candidate_lists(packed, salt_rows)
     weights = members.groupBy("set").agg(F.count("*").alias("weight"))
-    members, tried, links, parts = members.join(weights, "set").withColumn("component", F.col("set")), None, None, None
+    members, tried, parts = members.join(weights, "set").withColumn("component", F.col("set")), None, None
     for turn in range(rounds + 1):
         live = members.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("df").alias("df")).filter("lo < hi").select("list", "df")
         members = cut(beside_lists(members, live, salt_rows), "jaccard-live")
@@ -495,8 +495,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = cut(pairs, "jaccard-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = verified(pairs, packed, num, den)
-        links = new if links is None else links.unionByName(new)
-        parts = connected(links)
+        # of earlier links each node's to its component is as good as all
+        parts = connected(new if parts is None else new.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if turn < rounds:
             members = members.drop("component").join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     named = rows.groupBy("set").agg(F.min("id").alias("least")).filter("set IS NOT NULL")
