@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from sheetwright.operators import coverage, detect, drift, slices
 from sheetwright.plans import registry
 from sheetwright.plans.template import fields_table, template
-from sheetwright.sources import grid, melt, sinks
+from sheetwright.sources import grid, layout, melt, sinks
 from sheetwright.sources.grid import CELLS, MERGES, from_cells
 from sheetwright.streaming import ingest
 from tests.test_extract import cell
@@ -39,6 +42,36 @@ def test_open_ranges_over_blocks(spark, monkeypatch):
     assert open_ends(spark, spark.createDataFrame(rows, CELLS))[0] == want
 
 
+def method_sizes(df):
+    """Bytes of the largest compiled method of each stage of the plan. The JVM runs methods beyond 8,000 interpreted, several times slower."""
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        df.explain("codegen")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown.getvalue())]
+
+
+def test_methods_that_the_jvm_compiles(spark):
+    """What goes over every cell, making cells of rows and inferring a version by layout, stays within methods that are compiled."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        books, orders = melt.order_books(spark, "/root/testdata/sf0.001"), template(melt.ORDER_TEMPLATE)
+        tried = books.docs.select("doc_id", F.lit("orders").alias("schema"))
+        for made in (books.cells, detect.by_layout(from_cells(spark.createDataFrame([], CELLS)), tried, fields_table(spark, [orders]))):
+            sizes = method_sizes(made)
+            assert sizes and max(sizes) < 8_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_settings_of_a_laid_out_table(spark):
+    """More buckets than shuffle partitions deal rows once, in as many files; the session's settings are as before."""
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("doc_id"))
+    made = layout.laid_out(rows.groupBy("doc_id").agg(F.count("*").alias("n")), "counts", 7)
+    assert made.count() == 1000 and len(made.inputFiles()) == 7
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "3" and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert layout.buckets_for(spark, 10) == 3 and layout.buckets_for(spark, 5 * layout.BUCKET_CELLS + 1) == 6
+
+
 def test_a_million_rows(spark):
     """One sheet of a million rows with a gap near its end: the same answer, and its blocks lie in several tasks."""
     n = 1_000_000
