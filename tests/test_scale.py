@@ -8,11 +8,12 @@ import random
 import re
 
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
-from sheetwright.operators import coverage, detect, drift, slices
+from sheetwright.operators import coverage, detect, drift, lines, slices
 from sheetwright.plans import registry
 from sheetwright.plans.template import fields_table, template
-from sheetwright.sources import grid, layout, melt, sinks
+from sheetwright.sources import grid, layout, melt, shared, sinks
 from sheetwright.sources.grid import CELLS, MERGES, from_cells
 from sheetwright.streaming import ingest
 from tests.test_extract import cell
@@ -72,6 +73,20 @@ def test_settings_of_a_laid_out_table(spark):
     assert layout.buckets_for(spark, 10) == 3 and layout.buckets_for(spark, 5 * layout.BUCKET_CELLS + 1) == 6
 
 
+def test_lines_are_of_one_list_and_kept_by_small_methods(spark, monkeypatch):
+    """A line's cells are collected once; what is kept is written without stages that are one huge method; the session's settings are as before."""
+    cells = spark.createDataFrame([cell("d", "A1", "Part:"), cell("d", "B1", "A-1"), cell("d", "C1", "Table 1: Order lines ")], CELLS)
+    made = lines.sheet_lines(cells)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1
+    seen, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda w, path: (seen.append(spark.conf.get("spark.sql.codegen.hugeMethodLimit")), write(w, path)))
+    r = shared.cut(made, "lines").first()
+    assert seen == ["8000"] and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
+    assert r.cols == [1, 2, 3] and r.id_cols == r.typed_cols == [2] and r.formula_cols == [] and [(t.col, t.title, t.is_table) for t in r.titled] == [(3, "Order lines", True)]
+    assert [(c.col, c.label) for c in r.cells] == [(1, "Part"), (2, "A-1"), (3, "Table 1: Order lines")] and (1, "Part") in [(o.col, o.label) for o in r.over]
+
+
 def test_a_million_rows(spark):
     """One sheet of a million rows with a gap near its end: the same answer, and its blocks lie in several tasks."""
     n = 1_000_000
