@@ -10,6 +10,7 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
+from sheetwright import queries
 from sheetwright.operators import coverage, detect, drift, lines, slices
 from sheetwright.plans import registry
 from sheetwright.plans.template import fields_table, template
@@ -87,6 +88,14 @@ def test_lines_are_of_one_list_and_kept_by_small_methods(spark, monkeypatch):
     assert [(c.col, c.label) for c in r.cells] == [(1, "Part"), (2, "A-1"), (3, "Table 1: Order lines")] and (1, "Part") in [(o.col, o.label) for o in r.over]
 
 
+def test_users_are_not_sent_to_all_tasks(spark):
+    """Slices of event workbooks meet their users as they lie: only the templates' fields are broadcast."""
+    books = queries.events(spark, "/root/testdata/sf0.001")
+    fields = fields_table(spark, [queries.EVENTS])
+    found = slices.slices(books, detect.detect_versions(books, [queries.EVENTS], fields, "log"), fields)
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1
+
+
 def test_a_million_rows(spark):
     """One sheet of a million rows with a gap near its end: the same answer, and its blocks lie in several tasks."""
     n = 1_000_000
