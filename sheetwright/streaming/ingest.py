@@ -14,7 +14,8 @@ from ..operators.drift import latest_captures
 from ..operators.extract import Options, extract, halted
 from ..plans.template import Template
 from ..sources.grid import CELLS, Workbooks, from_cells
-from ..sources.shared import cut
+from ..sources.layout import whole
+from ..sources.shared import cut, drop
 from ..sources.workbooks import ROW, parse_files, split
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
@@ -74,17 +75,22 @@ def _run(stream: DataFrame, books: Callable[[DataFrame], Workbooks], templates:
 
 
 def _extract(books: Workbooks, templates: list[Template], options: Options, out: str, number: int, again: int, stop_on_unmatched: bool) -> None:
-    """A batch's results; one that is tried again writes the same places, and counts once its files are listed."""
+    """A batch's results; one that is tried again writes the same places, and counts once its files are listed.
+
+    Its cells are laid out by document first, so that what follows shuffles none of them, and no document is sent through the driver.
+    """
+    books = books.stored()
     e = extract(books, templates, options)
     states = books.docs.select("path", "doc_id", F.lit("done").alias("state"))
     if stop_on_unmatched:
         upto = halted(e.resolved, books.docs).select("doc_id", "halted")
-        states = books.docs.join(upto, "doc_id", "left").select("path", "doc_id", F.when(F.col("halted"), "halt").when(F.col("halted").isNull(), "held").otherwise("done").alias("state"))
+        states = books.docs.join(whole(upto), "doc_id", "left").select("path", "doc_id", F.when(F.col("halted"), "halt").when(F.col("halted").isNull(), "held").otherwise("done").alias("state"))
     states = cut(states, "ingest-files")
     here = states.filter("state <> 'held'").select("doc_id")
     for name, rows in (("values", e.sliced.filter("shape IN ('scalar', 'list')").drop("columns")), ("tables", e.tables()), ("failures", e.failures())):
-        _write(rows.join(here, "doc_id", "left_semi") if stop_on_unmatched else rows, out, name, number, again)
+        _write(rows.join(whole(here), "doc_id", "left_semi") if stop_on_unmatched else rows, out, name, number, again)
     _write(states, out, "files", number, again)
+    drop(books.cells, books.docs, books.sheets, states, e.resolved, e.narrow)  # the batch itself is kept as it came
 
 
 def _write(rows: DataFrame, out: str, name: str, number: int, again: int) -> None:
@@ -115,14 +121,14 @@ def go_on(spark: SparkSession, templates: list[Template], out: str, books: Calla
     again = every.filter(F.col("batch") == number).agg(F.max("again")).first()[0] + 1
     batches = [r.batch for r in waiting.select("batch").distinct().collect()]  # a number for each micro-batch since the halt
     cells = spark.read.parquet(*[f"{out}/batches/{n}" for n in batches])
-    _extract(books(cells.join(waiting.select("doc_id"), "doc_id", "left_semi")), templates, options, out, number, again, True)
+    _extract(books(cells.join(whole(waiting.select("doc_id")), "doc_id", "left_semi")), templates, options, out, number, again, True)
     return file_states(spark, out).filter("state = 'halt'").agg(F.min("path")).first()[0]
 
 
 def results(spark: SparkSession, out: str, name: str) -> DataFrame:
     """values, tables or failures of all files so far. Of a file that was done again only the last attempt's rows: its earlier failure goes."""
     rows = spark.read.parquet(f"{out}/{name}").withColumns({"batch": F.col("batch").cast("long"), "again": F.col("again").cast("long")})
-    return rows.join(file_states(spark, out).select("doc_id", "batch", "again"), ["doc_id", "batch", "again"], "left_semi").drop("again")
+    return rows.join(whole(file_states(spark, out).select("doc_id", "batch", "again")), ["doc_id", "batch", "again"], "left_semi").drop("again")
 
 
 def upsert_captures(spark: SparkSession, store: str, captures: DataFrame) -> None:
